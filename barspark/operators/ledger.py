@@ -15,6 +15,7 @@ from barspark.operators.series import BARS, Series, frames, last, next_, number_
 # ---- fixed values
 DEFAULT_COMMISSION_PERCENT = 0.1
 DEFAULT_CAPITAL = 10_000.0
+MONEY_DECIMALS = 8  # sums of changes are rounded so that a flat account stays exactly flat
 # ---- end of fixed values
 
 
@@ -220,10 +221,11 @@ def equity_curve(marked: DataFrame, s: Series = BARS, account: tuple[str, ...] =
         F.sum(F.col("realised") - F.col("fees")).alias("_cash"), F.sum("_d_unrealised").alias("_u"),
         F.sum("_d_notional").alias("_not"), F.sum("_d_open").alias("_open"))
     run = scan(number_rows(per_ts, acc), acc, {c: running_sum(c) for c in ("_cash", "_u", "_not", "_open")})
-    equity = F.lit(capital) + F.col("_cash") + F.col("_u")
+    cash, unrealised = (F.round(c, MONEY_DECIMALS) for c in (F.lit(capital) + F.col("_cash"), F.col("_u")))
+    equity = F.round(F.lit(capital) + F.col("_cash") + F.col("_u"), MONEY_DECIMALS)
     return run.select(
-        *acc.keys, s.ts, acc.pos, (F.lit(capital) + F.col("_cash")).alias("cash"), equity.alias("equity"),
-        F.col("_u").alias("unrealised_pnl"), F.col("_open").cast("long").alias("open_positions"),
+        *acc.keys, s.ts, acc.pos, cash.alias("cash"), equity.alias("equity"),
+        unrealised.alias("unrealised_pnl"), F.col("_open").cast("long").alias("open_positions"),
         F.when(equity > 0, F.col("_not") / equity).otherwise(0.0).alias("leverage_used"))
 
 

@@ -88,7 +88,7 @@ q("last_250_bars", lambda sp, sf: show(resample.last_rows(bars(sp, sf), 250).sel
 q("number_coercion", lambda sp, sf: show(table(sp, sf, "orders").select(
     "o_orderkey", C.number(F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).otherwise(F.col("o_totalprice").cast("string"))).alias("price"),
     F.coalesce(C.number("o_orderpriority"), F.lit(0.0)).alias("filled")), 2),
-  f"SELECT o_orderkey, {R('CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END', 2)} AS price, coalesce(try_cast(o_orderpriority AS DOUBLE), 0.0) AS filled FROM orders")
+  f"SELECT o_orderkey, {R("CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END", 2)} AS price, coalesce(try_cast(o_orderpriority AS DOUBLE), 0.0) AS filled FROM orders")
 q("timestamp_coercion", lambda sp, sf: show(table(sp, sf, "orders").select("o_orderkey", C.stamp(F.when(F.col("o_orderstatus") == "P", "never").otherwise(
     F.date_format("o_orderdate", "yyyy/MM/dd")), "yyyy/MM/dd").alias("ts"))),
   "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS ts FROM orders")
