@@ -155,8 +155,8 @@ q("parameter_sweep_signals", lambda sp, sf: show(sweep(sp, sf).where("signal is
   "SELECT run_id, symbol, ts, signal_type FROM sweep WHERE signal IS NOT NULL", "sweep")
 
 # ---------------------------------------------------------------- trades
-SLIP = ledger.Slippage("fixed", percent=0.05)
-cte("flip", ("sig",), """SELECT symbol, signal AS side, close * (1 + signal * 0.0005) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - signal * 0.0005) AS exit_price, nts AS exit_time, npos AS exit_pos,
+SLIP = ledger.Slippage("fixed", percent=0.0517)
+cte("flip", ("sig",), """SELECT symbol, signal AS side, close * (1 + signal * 0.000517) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - signal * 0.000517) AS exit_price, nts AS exit_time, npos AS exit_pos,
   CASE WHEN npos IS NOT NULL THEN 'TRADE' END AS exit_reason FROM (SELECT *, lead(close) OVER w AS nclose, lead(ts) OVER w AS nts, lead(pos) OVER w AS npos FROM sig WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY pos))""")
 _TR = f"""SELECT symbol, CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, {R('entry_price')} AS entry_price, entry_time, {R('exit_price')} AS exit_price, exit_time, exit_reason, {R('(exit_price - entry_price) * side')} AS pnl,
   {R('entry_price * 0.001')} AS entry_commission, {R("CASE WHEN exit_reason = 'TRADE' THEN exit_price * 0.001 WHEN exit_reason IS NOT NULL THEN 0 END")} AS exit_commission FROM """
@@ -168,7 +168,7 @@ def flip(sp, sf):
 
 
 q("trades_flip", lambda sp, sf: show(ledger.trades(signalled(sp, sf), slippage=SLIP).select(*TRCOLS)), _TR + "flip", "flip")
-cte("odd", ("sig",), """SELECT symbol, side, close * (1 + side * 0.0005) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - side * 0.0005) AS exit_price, nts AS exit_time, npos AS exit_pos, CASE WHEN npos IS NOT NULL THEN 'TRADE' END AS exit_reason
+cte("odd", ("sig",), """SELECT symbol, side, close * (1 + side * 0.000517) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - side * 0.000517) AS exit_price, nts AS exit_time, npos AS exit_pos, CASE WHEN npos IS NOT NULL THEN 'TRADE' END AS exit_reason
   FROM (SELECT *, CASE WHEN n = 1 THEN signal ELSE 1 END AS side FROM (SELECT *, row_number() OVER w AS n, lead(close) OVER w AS nclose, lead(ts) OVER w AS nts, lead(pos) OVER w AS npos FROM sig WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY pos)) WHERE n % 2 = 1)""")
 q("trades_close_only", lambda sp, sf: show(ledger.trades(signalled(sp, sf), reverse="close_only", slippage=SLIP).select(*TRCOLS)), _TR + "odd", "odd")
 
@@ -188,7 +188,7 @@ def stopped(sp, sf):
 
 
 q("trades_stops", lambda sp, sf: show(stopped(sp, sf).select(*TRCOLS)), _TR + "stopped", "stopped")
-cte("hyp", ("sig",), """SELECT symbol, n, side, close * (1 + side * 0.0005) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - side * 0.0005) AS exit_price, nts AS exit_time, npos AS exit_pos, CASE WHEN npos IS NOT NULL THEN 'TRADE' END AS exit_reason
+cte("hyp", ("sig",), """SELECT symbol, n, side, close * (1 + side * 0.000517) AS entry_price, ts AS entry_time, pos AS entry_pos, nclose * (1 - side * 0.000517) AS exit_price, nts AS exit_time, npos AS exit_pos, CASE WHEN npos IS NOT NULL THEN 'TRADE' END AS exit_reason
   FROM (SELECT *, CASE WHEN n = 1 THEN signal ELSE 1 END AS side FROM (SELECT *, row_number() OVER w AS n, lead(close) OVER w AS nclose, lead(ts) OVER w AS nts, lead(pos) OVER w AS npos FROM sig WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY pos)))""")
 cte("hyph", ("hyp", "bars"), _hit("hyp"))
 cte("chain", ("hyph",), "chain(symbol, n, opens, hit) AS (SELECT symbol, n, true, hpos IS NOT NULL FROM hyph WHERE n = 1 UNION ALL SELECT h.symbol, h.n, NOT (c.opens AND NOT c.hit), h.hpos IS NOT NULL FROM chain c JOIN hyph h ON h.symbol = c.symbol AND h.n = c.n + 1)")
@@ -217,12 +217,12 @@ def _fills(sp, sf):
     o = table(sp, sf, "orders")
     side = F.when(F.col("o_orderstatus") == "F", -1.0).otherwise(F.when(F.col("o_orderstatus") == "P", 1.0).otherwise(F.when(F.col("o_custkey") > 500, 1.0).otherwise(-1.0)))
     f = o.select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("fill_id"), side.alias("side"),
-                 (F.col("o_totalprice") % 3 + 1).cast("long").cast("double").alias("quantity"), (F.col("o_totalprice") / 1e5).alias("price"))
+                 (F.col("o_totalprice") % 3 + 1).cast("long").cast("double").alias("quantity"), (F.col("o_totalprice") / 300007.0).alias("price"))
     return ledger.pair_fills(f).select("symbol", "ts", "fill_id", "type", "position", "entry_price", "pnl")
 
 
 cte("fl", (), """SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS fill_id, CASE WHEN o_orderstatus = 'F' THEN -1.0 WHEN o_orderstatus = 'P' THEN 1.0 WHEN o_custkey > 500 THEN 1.0 ELSE -1.0 END AS side,
-  floor(o_totalprice % 3 + 1) AS quantity, o_totalprice / 1e5 AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders""")
+  floor(o_totalprice % 3 + 1) AS quantity, o_totalprice / 300007.0 AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders""")
 _NXT = """SELECT f.symbol, f.n, CASE WHEN p.position = 0 THEN f.side * f.quantity WHEN p.position * f.side > 0 THEN p.position + f.side * f.quantity WHEN f.quantity >= abs(p.position) THEN 0 ELSE p.position + f.side * f.quantity END,
  CASE WHEN p.position = 0 THEN f.price WHEN p.position * f.side > 0 THEN (p.entry * abs(p.position) + f.price * f.quantity) / (abs(p.position) + f.quantity) ELSE p.entry END,
  CASE WHEN p.position * f.side < 0 THEN (f.price - p.entry) * least(f.quantity, abs(p.position)) * sign(p.position) END,
@@ -245,9 +245,9 @@ q("mark_to_market", lambda sp, sf: show(ledger.mark_to_market(signalled(sp, sf),
   f"SELECT symbol, ts, {R('u')} AS unrealised, position, {R('notional')} AS notional, {R('realised')} AS realised, {R('fees')} AS fees FROM mark", "mark")
 cte("net", ("mark",), "SELECT symbol, ts, sum(realised - fees) OVER (PARTITION BY symbol ORDER BY pos) AS cash, u, notional, abs(position) AS open FROM mark")
 cte("held_at", ("net",), """SELECT t.ts, s.symbol, n.cash, n.u, n.notional, n.open FROM (SELECT DISTINCT ts FROM net) t CROSS JOIN (SELECT DISTINCT symbol FROM net) s ASOF LEFT JOIN net n ON n.symbol = s.symbol AND n.ts <= t.ts""")
-cte("eq", ("held_at",), "SELECT ts, 10000 + sum(coalesce(cash, 0)) AS cash, sum(coalesce(u, 0)) AS u, sum(coalesce(open, 0)) AS open, sum(coalesce(notional, 0)) AS notional FROM held_at GROUP BY ts")
-q("equity_curve", lambda sp, sf: show(ledger.equity_curve(marked(sp, sf)).drop("account", "pos"), 4),
-  f"SELECT ts, {R('cash', 4)} AS cash, {R('cash + u', 4)} AS equity, {R('u', 4)} AS unrealised_pnl, open::BIGINT AS open_positions, {R('CASE WHEN cash + u > 0 THEN notional / (cash + u) ELSE 0 END', 4)} AS leverage_used FROM eq", "eq")
+cte("eq", ("held_at",), "SELECT ts, 100000 + sum(coalesce(cash, 0)) AS cash, sum(coalesce(u, 0)) AS u, sum(coalesce(open, 0)) AS open, sum(coalesce(notional, 0)) AS notional FROM held_at GROUP BY ts")
+q("equity_curve", lambda sp, sf: show(ledger.equity_curve(marked(sp, sf), capital=100_000.0).drop("account", "pos")),
+  f"SELECT ts, {R('cash')} AS cash, {R('cash + u')} AS equity, {R('u')} AS unrealised_pnl, open::BIGINT AS open_positions, {R('CASE WHEN cash + u > 0 THEN notional / (cash + u) ELSE 0 END')} AS leverage_used FROM eq", "eq")
 # one account per symbol for the performance tables
 cte("curve", ("mark",), "SELECT symbol AS run_id, ts, pos, round(100000 + sum(realised - fees) OVER (PARTITION BY symbol ORDER BY pos) + u, 8) AS equity FROM mark")
 
