@@ -246,8 +246,8 @@ q("mark_to_market", lambda sp, sf: show(ledger.mark_to_market(signalled(sp, sf),
 cte("net", ("mark",), "SELECT symbol, ts, sum(realised - fees) OVER (PARTITION BY symbol ORDER BY pos) AS cash, u, notional, abs(position) AS open FROM mark")
 cte("held_at", ("net",), """SELECT t.ts, s.symbol, n.cash, n.u, n.notional, n.open FROM (SELECT DISTINCT ts FROM net) t CROSS JOIN (SELECT DISTINCT symbol FROM net) s ASOF LEFT JOIN net n ON n.symbol = s.symbol AND n.ts <= t.ts""")
 cte("eq", ("held_at",), "SELECT ts, 100000 + sum(coalesce(cash, 0)) AS cash, sum(coalesce(u, 0)) AS u, sum(coalesce(open, 0)) AS open, sum(coalesce(notional, 0)) AS notional FROM held_at GROUP BY ts")
-q("equity_curve", lambda sp, sf: show(ledger.equity_curve(marked(sp, sf), capital=100_000.0).drop("account", "pos")),
-  f"SELECT ts, {R('cash')} AS cash, {R('cash + u')} AS equity, {R('u')} AS unrealised_pnl, open::BIGINT AS open_positions, {R('CASE WHEN cash + u > 0 THEN notional / (cash + u) ELSE 0 END')} AS leverage_used FROM eq", "eq")
+q("equity_curve", lambda sp, sf: show(ledger.equity_curve(marked(sp, sf), capital=100_000.0).drop("account", "pos"), 3, leverage_used=6),
+  f"SELECT ts, {R('cash', 3)} AS cash, {R('cash + u', 3)} AS equity, {R('u', 3)} AS unrealised_pnl, open::BIGINT AS open_positions, {R('CASE WHEN cash + u > 0 THEN notional / (cash + u) ELSE 0 END')} AS leverage_used FROM eq", "eq")
 # one account per symbol for the performance tables
 cte("curve", ("mark",), "SELECT symbol AS run_id, ts, pos, round(100000 + sum(realised - fees) OVER (PARTITION BY symbol ORDER BY pos) + u, 8) AS equity FROM mark")
 
@@ -380,9 +380,9 @@ q("trade_summary", lambda sp, sf: show(perf.trade_summary(closed(sp, sf)), 4),
   {R('-sum(pnl) FILTER (pnl > 0) / sum(pnl) FILTER (pnl < 0)', 4)} AS profit_factor, {R('avg(epoch_us(exit_time) - epoch_us(entry_time)) / 1e6', 4)} AS avg_trade_seconds FROM closed GROUP BY run_id""", "closed")
 q("cumulative_pnl", lambda sp, sf: show(perf.cumulative_pnl(closed(sp, sf)).select("run_id", "exit_time", "cumulative_pnl"), 6),
   f"SELECT run_id, exit_time, {R('sum(pnl) OVER (PARTITION BY run_id ORDER BY exit_time)', 6)} AS cumulative_pnl FROM closed", "closed")
-_BY = f"count(*) AS n_trades, {R('avg(pnl)', 9)} AS mean_pnl, {R('sum(pnl)', 6)} AS total_pnl, {R('count(*) FILTER (pnl > 0) / count(*) * 100', 4)} AS win_rate_pct"
+_BY = f"count(*) AS n_trades, {R('avg(pnl)', 4)} AS mean_pnl, {R('sum(pnl)', 4)} AS total_pnl, {R('count(*) FILTER (pnl > 0) / count(*) * 100', 4)} AS win_rate_pct"
 for _n, _fn, _g in (("trades_by_symbol", perf.by_symbol, "symbol AS symbol"), ("trades_by_month", perf.by_month, "strftime(exit_time, '%Y-%m') AS month"), ("trades_by_entry_hour", perf.by_entry_hour, "hour(entry_time) AS entry_hour")):
-    q(_n, lambda sp, sf, fn=_fn: show(fn(closed(sp, sf)), 4, mean_pnl=9, total_pnl=6), f"SELECT run_id, {_g}, {_BY} FROM closed GROUP BY 1, 2", "closed")
+    q(_n, lambda sp, sf, fn=_fn: show(fn(closed(sp, sf)), 4), f"SELECT run_id, {_g}, {_BY} FROM closed GROUP BY 1, 2", "closed")
 q("normalised_equity", lambda sp, sf: show(perf.normalised_equity(curve(sp, sf)).select("run_id", "ts", "normalised")),
   f"SELECT run_id, ts, {R(f'equity / first_value(equity) OVER ({RW}) * 100')} AS normalised FROM curve", "curve")
 q("benchmark_rebased", lambda sp, sf: show(perf.rebase_benchmark(curve(sp, sf), bars(sp, sf).where("symbol = 'view'").select("ts", F.col("close").alias("benchmark"))).select("run_id", "ts", "benchmark_rebased"), 4),
