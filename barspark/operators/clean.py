@@ -122,6 +122,14 @@ def fill_everything(df: DataFrame, s: Series = BARS, linear: bool = False, cols:
     return df
 
 
+def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of ``cols`` that hold any null: one narrow aggregation that saves filling full columns."""
+    if not cols:
+        return []
+    row = df.agg(*[(F.count(c) < F.count(F.lit(1))).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"_{i}"]]
+
+
 def null_profile(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = None) -> DataFrame:
     """One row per key and column: first known row, null count and share."""
     df = numbered(df, s)

@@ -1,4 +1,8 @@
-"""Price transforms and the treatments that make a feature table free of nulls."""
+"""Price transforms and the treatments that make a feature table free of nulls.
+
+The treatments read their wide input several times (fills, modes, size classes), so it is
+written to the shared folder first instead of being computed once per branch.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,8 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import change
 from barspark.functions.naming import categorise, find_price_columns
-from barspark.operators.clean import PRICES, fill_everything, interpolate, modes, split_numeric
-from barspark.operators.series import BARS, FRAME_BLOCK, Series, frames, last, next_, numbered, scan
+from barspark.operators.clean import PRICES, columns_with_nulls, fill_everything, interpolate, modes, split_numeric
+from barspark.operators.series import BARS, FRAME_BLOCK, Series, frames, last, next_, numbered, scan, stage
 
 # ---- fixed values
 DEFAULT_WARM_UP = {"short_window": 10, "medium_window": 20, "long_window": 200}
@@ -85,10 +89,13 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
     """Fill every column the way its kind calls for (see ``FILL_CLASSES``); rows are kept."""
     df = numbered(df, s)
     skip = {*s.keys, s.ts, *s.tie, s.pos}
-    names = [c for c in (cols or df.columns) if c not in skip]
+    every = [c for c in (cols or df.columns) if c not in skip]
+    names = columns_with_nulls(df, every)  # no rule changes a known value
+    if not names:
+        return df
     types = {f.name: f.dataType for f in df.schema.fields}
-    kind = {c: next((k for k, pat in FILL_CLASSES if re.search(pat, c.lower())), "rest") for c in names}
-    raw = {p: next((c for c in names if p in c.lower() and "raw" in c.lower()), None) for p in PRICES}
+    kind = {c: next((k for k, pat in FILL_CLASSES if re.search(pat, c.lower())), "rest") for c in every}
+    raw = {p: next((c for c in every if p in c.lower() and "raw" in c.lower()), None) for p in PRICES}
 
     def base_price(c: str) -> str | None:
         return raw[next((p for p in ("open", "high", "low") if p in c), "close")]
@@ -116,6 +123,9 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
     if counted:
         df = df.join(modes(df, counted, s), list(s.keys), "left")
 
+    def held(c: str) -> Column:
+        return F.coalesce(F.col(f"_p_{c}"), F.col(f"_n_{c}")) if c in names else F.col(c)
+
     def value(c: str) -> Column:
         k = kind[c]
         if c in straight:
@@ -133,9 +143,9 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
         if k in ends:
             return F.coalesce(before, after, F.lit(ends[k]))
         if k == "band" and raw["close"]:
-            price = F.coalesce(F.col(f"_p_{raw['close']}"), F.col(f"_n_{raw['close']}"))
-            middle = next((m for m in names if kind[m] == "band" and "middle" in m), None)
-            centre = F.coalesce(F.col(f"_p_{middle}"), F.col(f"_n_{middle}"), price) if middle else price
+            price = held(raw["close"])
+            middle = next((m for m in every if kind[m] == "band" and "middle" in m), None)
+            centre = F.coalesce(held(middle), price) if middle else price
             factor = 1.0 if "middle" in c else BAND_UP if "upper" in c else BAND_DOWN
             return F.coalesce(before, after, centre * factor, F.lit(VOLATILITY_DEFAULT))
         return F.coalesce(before, after, *([F.lit(VOLATILITY_DEFAULT)] if k == "band" else []))
@@ -145,7 +155,9 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
 
 
 def fill_remaining(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = None) -> DataFrame:
-    return fill_everything(df, s, linear=True, cols=cols)
+    df = numbered(df, s)
+    todo = columns_with_nulls(df, [c for c in (cols or df.columns) if c not in {*s.keys, s.ts, *s.tie, s.pos}])
+    return fill_everything(df, s, linear=True, cols=todo) if todo else df
 
 
 def _sized(df: DataFrame, s: Series, rules: Mapping[str, Sequence[str]] | None) -> DataFrame:
@@ -159,23 +171,25 @@ _SIZES = ("_rows", *[f"_{c}" for c in DEFAULT_WARM_UP])
 def treat_basic(df: DataFrame, s: Series = BARS, min_points: int = 1000, trim: int | None = None,
                 rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Cut the warm-up off long symbols and fill the rest; fill short symbols by type."""
-    df = _sized(numbered(df, s), s, rules)
+    df = stage(_sized(numbered(df, s), s, rules))
     cut = F.lit(trim).cast("long") if trim else F.greatest(*[F.col(f"_{c}") for c in DEFAULT_WARM_UP])
     df = df.withColumn("_cut", cut)
     long_enough = F.col("_rows") > F.col("_cut") + min_points
     kept = df.where(long_enough & (F.col(s.pos) >= F.col("_cut"))).withColumn(s.pos, F.col(s.pos) - F.col("_cut"))
     return fill_remaining(kept.drop("_cut", *_SIZES), s).unionByName(
-        fill_by_type(df.where(~long_enough).drop("_cut", *_SIZES), s))
+        fill_by_type(df.where(~long_enough).drop("_cut", *_SIZES), s).select(*kept.drop("_cut", *_SIZES).columns))
 
 
 def treat_advanced(df: DataFrame, s: Series = BARS, min_points: int = 1000,
                    rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Per class: returns 0, categories mode, short back-filled, medium back-filled after the
     warm-up, long cut off (all where the symbol is long enough, else filled); then fill the rest."""
-    df = _sized(numbered(df, s), s, rules)
+    df = stage(_sized(numbered(df, s), s, rules))
     skip = {*s.keys, s.ts, *s.tie, s.pos, *_SIZES}
     classes = categorise([c for c in df.columns if c not in skip], rules)
-    of = {cls: [c for c, k in classes.items() if k == cls] for cls in
+    has_long = "long_window" in classes.values()
+    gaps = set(columns_with_nulls(df, list(classes)))
+    of = {cls: [c for c, k in classes.items() if k == cls and c in gaps] for cls in
           ("returns", "categorical", "short_window", "medium_window", "long_window")}
     types = {f.name: f.dataType for f in df.schema.fields}
     roomy = {cls: F.col("_rows") > F.col(f"_{cls}") + min_points for cls in ("medium_window", "long_window")}
@@ -200,11 +214,11 @@ def treat_advanced(df: DataFrame, s: Series = BARS, min_points: int = 1000,
         filled = F.coalesce(F.col(f"_p_{c}"), F.col(f"_n_{c}"), *end)
         new[c] = F.when(roomy["long_window"], F.col(c)).otherwise(filled)
     df = df.withColumns(new) if new else df
-    if of["long_window"]:
+    if has_long:
         cut = F.when(roomy["long_window"], F.col("_long_window")).otherwise(F.lit(0))
         df = df.where(F.col(s.pos) >= cut).withColumn(s.pos, F.col(s.pos) - cut)
     df = df.drop(*outs, *[f"_mode_{c}" for c in of["categorical"]], *[f"_lin_{c}" for c in of["medium_window"]], *_SIZES)
-    return fill_remaining(df, s)
+    return fill_remaining(stage(df), s)
 
 
 def treat_hybrid(df: DataFrame, s: Series = BARS, min_points: int = 1000,
@@ -214,7 +228,7 @@ def treat_hybrid(df: DataFrame, s: Series = BARS, min_points: int = 1000,
 
     The drop changes the schema, so it is decided once, on the middling symbols together.
     """
-    df = _sized(numbered(df, s), s, rules)
+    df = stage(_sized(numbered(df, s), s, rules))
     size = F.when(F.col("_rows") < 1.5 * min_points, "small").when(F.col("_rows") < 3 * min_points, "middle").otherwise("large")
     df = df.withColumn("_size", size)
 
@@ -259,7 +273,7 @@ def prepare_features(df: DataFrame, mode: str = "advanced", price_method: str =
                      min_points: int = 1000, trim: int | None = None,
                      rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Price transforms followed by the chosen treatment."""
-    df = transform_prices(df, price_method, s)
+    df = stage(transform_prices(df, price_method, s))
     if mode == "basic":
         return treat_basic(df, s, min_points, trim, rules)
     if mode == "hybrid":

@@ -21,7 +21,7 @@ def table_(sp, sf):
         x = add_features(rets(sp, sf).drop("pos"))
         x = labels.label_direction(x, "close_return", 1)
         x = labels.label_value(x, "close_return", 1, out="next_return")
-        return x.dropna(subset=[*FEATURES, "label", "next_return"])
+        return x.dropna(subset=[*FEATURES, "label", "next_return"]).drop("pos")  # numbered anew
     return _once(sp, sf, "model_table", build)
 
 
@@ -62,7 +62,7 @@ Q["cross_validation_summary"] = lambda sp, sf: show(models.fold_summary(models.c
 
 
 def _raw(sp, sf):
-    return prepare.transform_prices(add_features(bars(sp, sf), groups=["technical", "volatility"]))
+    return _once(sp, sf, "raw_features", lambda: prepare.transform_prices(add_features(bars(sp, sf), groups=["technical", "volatility"])))
 
 
 for _mode, _points in (("basic", 400), ("advanced", 400), ("hybrid", 300)):
