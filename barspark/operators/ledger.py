@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barspark.operators.series import BARS, Series, frames, last, next_, number_rows, numbered, running_sum, scan
+from barspark.operators.series import BARS, SCAN_BLOCK, Series, frames, last, next_, number_rows, numbered, running_sum, scan, stage
 
 # ---- fixed values
 DEFAULT_COMMISSION_PERCENT = 0.1
@@ -145,40 +145,79 @@ def transactions(t: DataFrame, s: Series = BARS) -> DataFrame:
     return t.select(*s.keys, "position_id", "quantity", F.inline(both)).where(F.col("type").isNotNull())
 
 
-def pair_fills(fills: DataFrame, s: Series = Series(tie=("fill_id",))) -> DataFrame:
-    """General pairing: OPEN, INCREASE (weighted entry), DECREASE, CLOSE for any quantities.
+_PAIR_OUT = "type string, position double, entry_price double, pnl double"
 
-    Expects ``side`` (+1/-1), ``quantity``, ``price``. A closing fill larger than the position only
-    closes it. The position after a fill depends on all earlier ones, so a key is walked in order;
-    its fills are sorted by Spark and arrive in Arrow batches, the walk keeps two numbers.
-    """
-    keys = list(s.keys)
-    extra = "type string, position double, entry_price double, pnl double, episode long"
-    schema = StructType([*fills.schema.fields, *StructType.fromDDL(extra).fields])
-    cols = fills.columns
 
+def _take(held: float, entry: float, side: float, q: float, price: float):
+    """One fill on a position: kind, new position, new entry price, realised P&L."""
+    if held == 0:
+        return "OPEN", side * q, price, None
+    if held * side > 0:
+        return "INCREASE", held + side * q, (entry * abs(held) + price * q) / (abs(held) + q), None
+    pnl = (price - entry) * min(q, abs(held)) * (1 if held > 0 else -1)
+    return ("CLOSE", 0.0, entry, pnl) if q >= abs(held) else ("DECREASE", held + side * q, entry, pnl)
+
+
+def _walk_fills(group: list[str], columns: list[str], ends_only: bool):
+    """Walk sorted fills of many groups; a group starts from its ``_q``/``_e`` (position, entry price)."""
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, entry, episode = 0.0, 0.0, 0
+        current, held, entry, tail = None, 0.0, 0.0, None
         for pdf in batches:
-            out = []
-            for side, q, price in zip(pdf["side"], pdf["quantity"], pdf["price"]):
-                pnl = None
-                if held == 0:
-                    kind, held, entry, episode = "OPEN", side * q, price, episode + 1
-                elif held * side > 0:
-                    kind, entry = "INCREASE", (entry * abs(held) + price * q) / (abs(held) + q)
-                    held += side * q
-                else:
-                    closed = min(q, abs(held))
-                    pnl = (price - entry) * closed * (1 if held > 0 else -1)
-                    kind = "CLOSE" if q >= abs(held) else "DECREASE"
-                    held = 0.0 if kind == "CLOSE" else held + side * q
-                out.append((kind, held, entry, pnl, episode))
-            extra_cols = pd.DataFrame(out, columns=["type", "position", "entry_price", "pnl", "episode"], index=pdf.index)
-            yield pd.concat([pdf[cols], extra_cols], axis=1)
-
-    ordered = fills.repartition(*keys).sortWithinPartitions(*keys, *s.order())
-    return ordered.groupBy(*keys).applyInPandas(walk, schema)
+            out, ends = [], []
+            for key, side, q, price, q0, e0 in zip(zip(*(pdf[c] for c in group)), pdf["side"], pdf["quantity"], pdf["price"], pdf["_q"], pdf["_e"]):
+                if key != current:
+                    if tail is not None:
+                        ends.append(tail)
+                    current, held, entry = key, q0, e0
+                kind, held, entry, pnl = _take(held, entry, side, q, price)
+                tail = (*key, held, entry if held else 0.0)
+                if not ends_only:
+                    out.append((kind, held, entry, pnl))
+            if ends_only:
+                yield pd.DataFrame(ends, columns=[*group, "_q", "_e"])
+            else:
+                yield pd.concat([pdf[columns], pd.DataFrame(out, columns=["type", "position", "entry_price", "pnl"], index=pdf.index)], axis=1)
+        if ends_only and tail is not None:
+            yield pd.DataFrame([tail], columns=[*group, "_q", "_e"])
+
+    return walk
+
+
+def pair_fills(fills: DataFrame, s: Series = Series(tie=("fill_id",)), block: int = SCAN_BLOCK, method: str = "range") -> DataFrame:
+    """General pairing: OPEN, INCREASE (weighted entry), DECREASE, CLOSE for any quantities.
+
+    Expects ``side`` (+1/-1), ``quantity``, ``price``. A closing fill larger than the position only
+    closes it. Keys with up to ``block`` fills are walked whole. Longer ones are cut into blocks that
+    are walked in parallel from an assumed start (flat); the starts are then set to the ends of the
+    blocks before and only blocks whose start changed are walked again, until none changes. A close
+    forgets the start, so a few rounds do; the result is exact in any case.
+    """
+    keys, columns = list(s.keys), fills.columns
+    flat = {"_q": F.lit(0.0), "_e": F.lit(0.0)}
+    schema = StructType([*fills.schema.fields, *StructType.fromDDL(_PAIR_OUT).fields])
+    longest = fills.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= block:
+        ordered = fills.withColumns(flat).repartition(*keys).sortWithinPartitions(*keys, *s.order())
+        return ordered.mapInPandas(_walk_fills(keys, columns, False), schema)
+    group = [*keys, "_blk"]
+    rows = stage(number_rows(fills, s, method=method).withColumn("_blk", s.block(block)))
+    end_schema = StructType([*[fills.schema[k] for k in keys], *StructType.fromDDL("_blk bigint, _q double, _e double").fields])
+
+    def sweep(start: DataFrame, ends_only: bool) -> DataFrame:
+        x = rows.join(start, group).repartition(*group).sortWithinPartitions(*group, s.pos)
+        return x.mapInPandas(_walk_fills(group, columns, ends_only), end_schema if ends_only else schema)
+
+    start = stage(rows.select(*group).distinct().withColumns(flat))
+    ends = stage(sweep(start, True))
+    while True:
+        before = ends.select(*keys, (F.col("_blk") + 1).alias("_blk"), F.col("_q").alias("_q1"), F.col("_e").alias("_e1"))
+        both = start.join(before, group, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_q1", "_e1")})
+        both = stage(both.withColumn("_new", (F.col("_q") != F.col("_q1")) | (F.col("_e") != F.col("_e1"))))
+        start = both.select(*group, F.col("_q1").alias("_q"), F.col("_e1").alias("_e"))
+        changed = both.where("_new").select(*group, F.col("_q1").alias("_q"), F.col("_e1").alias("_e"))
+        if changed.isEmpty():
+            return sweep(start, False)
+        ends = stage(ends.join(changed.select(*group), group, "left_anti").unionByName(sweep(changed, True)))
 
 
 # ---------------------------------------------------------------- equity

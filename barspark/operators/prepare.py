@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barspark.functions.columns import change
 from barspark.functions.naming import categorise, find_price_columns
 from barspark.operators.clean import PRICES, columns_with_nulls, fill_everything, interpolate, modes, split_numeric
-from barspark.operators.series import BARS, FRAME_BLOCK, Series, frames, last, next_, numbered, scan, stage
+from barspark.operators.series import BARS, Series, frames, last, next_, numbered, scan, stage
 
 # ---- fixed values
 DEFAULT_WARM_UP = {"short_window": 10, "medium_window": 20, "long_window": 200}
@@ -108,7 +108,7 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
     if window:
         df = frames(df, s, lambda x, w: x.withColumns({
             f"_est_{c}": F.avg(base_price(c)).over(w.rowsBetween(-(n - 1), 0)) for c, n in window.items()}),
-            back=max(window.values()) - 1, block=max(FRAME_BLOCK, *window.values()))
+            back=max(window.values()) - 1)
     filled = [c for c in names if kind[c] not in ("pattern", "derived")]
     numeric, _ = split_numeric(df, skip)
     straight = [c for c in filled if kind[c] == "rest" and c in numeric]

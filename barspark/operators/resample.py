@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.operators.series import BARS, FRAME_BLOCK, Series, frames, last, numbered, scan, utc_micros
+from barspark.operators.series import BARS, Series, frames, last, numbered, scan, utc_micros
 
 GRID_BLOCK = 8_192
 _UNITS = {
@@ -140,7 +140,7 @@ def higher_timeframe(df: DataFrame, ratio: int, s: Series = BARS) -> DataFrame:
             "htf_volume": F.when(full, F.sum("volume").over(f)),
         })
 
-    return frames(df, s, trail, back=ratio - 1, block=max(FRAME_BLOCK, ratio))
+    return frames(df, s, trail, back=ratio - 1)
 
 
 def recent_candles(df: DataFrame, ratio: int, s: Series = BARS) -> DataFrame:
@@ -149,7 +149,7 @@ def recent_candles(df: DataFrame, ratio: int, s: Series = BARS) -> DataFrame:
         candle = F.struct(s.ts, "open", "high", "low", "close", "volume")
         return x.withColumn("candles", F.collect_list(candle).over(w.rowsBetween(-(ratio - 1), 0)))
 
-    return frames(df, s, collect, back=ratio - 1, block=max(FRAME_BLOCK, ratio))
+    return frames(df, s, collect, back=ratio - 1)
 
 
 def decision_rows(df: DataFrame, minutes: int, s: Series = BARS) -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SCAN_BLOCK = 65_536
-FRAME_BLOCK = 16_384
+FRAME_BLOCK = 3_072  # with its halo below the 4096 rows a window keeps in memory by default
+LONG_WINDOW = 32
 EWM_BLOCK = 2_048
 
 
@@ -220,7 +221,7 @@ def frames(
     make: Callable[[DataFrame, WindowSpec], DataFrame],
     back: int = 0,
     ahead: int = 0,
-    block: int = FRAME_BLOCK,
+    block: int | None = None,
     keep_block: bool = False,
 ) -> DataFrame:
     """Run ``make(rows, window)`` where ``window`` sees ``back`` earlier and ``ahead`` later rows.
@@ -228,6 +229,7 @@ def frames(
     Edge rows are copied to the neighbouring block and dropped again afterwards. With
     ``keep_block`` the result keeps ``_blk`` so that a join on it needs no further shuffle.
     """
+    block = block or max(FRAME_BLOCK, back, ahead)
     if max(back, ahead) > block:
         raise ValueError(f"look-back {back}/{ahead} is longer than a block of {block} rows")
     df = numbered(df, s)
@@ -245,8 +247,20 @@ def frames(
 
 
 def rolling(fn: Callable[[Column], Column], c: str | Column, w: WindowSpec, n: int) -> Column:
-    """``fn`` over the last ``n`` rows; null until ``n`` non-null values are in the frame."""
+    """``fn`` over the last ``n`` rows; null until ``n`` non-null values are in the frame.
+
+    A sliding frame re-reads its ``n`` rows for every row. Long means are therefore taken as the
+    difference of two running sums (one addition per row); they run within a block, so the sums
+    stay small. Other functions and short windows, where exact zeros matter, slide.
+    """
     c = _as_col(c)
+    if fn is F.avg and n > LONG_WINDOW:
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
+
+        def within(agg: Callable[[Column], Column]) -> Column:
+            return agg(c).over(upto) - F.coalesce(agg(c).over(before), F.lit(0))
+
+        return F.when(within(F.count) == n, within(F.sum) / n)
     f = w.rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(f) == n, fn(c).over(f))
 

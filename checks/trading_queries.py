@@ -8,7 +8,7 @@ from barspark.operators import labels, ledger, models, performance as perf, risk
 from barspark.operators.clean import fill_missing
 from barspark.operators.features import add_features
 from barspark.operators.resample import ohlcv_grid
-from barspark.operators.series import Series
+from barspark.operators.series import Series, stage
 import checks.bars_queries  # noqa: F401 - defines the CTEs used here
 from checks.common import EVENT_TICKS, R, W, _once, bars, cte, day_bars, event_ticks, over, roll, show, sql, table
 
@@ -408,7 +408,12 @@ cte("swmark", ("sweep", "bars"), """SELECT s.run_id, s.symbol, s.ts, s.pos, s.cl
 cte("swnet", ("swmark",), """SELECT run_id, symbol, ts, sum(CASE WHEN signal IS NULL THEN 0 ELSE coalesce((close - pentry) * pside, 0) - close * 0.001 * CASE WHEN pside IS NULL THEN 1 ELSE 2 END END) OVER (PARTITION BY run_id, symbol ORDER BY pos) + coalesce((close - entry) * side, 0) AS v FROM swmark""")
 cte("swcurve", ("swnet",), "SELECT t.run_id, t.ts, 10000 + sum(coalesce(n.v, 0)) AS equity FROM (SELECT DISTINCT run_id, ts FROM swnet) t CROSS JOIN (SELECT DISTINCT symbol FROM swnet) s ASOF LEFT JOIN swnet n ON n.run_id = t.run_id AND n.symbol = s.symbol AND n.ts <= t.ts GROUP BY 1, 2")
 cte("swret", ("swcurve",), "SELECT *, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY ts) - 1 AS ret FROM swcurve")
-q("sweep_sharpe", lambda sp, sf: show(perf.simple_metrics(ledger.equity_curve(ledger.mark_to_market(sweep(sp, sf), ledger.trades(sweep(sp, sf), SWEEP), SWEEP), SWEEP, ("run_id",))).select("run_id", "total_return", "sharpe_ratio"), 4),
+def _sweep_equity(sp, sf):
+    t = stage(ledger.trades(sweep(sp, sf), SWEEP))
+    return stage(ledger.equity_curve(ledger.mark_to_market(sweep(sp, sf), t, SWEEP), SWEEP, ("run_id",)))
+
+
+q("sweep_sharpe", lambda sp, sf: show(perf.simple_metrics(_sweep_equity(sp, sf)).select("run_id", "total_return", "sharpe_ratio"), 4),
   f"SELECT run_id, {R('last(equity ORDER BY ts) / first(equity ORDER BY ts) - 1', 4)} AS total_return, {R('avg(ret) / stddev_pop(ret) * sqrt(252)', 4)} AS sharpe_ratio FROM swret GROUP BY run_id", "swret")
 
 # ---------------------------------------------------------------- metrics of fixed predictions

@@ -126,6 +126,34 @@ def test_pair_fills_increase_decrease(spark):
         ("OPEN", 2.0, 10.0, None), ("INCREASE", 4.0, 15.0, None), ("DECREASE", 3.0, 15.0, 15.0), ("CLOSE", 0.0, 15.0, 30.0), ("OPEN", -1.0, 25.0, None)]
 
 
+@pytest.mark.parametrize("block", [40, 65_536])
+def test_pair_fills_in_blocks_equals_one_walk(spark, block):
+    """One hot key in many blocks gives what a single walk gives."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    pdf = pd.DataFrame({"symbol": np.where(rng.random(n) < 0.9, "HOT", "COLD"), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 500, n), unit="min"), "fill_id": np.arange(n),
+                        "side": np.where(rng.random(n) < 0.55, 1.0, -1.0), "quantity": rng.integers(1, 6, n).astype(float), "price": 100 + rng.random(n)})
+    got = ledger.pair_fills(to_spark(spark, pdf), block=block).toPandas().sort_values(["symbol", "ts", "fill_id"])
+    want = []
+    for _, g in pdf.sort_values(["symbol", "ts", "fill_id"]).groupby("symbol"):
+        held = entry = 0.0
+        for r in g.itertuples():
+            pnl = None
+            if held == 0:
+                kind, held, entry = "OPEN", r.side * r.quantity, r.price
+            elif held * r.side > 0:
+                kind, entry = "INCREASE", (entry * abs(held) + r.price * r.quantity) / (abs(held) + r.quantity)
+                held += r.side * r.quantity
+            else:
+                pnl = (r.price - entry) * min(r.quantity, abs(held)) * np.sign(held)
+                kind = "CLOSE" if r.quantity >= abs(held) else "DECREASE"
+                held = 0.0 if kind == "CLOSE" else held + r.side * r.quantity
+            want.append((kind, held, entry, pnl))
+    assert got["type"].tolist() == [w[0] for w in want]
+    np.testing.assert_allclose(got["position"], [w[1] for w in want])
+    np.testing.assert_allclose(got["pnl"].to_numpy(float), np.array([w[3] for w in want], float))
+
+
 def test_risk_reduction(spark):
     r = spark.createDataFrame([("m", "A", 50.0), ("m", "B", 30.0), ("m", "C", 20.0), ("n", "A", 1.0)], "account string, symbol string, risk double")
     e = spark.createDataFrame([("m", 1000.0), ("n", 1000.0)], "account string, equity double")
