@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -41,80 +42,88 @@ def _smoothed_mix(fast: float, slow: float) -> tuple[float, float]:
     return a, 1 - a
 
 
-def _technical(x: DataFrame, w: WindowSpec, p: dict[str, str | None]) -> DataFrame:
+@dataclass
+class _Layers:
+    """Columns by what they need, so that all features cost two window passes.
+
+    ``base``: windows over the bars; ``derived``: projections of those; ``second``: windows over
+    derived columns; ``final``: projections of everything.
+    """
+
+    base: dict[str, Column] = field(default_factory=dict)
+    derived: dict[str, Column] = field(default_factory=dict)
+    second: dict[str, Column] = field(default_factory=dict)
+    final: dict[str, Column] = field(default_factory=dict)
+
+    def add_to(self, x: DataFrame) -> DataFrame:
+        for layer in (self.base, self.derived, self.second, self.final):
+            x = x.withColumns(layer) if layer else x
+        names = [*self.base, *self.derived, *self.second, *self.final]
+        return x.drop(*[n for n in names if n.startswith("_")])
+
+
+def _technical(k: _Layers, w: WindowSpec, p: dict[str, str | None]) -> None:
     close = F.col(p["close"])
-    delta = F.col("_delta")
-    x = x.withColumn("_delta", close - F.lag(close).over(w))
-    x = x.withColumns({
-        "_gain": F.when(delta > 0, delta).otherwise(0.0),
-        "_loss": F.when(delta < 0, -delta).otherwise(0.0),
-    })
-    out: dict[str, Column] = {f"sma_{n}": rolling(F.avg, close, w, n) for n in AVERAGE_WINDOWS}
-    out["_up"], out["_down"] = (rolling(F.avg, c, w, RSI_WINDOW) for c in ("_gain", "_loss"))
-    out["_std20"] = rolling(F.stddev_samp, close, w, 20)
-    for n in RATE_WINDOWS:
-        out[f"roc_{n}"] = change(close, F.lag(close, n).over(w)) * 100
-    if p["high"] and p["low"]:
-        top, bottom = rolling(F.max, p["high"], w, STOCHASTIC_WINDOW), rolling(F.min, p["low"], w, STOCHASTIC_WINDOW)
-        out["_top"], out["_bottom"] = top, bottom
-    x = x.withColumns(out)
-    x = x.withColumns({
+    delta = close - F.col("_pc")
+    k.base |= {"_pc": F.lag(close).over(w), "_std20": rolling(F.stddev_samp, close, w, 20)}
+    k.base |= {f"sma_{n}": rolling(F.avg, close, w, n) for n in AVERAGE_WINDOWS}
+    k.base |= {f"_lag{n}": F.lag(close, n).over(w) for n in RATE_WINDOWS}
+    k.derived |= {"_gain": F.when(delta > 0, delta).otherwise(0.0), "_loss": F.when(delta < 0, -delta).otherwise(0.0)}
+    k.second |= {"_up": rolling(F.avg, "_gain", w, RSI_WINDOW), "_down": rolling(F.avg, "_loss", w, RSI_WINDOW)}
+    k.final |= {f"roc_{n}": change(close, f"_lag{n}") * 100 for n in RATE_WINDOWS}
+    k.final |= {
         "rsi_14": F.when(F.col("_down") == 0, F.when(F.col("_up") > 0, 100.0))
                    .otherwise(100 - 100 / (1 + ratio("_up", "_down"))),
         "bollinger_upper": F.col("sma_20") + 2 * F.col("_std20"),
         "bollinger_lower": F.col("sma_20") - 2 * F.col("_std20"),
         "bollinger_middle": F.col("sma_20"),
-    })
+    }
     if p["high"] and p["low"]:
-        x = x.withColumn("stoch_k", 100 * ratio(close - F.col("_bottom"), F.col("_top") - F.col("_bottom")))
-        x = x.withColumn("stoch_d", rolling(F.avg, "stoch_k", w, 3)).drop("_top", "_bottom")
-    return x.drop("_delta", "_gain", "_loss", "_up", "_down", "_std20")
+        k.base |= {"_top": rolling(F.max, p["high"], w, STOCHASTIC_WINDOW), "_bottom": rolling(F.min, p["low"], w, STOCHASTIC_WINDOW)}
+        k.derived["stoch_k"] = 100 * ratio(close - F.col("_bottom"), F.col("_top") - F.col("_bottom"))
+        k.second["stoch_d"] = rolling(F.avg, "stoch_k", w, 3)
 
 
-def _volatility(x: DataFrame, w: WindowSpec, p: dict[str, str | None], periods: int) -> DataFrame:
+def _volatility(k: _Layers, w: WindowSpec, p: dict[str, str | None], periods: int) -> None:
     if not (p["high"] and p["low"] and p["close"]):
-        return x
-    high, low, close = (F.col(p[c]) for c in ("high", "low", "close"))
-    before = F.lag(close).over(w)
-    x = x.withColumns({
-        "_range": F.greatest(high - low, F.abs(high - before), F.abs(low - before)),
-        "_ret": change(close, before),
-    })
-    out = {f"volatility_{n}": rolling(F.stddev_samp, "_ret", w, n) * math.sqrt(periods) for n in VOLATILITY_WINDOWS}
-    out["atr_14"] = rolling(F.avg, "_range", w, ATR_WINDOW)
+        return
+    high, low, close, before = F.col(p["high"]), F.col(p["low"]), F.col(p["close"]), F.col("_pc")
+    k.base["_pc"] = F.lag(close).over(w)
+    k.derived |= {"_range": F.greatest(high - low, F.abs(high - before), F.abs(low - before)), "_ret": change(close, before)}
+    k.second |= {f"volatility_{n}": rolling(F.stddev_samp, "_ret", w, n) * math.sqrt(periods) for n in VOLATILITY_WINDOWS}
+    k.second["atr_14"] = rolling(F.avg, "_range", w, ATR_WINDOW)
+    k.final["normalized_atr"] = ratio("atr_14", close)
     if p["open"]:
         hl, co = F.ln(ratio(high, low)), F.ln(ratio(close, p["open"]))
-        out["gk_volatility"] = 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co
-    return x.withColumns(out).withColumn("normalized_atr", ratio("atr_14", close)).drop("_range", "_ret")
+        k.final["gk_volatility"] = 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co
 
 
-def _patterns(x: DataFrame, w: WindowSpec, p: dict[str, str | None]) -> DataFrame:
+def _patterns(k: _Layers, w: WindowSpec, p: dict[str, str | None]) -> None:
     if not all(p[c] for c in ("open", "high", "low", "close")):
-        return x
-    o, h, lo, c = (F.col(p[k]) for k in ("open", "high", "low", "close"))
-    po, pc = F.lag(o).over(w), F.lag(c).over(w)
+        return
+    o, h, lo, c = (F.col(p[n]) for n in ("open", "high", "low", "close"))
+    po, pc = F.col("_po"), F.col("_pc")
     body = F.abs(c - o)
     bigger = body > F.abs(po - pc)
 
     def yes(test: Column) -> Column:
         return F.coalesce(test, F.lit(False))
 
-    out = {
+    k.base |= {"_po": F.lag(o).over(w), "_pc": F.lag(c).over(w)}
+    k.base |= {f"resistance_{n}": rolling(F.max, h, w, n) for n in LEVEL_WINDOWS}
+    k.base |= {f"support_{n}": rolling(F.min, lo, w, n) for n in LEVEL_WINDOWS}
+    k.derived["_ret"] = change(c, pc)
+    k.second["_ret_before"] = F.lag("_ret").over(w)
+    k.final |= {
         "doji": yes(ratio(body, c) < DOJI_LIMIT),
         "hammer": yes((F.greatest(o, c) - lo >= 2 * body) & (body > 0)),
         "bullish_engulfing": yes((o < c) & (po > pc) & (o <= pc) & (c >= po) & bigger),
         "bearish_engulfing": yes((o > c) & (po < pc) & (o >= pc) & (c <= po) & bigger),
-        "_ret1": change(c, pc),
+        "price_accel": F.col("_ret") - F.col("_ret_before"),
     }
     for n in LEVEL_WINDOWS:
-        out[f"resistance_{n}"] = rolling(F.max, h, w, n)
-        out[f"support_{n}"] = rolling(F.min, lo, w, n)
-    x = x.withColumns(out)
-    out = {"price_accel": F.col("_ret1") - F.lag("_ret1").over(w)}
-    for n in LEVEL_WINDOWS:
-        out[f"dist_to_resistance_{n}"] = ratio(F.col(f"resistance_{n}") - c, c)
-        out[f"dist_to_support_{n}"] = ratio(c - F.col(f"support_{n}"), c)
-    return x.withColumns(out).drop("_ret1")
+        k.final[f"dist_to_resistance_{n}"] = ratio(F.col(f"resistance_{n}") - c, c)
+        k.final[f"dist_to_support_{n}"] = ratio(c - F.col(f"support_{n}"), c)
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -145,11 +154,14 @@ def add_features(df: DataFrame, s: Series = BARS, groups: Sequence[str] = GROUPS
         df = numbered(df, s)
 
         def make(x: DataFrame, w: WindowSpec) -> DataFrame:
+            k = _Layers()
             if "technical" in groups:
-                x = _technical(x, w, p)
+                _technical(k, w, p)
             if "volatility" in groups:
-                x = _volatility(x, w, p, periods_per_year)
-            return _patterns(x, w, p) if "patterns" in groups else x
+                _volatility(k, w, p, periods_per_year)
+            if "patterns" in groups:
+                _patterns(k, w, p)
+            return k.add_to(x)
 
         if "technical" in groups:
             spans = {*AVERAGE_WINDOWS, MACD_FAST, MACD_SLOW, MACD_SIGNAL}
