@@ -66,15 +66,17 @@ def drawdown_spells(df: DataFrame, s: Series = CURVE) -> DataFrame:
 def top_drawdowns(df: DataFrame, n: int = 5, s: Series = CURVE) -> DataFrame:
     """The ``n`` deepest spells of each account, earliest first among equals.
 
-    Only the n best of each partial group travel: a bounded top-k, not a sort per account.
+    First the n best of each of 64 slices of an account (Spark cuts every sorted slice at n before
+    and after the shuffle), then the n best of those.
     """
-    spells = drawdown_spells(df, s)
-    row = F.struct(F.col("max_drawdown"), F.col("start_time"), F.col("end_time"), F.col("trough_time"), F.col("duration_days"))
-    salted = spells.withColumn("_salt", F.pmod(F.xxhash64("start_time"), F.lit(64)))
-    first = salted.groupBy(*s.keys, "_salt").agg(F.slice(F.sort_array(F.collect_list(row)), 1, n).alias("_top"))
-    best = first.groupBy(*s.keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, n).alias("_top"))
-    return best.select(*s.keys, F.posexplode("_top").alias("_i", "_r")).select(
-        *s.keys, (F.col("_i") + 1).alias("rank"), "_r.*")
+    order = ["max_drawdown", "start_time"]
+
+    def best(x: DataFrame, *by: str) -> DataFrame:
+        return x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+    spells = drawdown_spells(df, s).withColumn("_slice", F.pmod(F.xxhash64("start_time"), F.lit(64)))
+    top = best(best(spells, *s.keys, "_slice").drop("rank"), *s.keys)
+    return top.select(*s.keys, "rank", "max_drawdown", "start_time", "end_time", "trough_time", "duration_days")
 
 
 def drawdown_summary(df: DataFrame, s: Series = CURVE) -> DataFrame:

@@ -55,6 +55,7 @@ Q["importance_fold_scores"] = lambda sp, sf: show(select.forest_importance(table
 Q["importance_category_totals"] = lambda sp, sf: show(select.category_totals(_importance(sp, sf)))
 Q["select_features"] = lambda sp, sf: sp.createDataFrame(list(enumerate(select.select_features(_importance(sp, sf), select.Selection("cumulative", 0.8, min_features=2)))), "rank long, feature string")
 Q["recursive_elimination"] = lambda sp, sf: show(select.recursive_elimination(table_(sp, sf), FEATURES[:5], "next_return", 3, numTrees=10, maxDepth=4))
+Q["forward_selection"] = lambda sp, sf: sp.createDataFrame(list(enumerate(select.forward_selection(folds(sp, sf), FEATURES[:3], "next_return", 1, numTrees=5, maxDepth=3))), "rank long, feature string")
 Q["drop_correlated"] = lambda sp, sf: sp.createDataFrame([(f,) for f in select.drop_correlated(table_(sp, sf), FEATURES)], "feature string")
 Q["walk_forward"] = lambda sp, sf: show(models.walk_forward(folds(sp, sf), FEATURES, "classification", **SMALL))
 Q["cross_validation"] = lambda sp, sf: show(models.cross_validate(folds(sp, sf), FEATURES, "classification", **SMALL))
