@@ -25,14 +25,14 @@ def train_part(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches into slices of about SLICE_BYTES of text (one row at least); null texts become empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut record batches into slices of about ``slice_bytes`` of text (one row at least); null texts become empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         at = 0
         while at < batch.num_rows:
             part, size = [], 0
-            while at + len(part) < batch.num_rows and (not part or size < SLICE_BYTES):
+            while at + len(part) < batch.num_rows and (not part or size < slice_bytes):
                 t = texts[at + len(part)].as_py() or ""
                 part.append(t)
                 size += len(t)

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontam, golay, langid, packing, toxicity
-from barspark.llm.common import train_part
+from barspark.llm import ann, chat, decontam, golay, langid, lmscore, packing, sharding, toxicity, warc
+from barspark.llm.common import shared_folder, stage, train_part
 
 TOKENIZER = "word_bpe_49k.json"
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_conversation(spark))
+    return chat.digests(chat.format_conversations(turns), chat.expand_prefixes(turns))
+
+
+def op2_cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
+    good = table(spark, sf, "labels").where("quality = 1")
+    return lmscore.cross_entropy_difference(table(spark, sf, "documents"), good)
+
+
 def op3_golay_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     got = golay.near_duplicates(table(spark, sf, "documents"))
     return got.select("doc_id", golay.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_gzip_members(spark: SparkSession, sf: str) -> DataFrame:
+    top = f"{shared_folder(spark)}/barspark/warc-{uuid.uuid4().hex}"
+    written = stage(warc.write_monoliths(table(spark, sf, "pages"), f"{top}/whole"))
+    files = written.select("file").distinct().count()
+    done = stage(warc.normalise(written, warc.find_revisits(written), f"{top}/whole", f"{top}/members", files))
+    got = warc.read_back(done, f"{top}/members", files)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -44,5 +66,35 @@ def op8_minimum_bin_slack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-Q = {f.__name__: f for f in (op3_golay_near_duplicates, op5_decontamination, op6_language_profiles, op7_toxicity, op8_minimum_bin_slack)}
-S: dict[str, str] = {}
+def op9_learned_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_lookup_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
+
+
+Q = {f.__name__: f for f in (op1_prefix_targets, op2_cross_entropy_difference, op3_golay_near_duplicates, op4_gzip_members, op5_decontamination, op6_language_profiles,
+                             op7_toxicity, op8_minimum_bin_slack, op9_learned_partitions, op10_lookup_sharding)}
+
+
+def _escaped(c: str) -> str:
+    return rf"""regexp_replace(regexp_replace({c}, '(<)(\\*)(/?s>|</?SYS>>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"""
+
+
+S: dict[str, str] = {
+    "op1_prefix_targets": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(13 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op4_gzip_members": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+     k AS (SELECT d, n, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n""",
+}
