@@ -101,7 +101,7 @@ def split_numeric(df: DataFrame, skip: Sequence[str]) -> tuple[list[str], list[s
 
 
 def fill_everything(df: DataFrame, s: Series = BARS, linear: bool = False, cols: Sequence[str] | None = None) -> DataFrame:
-    """No null is left: numbers ffill, bfill, mean, 0; others ffill, bfill, mode, "UNKNOWN".
+    """Numbers ffill, bfill, mean, 0; others ffill, bfill, mode, "UNKNOWN". No null is left but in dates a key has none of.
 
     ``linear`` first draws lines between known numbers (by row).
     """

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import change, ratio
 from barspark.functions.naming import find_price_columns
-from barspark.operators.series import BARS, Ewm, Series, ewm, frames, numbered, rolling
+from barspark.operators.series import BARS, Ewm, Series, ewm, frames, numbered, mean_parts, rolling, rolling_means
 
 # ---- fixed values: window lengths and thresholds that define the feature names
 AVERAGE_WINDOWS = (5, 10, 20, 50, 200)
@@ -46,7 +46,7 @@ def _smoothed_mix(fast: float, slow: float) -> tuple[float, float]:
 class _Layers:
     """Columns by what they need, so that all features cost two window passes.
 
-    ``base``: windows over the bars; ``derived``: projections of those; ``second``: windows over
+    ``base``: windows over the bars; ``derived``: projections of those, and sums of earlier ones; ``second``: windows over
     derived columns; ``final``: projections of everything.
     """
 
@@ -66,7 +66,9 @@ def _technical(k: _Layers, w: WindowSpec, p: dict[str, str | None]) -> None:
     close = F.col(p["close"])
     delta = close - F.col("_pc")
     k.base |= {"_pc": F.lag(close).over(w), "_std20": rolling(F.stddev_samp, close, w, 20)}
-    k.base |= {f"sma_{n}": rolling(F.avg, close, w, n) for n in AVERAGE_WINDOWS}
+    for n in AVERAGE_WINDOWS:
+        parts, k.derived[f"sma_{n}"] = mean_parts(f"sma_{n}", close, w, n)
+        k.base |= parts
     k.base |= {f"_lag{n}": F.lag(close, n).over(w) for n in RATE_WINDOWS}
     k.derived |= {"_gain": F.when(delta > 0, delta).otherwise(0.0), "_loss": F.when(delta < 0, -delta).otherwise(0.0)}
     k.second |= {"_up": rolling(F.avg, "_gain", w, RSI_WINDOW), "_down": rolling(F.avg, "_loss", w, RSI_WINDOW)}
@@ -183,5 +185,5 @@ def _macd(df: DataFrame) -> DataFrame:
 
 def moving_averages(df: DataFrame, s: Series = BARS, windows: Sequence[int] = AVERAGE_WINDOWS,
                     c: str = "close") -> DataFrame:
-    return frames(df, s, lambda x, w: x.withColumns({f"sma_{n}": rolling(F.avg, c, w, n) for n in windows}),
+    return frames(df, s, lambda x, w: rolling_means(x, w, {f"sma_{n}": (c, n) for n in windows}),
                   back=max(windows))

@@ -7,14 +7,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.functions.columns import ratio
-from barspark.operators.series import BARS, Series, frames, number_rows, running_sum, scan
+from barspark.operators.series import BARS, Series, frames, number_rows, running_sum, scan, stage
 
 # ---- fixed values: model parameters
 FOREST = dict(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=42)
@@ -32,8 +32,10 @@ def tree_model(kind: str, task: str, label: str = "label", **params):
 
 def model_pipeline(features: Sequence[str], kind: str = "forest", task: str = "classification", label: str = "label",
                    scale: bool = True, **params) -> Pipeline:
-    """Assemble, standardise on the training rows, fit trees."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features" if scale else "features", handleInvalid="skip")]
+    """Assemble, standardise on the training rows, fit trees. No row is left out: nulls and non-finite inputs count as 0 (as in ``align_inputs``)."""
+    known = ", ".join(f"CASE WHEN `{f}` IS NULL OR isnan(CAST(`{f}` AS DOUBLE)) OR abs(CAST(`{f}` AS DOUBLE)) = double('Infinity') THEN 0D ELSE CAST(`{f}` AS DOUBLE) END AS `_in_{f}`" for f in features)
+    stages = [SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
+              VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="raw_features" if scale else "features", handleInvalid="error")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     return Pipeline(stages=[*stages, tree_model(kind, task, label, **params)])
@@ -59,7 +61,7 @@ def predict(model: PipelineModel, df: DataFrame, task: str = "classification") -
     out = model.transform(df)
     up = vector_to_array("probability")[1] if task == "classification" else 1 / (1 + F.exp(-F.col("prediction")))
     out = out.withColumn("probability_up", up)
-    return out.drop("raw_features", "features", "rawPrediction", "probability")
+    return out.drop("raw_features", "features", "rawPrediction", "probability", *[c for c in out.columns if c.startswith("_in_")])
 
 
 def predicted_direction(df: DataFrame, task: str = "classification", threshold: float = 0.5) -> DataFrame:
@@ -172,8 +174,10 @@ def walk_forward(tagged: DataFrame, features: Sequence[str], task: str = "classi
                  keep: Sequence[str] = ("symbol", "ts"), fit: Callable[[DataFrame], PipelineModel] | None = None, **params) -> DataFrame:
     """Fit on each fold's training rows, predict its test rows; all predictions with ``split_index``.
 
-    The loop is over folds (a handful); training and scoring are Spark jobs.
+    The loop is over folds (a handful); training and scoring are Spark jobs. The tagged rows and the predictions are
+    staged, so that neither is made again for every fold or metric.
     """
+    tagged = stage(tagged)
     folds = sorted(r["split_index"] for r in tagged.select("split_index").distinct().collect())
     fit = fit or (lambda train: model_pipeline(features, kind, task, label, **params).fit(train))
     out = None
@@ -182,7 +186,11 @@ def walk_forward(tagged: DataFrame, features: Sequence[str], task: str = "classi
         model = fit(rows.where("split_type = 'train'"))
         scored = predict(model, rows.where("split_type = 'test'"), task).select("split_index", *keep, label, "prediction", "probability_up")
         out = scored if out is None else out.unionByName(scored)
-    return out
+    return stage(out) if out is not None else predict_nothing(tagged, keep, label)
+
+
+def predict_nothing(tagged: DataFrame, keep: Sequence[str], label: str) -> DataFrame:
+    return tagged.where(F.lit(False)).select("split_index", *keep, label, F.lit(0.0).alias("prediction"), F.lit(0.0).alias("probability_up"))
 
 
 def cross_validate(tagged: DataFrame, features: Sequence[str], task: str = "classification", kind: str = "forest", label: str = "label", **kw) -> DataFrame:

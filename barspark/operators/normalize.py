@@ -12,7 +12,7 @@ from barspark.functions.columns import change, ratio
 from barspark.operators.clean import PRICES, split_numeric
 from barspark.operators.prepare import log_offset
 from barspark.operators.quantiles import quantiles
-from barspark.operators.series import BARS, Series, frames, numbered, rolling
+from barspark.operators.series import BARS, Series, frames, numbered, rolling, rolling_means
 
 KEEP = ("_raw", "_original")
 
@@ -121,8 +121,8 @@ def invert_normaliser(df: DataFrame, params: DataFrame, methods: dict[str, str],
 def rolling_normalise(df: DataFrame, cols: Sequence[str], window: int = 100, s: Series = BARS) -> DataFrame:
     """(x - mean) / std over the last ``window`` rows."""
     def make(x: DataFrame, w) -> DataFrame:
-        return x.withColumns({f"{c}_rz": ratio(F.col(c) - rolling(F.avg, c, w, window),
-                                               rolling(F.stddev_samp, c, w, window)) for c in cols})
+        x = rolling_means(x, w, {f"_mean_{c}": (c, window) for c in cols})
+        return x.withColumns({f"{c}_rz": ratio(F.col(c) - F.col(f"_mean_{c}"), rolling(F.stddev_samp, c, w, window)) for c in cols}).drop(*[f"_mean_{c}" for c in cols])
 
     return frames(df, s, make, back=window - 1)
 

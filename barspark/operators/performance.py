@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import change, ratio
 from barspark.operators.quantiles import quantiles
-from barspark.operators.series import Series, frames, number_rows, numbered, rolling, running_max, running_sum, scan, utc_micros
+from barspark.operators.series import Series, frames, number_rows, numbered, rolling, rolling_means, running_max, running_sum, scan, utc_micros
 
 # ---- fixed values
 PERIODS_PER_YEAR = 252
@@ -139,7 +139,8 @@ def rolling_metrics(df: DataFrame, window: int = 30, s: Series = CURVE, risk_fre
         x = x.withColumns({
             "rolling_return": change("equity", F.lag("equity", window).over(w)),
             "rolling_volatility": rolling(F.stddev_samp, "return", w, window) * math.sqrt(periods),
-            "_mean": rolling(F.avg, "return", w, window), "_top": rolling(F.max, "equity", w, window)})
+            "_top": rolling(F.max, "equity", w, window)})
+        x = rolling_means(x, w, {"_mean": ("return", window)})
         return x.withColumns({
             "rolling_sharpe": ratio((F.col("_mean") - daily) * periods, "rolling_volatility"),
             "rolling_drawdown": ratio(F.col("equity") - F.col("_top"), "_top")})

@@ -7,42 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.operators.series import BARS, Series
+from barspark.operators.series import BARS, Series, join_by, stage
 
-BINS = 4096
 
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], s: Series = BARS,
-              bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], s: Series = BARS, parts: int | None = None) -> DataFrame:
     """``keys, column, q`` with ``q[i]`` the linearly interpolated quantile ``probs[i]``.
 
     1. equal values are counted together (partial aggregation);
-    2. the counts go into ``bins`` equal-width bins between each column's min and max;
-    3. running counts over the bins (at most ``bins`` rows per key and column) give the rank
-       range of every bin, so only bins that hold a wanted rank are looked at value by value.
+    2. the counted values are range-partitioned on key, column and value (and written, since counts and values must see the same
+       bounds), so parts hold like numbers of values whatever their spread;
+    3. running counts over the parts (``parts`` rows per key and column at most) give the rank range of each, and only parts that
+       hold a wanted rank are looked at value by value.
     """
     keys = [*s.keys, "column"]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(*s.keys, F.inline(pairs)).where(F.col("v").isNotNull())
     counted = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    span = long.groupBy(*keys).agg(F.min("v").alias("_min"), F.max("v").alias("_max"), F.count("v").alias("_all"))
-    share = F.try_divide(F.col("v") - F.col("_min"), F.col("_max") - F.col("_min"))
-    binned = counted.join(span, keys).withColumn(
-        "_bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
-    ranks = [F.struct(F.lit(i).alias("i"), (F.col("_all") - 1).cast("double").alias("top"), F.lit(float(p)).alias("p"))
-             for i, p in enumerate(probs)]
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_n"), F.first("_all").alias("_all"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    binned = stage(counted.repartitionByRange(parts, *keys, "v").withColumn("_bin", F.spark_partition_id()))
+    ranks = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
+    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = per_bin.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    whole = Window.partitionBy(*keys)
+    per_bin = per_bin.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_top": (F.sum("_n").over(whole) - 1).cast("double")})
     # wanted 0-based ranks: the two neighbours of p * (n - 1)
-    wanted = per_bin.withColumn("_r", F.explode(F.array(*ranks))).withColumn("_x", F.col("_r.p") * F.col("_r.top"))
+    wanted = per_bin.withColumn("_r", F.explode(F.array(*ranks))).withColumn("_x", F.col("_r.p") * F.col("_top"))
     wanted = wanted.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_x"), F.ceil("_x")))))
     wanted = wanted.where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n")))
     wanted = wanted.select(*keys, "_bin", "_before", F.col("_r.i").alias("_i"), "_x", "_k")
-    hit = binned.join(wanted.select(*keys, "_bin", "_before").distinct(), [*keys, "_bin"])
+    hit = join_by(binned, wanted.select(*keys, "_bin", "_before").distinct(), [*keys, "_bin"], "inner")
     upto = Window.partitionBy(*keys, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("_end", F.col("_before") + F.sum("n").over(upto)).withColumn("_start", F.col("_end") - F.col("n"))
-    found = hit.drop("_before").join(wanted.drop("_before"), [*keys, "_bin"]).where(
+    found = join_by(hit.drop("_before"), wanted.drop("_before"), [*keys, "_bin"], "inner").where(
         (F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end")))
     weight = F.when(F.col("_k") == F.floor("_x"), 1 - (F.col("_x") - F.floor("_x"))).otherwise(F.col("_x") - F.floor("_x"))
     each = found.groupBy(*keys, "_i").agg(F.sum(F.col("v") * weight).alias("q"))

@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from barspark.functions.naming import IMPORTANCE_CATEGORIES, METADATA_CATEGORIES
 from barspark.operators.clean import null_profile, split_numeric
 from barspark.operators.labels import label_value
 from barspark.operators.models import importances, model_pipeline, regression_metrics
-from barspark.operators.series import BARS, Series
+from barspark.operators.series import BARS, Series, stage
 from barspark.operators.splits import expanding_folds
 
 # ---- fixed values
@@ -28,6 +26,8 @@ CONSTANT_LIMIT = 1e-10
 DEFAULT_SHARE = 0.2
 # ---- end of fixed values
 
+PAIRS_AT_ONCE = 500  # correlations in one aggregation
+
 
 def validate(df: DataFrame, target: str, s: Series = BARS) -> str:
     """The usable target column; raises when the data cannot be analysed."""
@@ -76,7 +76,7 @@ def forest_importance(df: DataFrame, target: str = "close_return", lookback: int
     target = validate(df, target, s)
     features = list(features or usable_features(df, target, s))
     labelled = label_value(df, target, lookback, s).where("label is not null")
-    tagged = expanding_folds(labelled, n_splits, s)
+    tagged = stage(expanding_folds(labelled, n_splits, s))
     imp = scores = None
     for f in range(n_splits):
         rows = tagged.where(F.col("split_index") == f)
@@ -186,10 +186,17 @@ def select_by_correlation(corr: DataFrame, threshold: float = 0.05, min_features
 
 
 def drop_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> list[str]:
-    """Leave out every feature that correlates above the threshold with an earlier one."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip").transform(df).select("v")
-    m = Correlation.corr(vec, "v").first()[0].toArray()
-    return [f for j, f in enumerate(features) if not any(abs(m[i][j]) > threshold for i in range(j))]
+    """Leave out every feature that correlates above the threshold with an earlier one.
+
+    Each pair over the rows that know both values, all pairs in a few aggregations of one pass each.
+    """
+    pairs = [(i, j) for j in range(len(features)) for i in range(j)]
+    high: set[int] = set()
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at:at + PAIRS_AT_ONCE]
+        row = df.agg(*[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")) for i, j in some]).first()
+        high |= {j for (_, j), r in zip(some, row) if r is not None and abs(r) > threshold}
+    return [f for j, f in enumerate(features) if j not in high]
 
 
 # ---------------------------------------------------------------- wrappers around model fits

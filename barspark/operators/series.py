@@ -20,14 +20,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SCAN_BLOCK = 65_536
 FRAME_BLOCK = 3_072  # with its halo below the 4096 rows a window keeps in memory by default
-LONG_WINDOW = 32
 EWM_BLOCK = 2_048
+LEAST_WEIGHT = 1e-18
 
 
 @dataclass(frozen=True)
@@ -88,7 +91,7 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, s: Series = BARS, bucket: str = "1 day", method: str = "time") -> DataFrame:
-    """Add ``pos`` (0-based row number per key) without sorting a key in one task.
+    """Add ``pos`` (0-based row number per key) without sorting a key in one task. Every row stays: null keys are a key, null times come first.
 
     ``time``:  rows are numbered inside fixed time buckets and shifted by the count of the
                earlier buckets. Right for series whose rows per bucket are bounded (bars).
@@ -102,19 +105,24 @@ def number_rows(df: DataFrame, s: Series = BARS, bucket: str = "1 day", method:
         df = df.repartitionByRange(parts, *keys, *s.order()).withColumn("_part", F.spark_partition_id())
         df = stage(df)
     else:
-        df = df.withColumn("_part", F.window(F.col(s.ts).cast("timestamp"), bucket).start)
+        df = df.withColumn("_part", F.floor(utc_micros(s.ts) / F.lit(int(pd.Timedelta(bucket) / pd.Timedelta(microseconds=1)))))
     counts = df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_part").orderBy(*s.order())
     return (
-        df.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_part"])
+        join_by(df.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, "_part"], "inner")
         .withColumn(s.pos, (F.col("_before") + F.col("_rn") - 1).cast("long"))
         .drop("_part", "_rn", "_before")
     )
 
 
+def join_by(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join on columns of one name, null equal to null; the right side's copies of them are dropped."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]), how).drop(*[f"_right_{c}" for c in on])
+
+
 def numbered(df: DataFrame, s: Series = BARS) -> DataFrame:
     return df if s.pos in df.columns else number_rows(df, s)
 
@@ -195,7 +203,7 @@ def scan(df: DataFrame, s: Series, outs: Mapping[str, Scan], block: int = SCAN_B
         w = backward if sc.kind == "next" else forward
         w = w.rowsBetween(Window.unboundedPreceding, 0 if sc.inclusive else -1)
         local[f"_l_{o}"] = running(sc, F.col(f"_in_{o}"), w)
-    x = x.withColumns(local).join(carry, [*keys, "_blk"], "left")
+    x = join_by(x.withColumns(local), carry, [*keys, "_blk"])
 
     def combine(o: str, sc: Scan) -> Column:
         loc, car = F.col(f"_l_{o}"), F.col(f"_c_{o}")
@@ -231,7 +239,7 @@ def frames(
     """
     block = block or max(FRAME_BLOCK, back, ahead)
     if max(back, ahead) > block:
-        raise ValueError(f"look-back {back}/{ahead} is longer than a block of {block} rows")
+        raise ValueError(f"look-back {back}/{ahead} is longer than the given block of {block} rows")
     df = numbered(df, s)
     own, inside = s.block(block), F.pmod(F.col(s.pos), F.lit(block))
     targets = [own]
@@ -247,22 +255,41 @@ def frames(
 
 
 def rolling(fn: Callable[[Column], Column], c: str | Column, w: WindowSpec, n: int) -> Column:
-    """``fn`` over the last ``n`` rows; null until ``n`` non-null values are in the frame.
+    """``fn`` over the last ``n`` rows; null until ``n`` non-null values are in the frame. Each row reads ``n`` rows."""
+    c = _as_col(c)
+    f = w.rowsBetween(-(n - 1), 0)
+    return F.when(F.count(c).over(f) == n, fn(c).over(f))
+
 
-    A sliding frame re-reads its ``n`` rows for every row. Long means are therefore taken as the
-    difference of two running sums (one addition per row); they run within a block, so the sums
-    stay small. Other functions and short windows, where exact zeros matter, slide.
+def mean_parts(name: str, c: str | Column, w: WindowSpec, n: int) -> tuple[dict[str, Column], Column]:
+    """A mean over the last ``n`` rows in two steps: columns to add first, and the mean made from them.
+
+    The window is cut into stretches of about sqrt(n) rows. The sum of a stretch is taken once per row and the window's sum is
+    that of the stretches that end in it, so a row costs about 2 sqrt(n) additions. Nothing is subtracted: a huge
+    value or a NaN is gone when it leaves the window. Null until ``n`` non-null values are in the window.
     """
     c = _as_col(c)
-    if fn is F.avg and n > LONG_WINDOW:
-        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
+    size = math.isqrt(max(0, n - 1)) + 1
+    many, rest = divmod(n, size)
+    parts = {}
+    for tag, k in (("a", size), ("b", rest)):
+        if k:
+            f = w.rowsBetween(-(k - 1), 0)
+            parts |= {f"_{name}_s{tag}": F.sum(c).over(f), f"_{name}_n{tag}": F.count(c).over(f)}
 
-        def within(agg: Callable[[Column], Column]) -> Column:
-            return agg(c).over(upto) - F.coalesce(agg(c).over(before), F.lit(0))
+    def total(kind: str) -> Column:
+        terms = [F.lag(f"_{name}_{kind}a", i * size).over(w) if i else F.col(f"_{name}_{kind}a") for i in range(many)]
+        terms += [F.lag(f"_{name}_{kind}b", many * size).over(w)] if rest else []
+        return reduce(lambda x, y: x + y, terms)
+
+    return parts, F.when(total("n") == n, total("s") / n)
 
-        return F.when(within(F.count) == n, within(F.sum) / n)
-    f = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(c).over(f) == n, fn(c).over(f))
+
+def rolling_means(x: DataFrame, w: WindowSpec, means: Mapping[str, tuple[str | Column, int]]) -> DataFrame:
+    """Add ``out: (column, n)`` means over the last ``n`` rows (see ``mean_parts``)."""
+    made = {out: mean_parts(out, c, w, n) for out, (c, n) in means.items()}
+    helper = {k: v for parts, _ in made.values() for k, v in parts.items()}
+    return x.withColumns(helper).withColumns({out: m for out, (_, m) in made.items()}).drop(*helper)
 
 
 # ---------------------------------------------------------------- exponential averages
@@ -295,15 +322,19 @@ def ewm_block(specs: Mapping[str, Ewm]) -> int:
     return int(min(EWM_BLOCK, 2 * math.floor(600.0 / -math.log(small))))
 
 
-def ewm_carry(df: DataFrame, s: Series, specs: Mapping[str, Ewm], block: int) -> DataFrame:
-    """What the earlier blocks still weigh at the start of each block: one row per key and block."""
+def ewm_carry(df: DataFrame, s: Series, specs: Mapping[str, Ewm], block: int, least_weight: float = LEAST_WEIGHT) -> DataFrame:
+    """What the earlier blocks still weigh at the start of each block: one row per key and block.
+
+    Rows whose weight in the average is below ``least_weight`` (1e-18 of a value, beyond what a double can show next to values of like
+    size) are left out; with a smaller one more blocks are summed.
+    """
     keys = list(s.keys)
     x = df.withColumns({"_blk": s.block(block), "_to_end": F.lit(block - 1) - F.pmod(F.col(s.pos), F.lit(block))})
     tails = x.groupBy(*keys, "_blk").agg(
         *[F.sum(e.input(s) * F.pow(F.lit(e.decay), F.col("_to_end"))).alias(f"_t_{o}") for o, e in specs.items()]
     )
     slowest = max(e.decay for e in specs.values())
-    reach = max(1, math.ceil(41.5 / (-math.log(slowest) * block)))  # beyond it the weight is below 1e-18
+    reach = max(1, math.ceil(math.log(least_weight) / (math.log(slowest) * block)))
     moved = tails.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn(
         "_blk", F.col("_blk") + F.col("_step")
     )
@@ -343,14 +374,15 @@ def ewm(df: DataFrame, s: Series, specs: Mapping[str, Ewm], back: int = 0,
     """Add every average of ``specs``; ``make`` may add bounded-frame columns in the same pass."""
     df = numbered(df, s)
     block = ewm_block(specs)
-    if back > block:
-        raise ValueError(f"look-back {back} is longer than a block of {block} rows")
+    if back > block:  # a small span needs small blocks, a long look-back needs large ones: two passes
+        df = frames(df, s, make, back=back) if make else df
+        make, back = None, 0
 
     def both(x: DataFrame, w: WindowSpec) -> DataFrame:
         x = x.withColumns(ewm_local(s, specs, w, block))
         return make(x, w) if make else x
 
     x = frames(df, s, both, back=back, block=block, keep_block=True)
-    x = x.join(ewm_carry(df, s, specs, block), [*s.keys, "_blk"], "left")
+    x = join_by(x, ewm_carry(df, s, specs, block), [*s.keys, "_blk"])
     helper = [c for o in specs for c in (f"_y_{o}", f"_e_{o}")]
     return x.withColumns(ewm_result(s, specs, block)).drop("_blk", *helper)

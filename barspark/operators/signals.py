@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from barspark.functions.columns import typical_price
-from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, ewm, frames, last, numbered, rolling, scan
+from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, ewm, frames, last, numbered, rolling_means, scan
 
 BUY, SELL, REVERSE, EXIT_LONG, EXIT_SHORT = "BUY", "SELL", "REVERSE", "EXIT_LONG", "EXIT_SHORT"
 
@@ -46,8 +46,7 @@ def ma_crossover(df: DataFrame, short: int = 10, long: int = 50, threshold: floa
     """Short against long moving average of close or typical price, after ``long`` rows."""
     df = numbered(df, s).withColumn("_price", F.col("close") if use_close else typical_price())
     if simple:
-        df = frames(df, s, lambda x, w: x.withColumns({
-            "short_ma": rolling(F.avg, "_price", w, short), "long_ma": rolling(F.avg, "_price", w, long)}), back=long)
+        df = frames(df, s, lambda x, w: rolling_means(x, w, {"short_ma": ("_price", short), "long_ma": ("_price", long)}), back=long)
     else:
         df = ewm(df, s, {"short_ma": Ewm("_price", short, adjust=True), "long_ma": Ewm("_price", long, adjust=True)})
     return crossover(df.drop("_price"), F.col("short_ma") - F.col("long_ma"), threshold, s,
@@ -72,7 +71,7 @@ def sma_sweep(df: DataFrame, shorts: Sequence[int], longs: Sequence[int], thresh
     window pass whatever the number of pairs.
     """
     windows = sorted({*shorts, *longs})
-    df = frames(numbered(df, s), s, lambda x, w: x.withColumns({f"_ma{n}": rolling(F.avg, "close", w, n) for n in windows}),
+    df = frames(numbered(df, s), s, lambda x, w: rolling_means(x, w, {f"_ma{n}": ("close", n) for n in windows}),
                 back=max(windows))
     runs = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("run_id"), F.lit(a).alias("short_window"),
                               F.lit(b).alias("long_window"), F.col(f"_ma{a}").alias("short_ma"),

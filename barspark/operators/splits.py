@@ -1,7 +1,7 @@
 """Rolling and expanding time folds as tags on rows.
 
-Folds are a handful of date (or row) ranges worked out on the driver from one small
-aggregate; rows get every (fold, split) they belong to by a projection, without a join.
+Rolling folds are evenly spaced, so the folds of a row follow from its time or number by division: a row is unfolded into
+its range of fold numbers, whatever the number of folds, without a join.
 """
 
 from __future__ import annotations
@@ -42,42 +42,85 @@ def parse_period(p: Period | None) -> int | dt.timedelta | None:
     return dt.timedelta(days=int(m[1]) * PERIOD_DAYS[m[2]]) if m[2] else int(m[1])
 
 
-def fold_ranges(start, end, n_rows: int, train: Period, test: Period, step: Period | None = None,
-                max_train: Period | None = None, n_splits: int | None = None) -> list[Fold]:
-    """All folds that fit. Row counts when train and test are both counts, else times.
+@dataclass(frozen=True)
+class Rolling:
+    """``count`` folds: number i trains from ``begin + i * step`` on for ``train``, then tests for ``test``.
 
-    Counts mixed with times are turned into times by the average row distance.
-    ``max_train`` bounds the window back from its end, and so may also lengthen it.
+    With ``most`` the training rows are those of the last ``most`` before the test, from ``begin`` at the earliest.
     """
-    tr, te = parse_period(train), parse_period(test)
-    st, mx = parse_period(step if step is not None else test), parse_period(max_train)
-    if isinstance(tr, int) and isinstance(te, int):
-        if n_splits is not None:
-            room = n_rows - tr - te
-            if room <= 0:
-                raise ValueError("too few rows for these periods")
-            st = max(1, room // (n_splits - 1)) if n_splits > 1 else te
-        if not isinstance(st, int) or st <= 0:
-            raise ValueError("the step must be a positive number of rows")
-        cap = mx if isinstance(mx, int) else None
-        begins = range(0, n_rows - te - tr + 1, st)
-        return [Fold(i, max(0, b + tr - cap) if cap is not None else b, b + tr, b + tr + te)
-                for i, b in enumerate(begins)]
-    gap = (end - start) / max(1, n_rows - 1)
-    tr, te, st, mx = (gap * v if isinstance(v, int) else v for v in (tr, te, st, mx))
+
+    begin: dt.datetime | int
+    train: dt.timedelta | int
+    test: dt.timedelta | int
+    step: dt.timedelta | int
+    count: int
+    most: dt.timedelta | int | None = None
+
+    def fold(self, i: int) -> Fold:
+        first = self.begin + i * self.step
+        cut = first + self.train
+        return Fold(i, first if self.most is None else max(self.begin, cut - self.most), cut, cut + self.test)
+
+    def numbers(self, at: Column) -> tuple[Column, Column, Column]:
+        """Of a row at ``at`` (row number, or microseconds): first fold tested, last fold tested, last fold trained.
+
+        It tests folds from the first to the second, and trains those after the second up to the third.
+        """
+        def whole(v) -> int:
+            return v if isinstance(v, int) else v // dt.timedelta(microseconds=1)
+
+        begin = self.begin if isinstance(self.begin, int) else whole(_utc(self.begin) - dt.datetime(1970, 1, 1))
+        train, test, step = whole(self.train), whole(self.test), whole(self.step)
+        reach = whole(self.most) if self.most is not None else train
+        past = at - (begin + train)
+
+        def down(x: Column) -> Column:
+            return (x - F.pmod(x, F.lit(step))) / step
+
+        first, last, trained = down(past - test) + 1, down(past), down(past + reach)
+        outside = at < begin  # rows before the first fold belong to none, however long its training may be
+        return (F.greatest(F.lit(0), first).cast("long"), F.least(F.lit(self.count - 1), last).cast("long"),
+                F.when(outside, F.lit(-1)).otherwise(F.least(F.lit(self.count - 1), trained)).cast("long"))
+
+
+def _utc(t: dt.datetime) -> dt.datetime:
+    return t.astimezone(dt.timezone.utc).replace(tzinfo=None)
+
+
+def rolling(start, end, n_rows: int, train: Period, test: Period, step: Period | None = None,
+            max_train: Period | None = None, n_splits: int | None = None) -> Rolling:
+    """All folds that fit between start and end. Row counts when train and test are both counts, else times.
+
+    Counts mixed with times are turned into times by the average row distance; ``n_splits`` sets the step so that so many
+    folds fit. ``max_train`` bounds the window back from its end, and so may also lengthen it.
+    """
+    tr, te, mx = parse_period(train), parse_period(test), parse_period(max_train)
+    st = parse_period(test if step is None else step)
+    rows = isinstance(tr, int) and isinstance(te, int)
+    if rows:
+        low, size, zero, most = 0, n_rows, 0, mx if isinstance(mx, int) else None
+    else:
+        gap = (end - start) / max(1, n_rows - 1)
+        tr, te, st, most = (v * gap if isinstance(v, int) else v for v in (tr, te, st, mx))
+        low, size, zero = start, end - start, dt.timedelta(0)
     if n_splits is not None:
-        room = (end - start).days - tr.days - te.days
-        if room <= 0:
-            raise ValueError("the time range is too short for these periods")
-        st = dt.timedelta(days=int(room / (n_splits - 1)) if n_splits > 1 else te.days)
-    if st <= dt.timedelta(0):
-        raise ValueError("the step must be positive")
-    folds, begin = [], start
-    while begin + tr + te <= end:
-        cut = begin + tr
-        folds.append(Fold(len(folds), max(start, cut - mx) if mx is not None else begin, cut, cut + te))
-        begin += st
-    return folds
+        unit = 1 if rows else dt.timedelta(days=1)
+        spare = size // unit - tr // unit - te // unit
+        if spare <= 0:
+            raise ValueError("the data are too short for these periods")
+        st = te // unit * unit if n_splits == 1 else spare // (n_splits - 1) * unit
+        st = max(st, unit) if rows else st
+    if type(st) is not type(zero) or st <= zero:
+        raise ValueError("the step must be positive, and a number of rows where the periods are")
+    left = size - tr - te
+    return Rolling(low, tr, te, st, left // st + 1 if left >= zero else 0, most)
+
+
+def fold_ranges(start, end, n_rows: int, train: Period, test: Period, step: Period | None = None,
+                max_train: Period | None = None, n_splits: int | None = None) -> list[Fold]:
+    """The folds of ``rolling`` one by one, for a look at them."""
+    r = rolling(start, end, n_rows, train, test, step, max_train, n_splits)
+    return [r.fold(i) for i in range(r.count)]
 
 
 def expanding_ranges(n_rows: int, n_splits: int) -> list[Fold]:
@@ -87,22 +130,26 @@ def expanding_ranges(n_rows: int, n_splits: int) -> list[Fold]:
     return [Fold(i, 0, first + i * size, first + (i + 1) * size) for i in range(n_splits)]
 
 
-def tag_folds(df: DataFrame, folds: Sequence[Fold], s: Series = BARS) -> DataFrame:
-    """One copy of a row per fold it belongs to, with ``split_index`` and ``split_type``."""
-    by_row = bool(folds) and isinstance(folds[0].train_start, int)
-    at = F.col(s.pos) if by_row else F.col(s.ts).cast("timestamp")
+def tag_folds(df: DataFrame, folds: Rolling | Sequence[Fold], s: Series = BARS) -> DataFrame:
+    """One copy of a row per fold it belongs to, with ``split_index`` and ``split_type``.
 
-    def edge(v) -> Column:
-        return F.lit(v) if by_row else F.lit(v).cast("timestamp")
+    A list of row ranges (a handful, as of ``expanding_ranges``) is tested range by range.
+    """
+    if isinstance(folds, Rolling):
+        if not folds.count:
+            return df.withColumns({"split_index": F.lit(0), "split_type": F.lit("")}).where(F.lit(False))
+        at = F.col(s.pos) if isinstance(folds.begin, int) else F.unix_micros(F.col(s.ts).cast("timestamp"))
+        first, tested, trained = folds.numbers(at)
+        x = df.withColumns({"_first": first, "_tested": tested, "_last": F.greatest(tested, trained)}).where("_first <= _last")
+        x = x.withColumn("split_index", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int"))))
+        kind = F.when(F.col("split_index") <= F.col("_tested"), "test").otherwise("train")
+        return x.select(*[F.col(f"`{c}`") for c in df.columns], "split_index", kind.alias("split_type"))
+    at = F.col(s.pos)
 
     def tag(f: Fold) -> Column:
-        train = (at >= edge(f.train_start)) & (at < edge(f.train_end))
-        test = (at >= edge(f.train_end)) & (at < edge(f.test_end))
-        kind = F.when(train, F.lit("train")).when(test, F.lit("test"))
+        kind = F.when((at >= f.train_start) & (at < f.train_end), F.lit("train")).when((at >= f.train_end) & (at < f.test_end), F.lit("test"))
         return F.when(kind.isNotNull(), F.struct(F.lit(f.fold).alias("split_index"), kind.alias("split_type")))
 
-    if not folds:
-        return df.withColumns({"split_index": F.lit(0), "split_type": F.lit("")}).where(F.lit(False))
     return df.select("*", F.inline(F.array_compact(F.array(*[tag(f) for f in folds]))))
 
 
@@ -115,8 +162,9 @@ def time_folds(df: DataFrame, train: Period, test: Period, step: Period | None =
     df = numbered(df, s)
     edge = df.agg(F.min(F.col(s.ts).cast("timestamp")).alias("a"), F.max(F.col(s.ts).cast("timestamp")).alias("b"),
                   (F.max(s.pos) + 1).alias("n")).first()
-    folds = fold_ranges(start or edge["a"], end or edge["b"], edge["n"], train, test, step, max_train, n_splits)
-    tagged = tag_folds(df, folds, s)
+    if edge["n"] is None:
+        return tag_folds(df, Rolling(0, 1, 1, 1, 0), s)
+    tagged = tag_folds(df, rolling(start or edge["a"], end or edge["b"], edge["n"], train, test, step, max_train, n_splits), s)
     sizes = tagged.groupBy("split_index").agg(F.count_distinct("split_type").alias("kinds")).where("kinds = 2")
     return tagged.join(sizes.select("split_index"), "split_index", "left_semi")
 

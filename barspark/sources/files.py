@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +21,58 @@ from barspark.sources.schema import PRICE_DECIMALS, VENDOR_PRICES
 # ---------------------------------------------------------------- reading
 
 
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """Header line to the files that begin with it; each file once, however many of the paths match it.
+
+    A pass over the text: a task keeps the first line of each file whose beginning it reads. The driver gets the list of files.
+    """
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value"))
+    text = text.where("start = 0")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            names = b.column(0).to_pylist()
+            new = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), b.column(2).take(pa.array(new, pa.int64()))], ["path", "header"])
+
+    out: dict[str, list[str]] = {}
+    for r in text.mapInArrow(first, "path string, header string").distinct().orderBy("path").collect():
+        out.setdefault(r["header"].lstrip("\ufeff"), []).append(unquote(r["path"]))
+    return out
+
+
 def read_bars_csv(spark: SparkSession, paths: str | Sequence[str], date_col: str = "Date", date_format: str | None = None,
-                  symbol: str | None = None) -> DataFrame:
+                  symbol: str | None = None, symbols: Sequence[str] = ()) -> DataFrame:
     """Bar files with a header; symbol and timeframe from the file names.
 
     Columns are read as text by name (files may hold them in any order or add others) and parsed
-    tolerantly. Without ``date_col`` the first column that looks like a time is used.
+    tolerantly: files are read in groups of equal headers, since a reader takes one header for all its files. Without
+    ``date_col`` the first column that looks like a time is used. ``symbols``: a file whose parsed symbol
+    is none of them has the longest one that its name contains.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
+    out = None
+    for files in headers(spark, paths).values():
+        part = _read_alike(spark, files, date_col, date_format, symbol, symbols)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("the bar files are empty")
+    return out
+
+
+def _read_alike(spark: SparkSession, files: list[str], date_col: str, date_format: str | None, symbol: str | None, symbols: Sequence[str]) -> DataFrame:
+    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(files)
     when = date_col if date_col in raw.columns else find_time_column(raw.columns)
     if when is None:
         raise ValueError("no date column in the bar files")
-    name = dataset_columns(F.col("_metadata.file_path"))
+    path = F.col("_metadata.file_path")
+    name = dataset_columns(path)
     price = find_price_columns(raw.columns)
     part = F.col("symbol") if "symbol" in raw.columns else name["symbol"]
+    if symbols:
+        file = F.element_at(F.split(path, "/"), -1)
+        held = [F.when(F.contains(file, F.lit(s)), F.lit(s)) for s in sorted(symbols, key=lambda s: (-len(s), s))]
+        part = F.when(part.isin(list(symbols)), part).otherwise(F.coalesce(*held, part))
     known = F.lit(symbol) if symbol else part
     return raw.select(
         known.alias("symbol"), name["timeframe"].alias("timeframe"), stamp(when, date_format).alias("ts"),
@@ -40,9 +81,9 @@ def read_bars_csv(spark: SparkSession, paths: str | Sequence[str], date_col: str
 
 
 def read_symbols(spark: SparkSession, folder: str, symbols: Sequence[str], date_format: str | None = None, extension: str = "csv") -> DataFrame:
-    """The files of the given symbols in a folder; one path pattern per symbol."""
+    """The files of the given symbols in a folder; one path pattern per symbol, every matching file once."""
     paths = [f"{folder}/*{s}*.{extension}" for s in symbols]
-    return read_bars_csv(spark, paths, date_format=date_format).where(F.col("symbol").isin(list(symbols)))
+    return read_bars_csv(spark, paths, date_format=date_format, symbols=symbols)
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet", symbols: Sequence[str] | None = None,

@@ -91,3 +91,36 @@ def test_no_window_is_keyed_by_symbol_alone(spark, pdf):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("_blk" in line for line in windows)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 37, 50, 200])
+def test_long_means_forget_what_left_the_window(spark, n):
+    pdf = make_bars(900, symbols=("A",))
+    pdf.loc[10, "close"] = 1e18
+    pdf.loc[[300, 301], "close"] = np.nan
+    df = to_spark(spark, pdf)
+    df = df.withColumn("close", F.when(F.col("pos") == 500, float("nan")).otherwise(F.col("close")))
+    got = collect(S.frames(df, S.BARS, lambda x, w: S.rolling_means(x, w, {"m": ("close", n)}), back=n, block=256))
+    known = pdf["close"].mask(pdf["pos"] == 500)
+    want = np.array([known[max(0, i - n + 1):i + 1].mean() if i >= n - 1 and known[i - n + 1:i + 1].notna().all() else np.nan for i in range(len(known))])
+    np.testing.assert_allclose(got["m"].astype(float), want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["time", "range"])
+def test_rows_without_time_or_key_are_numbered(spark, method):
+    df = spark.createDataFrame([("A", 5, 1), ("A", None, 2), ("A", 3, 3), (None, 1, 4), (None, None, 5)], "symbol string, s long, id long")
+    df = df.select("symbol", F.timestamp_seconds("s").alias("ts"), "id")
+    s = S.Series(tie=("id",))
+    got = {r.id: r.pos for r in S.number_rows(df, s, method=method).collect()}
+    assert got == {2: 0, 3: 1, 1: 2, 5: 0, 4: 1}
+    run = {r.id: r.n for r in S.scan(S.number_rows(df, s, method=method), s, {"n": S.running_sum("id")}, block=1).collect()}
+    assert run == {2: 2, 3: 5, 1: 6, 5: 5, 4: 9}
+
+
+def test_short_span_next_to_a_long_look_back(spark):
+    pdf = make_bars(2600, symbols=("A",))
+    specs = {"fast": S.Ewm("close", 1.5)}
+    back = S.ewm_block(specs) + 100
+    got = collect(S.ewm(to_spark(spark, pdf), S.BARS, specs, back=back, make=lambda x, w: x.withColumn("old", F.lag("close", back).over(w))))
+    np.testing.assert_allclose(got["old"].astype(float), pdf["close"].shift(back))
+    np.testing.assert_allclose(got["fast"], pdf["close"].ewm(span=1.5, adjust=False).mean(), rtol=1e-9)
