@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
@@ -52,7 +53,11 @@ def read_bars_csv(spark: SparkSession, paths: str | Sequence[str], date_col: str
     is none of them has the longest one that its name contains.
     """
     out = None
-    for files in headers(spark, paths).values():
+    groups: dict[tuple, list[str]] = {}
+    for header, files in headers(spark, paths).items():
+        for f in files:
+            groups.setdefault((header, tuple(re.findall(r"/([^/=]+)=[^/]*(?=/)", f))), []).append(f)
+    for files in groups.values():
         part = _read_alike(spark, files, date_col, date_format, symbol, symbols)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
@@ -61,7 +66,9 @@ def read_bars_csv(spark: SparkSession, paths: str | Sequence[str], date_col: str
 
 
 def _read_alike(spark: SparkSession, files: list[str], date_col: str, date_format: str | None, symbol: str | None, symbols: Sequence[str]) -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(files)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    parted = re.match(r"(.*?)/[^/=]+=[^/]*/", files[0])  # folders named column=value
+    raw = (reader.option("basePath", parted[1]) if parted else reader).csv(files)
     when = date_col if date_col in raw.columns else find_time_column(raw.columns)
     if when is None:
         raise ValueError("no date column in the bar files")

@@ -290,3 +290,27 @@ q("categories", lambda sp, sf: table(sp, sf, "events").select("event_type").dist
     "category", N.category_column(F.col("feature"), N.IMPORTANCE_CATEGORIES)),
   "SELECT DISTINCT event_type || '_sma_20' AS feature, 'Moving Averages' AS category FROM events UNION ALL SELECT DISTINCT event_type || '_close_return', 'Transformed Price' FROM events")
 assert CTES
+
+
+# ---------------------------------------------------------------- rows and values that must not get lost
+def _spiked(sp, sf):
+    x = bars(sp, sf).withColumn("close", F.when(F.col("pos") == 10, 1e18).when(F.col("pos") == 300, float("nan")).otherwise(F.col("close")))
+    x = features.moving_averages(x, windows=(20, 50, 200)).where("pos >= 520 or pos between 215 and 290")
+    return show(x.select("symbol", "pos", "sma_20", "sma_50", "sma_200"))
+
+
+q("sma_after_spike", _spiked, f"""SELECT symbol, pos, {R(f"avg(close) {over(20)}")} AS sma_20, {R(f"avg(close) {over(50)}")} AS sma_50, {R(f"avg(close) {over(200)}")} AS sma_200
+  FROM bars QUALIFY pos >= 520 OR pos BETWEEN 215 AND 290""", "bars")
+
+
+def _timeless(sp, sf):
+    x = table(sp, sf, "events").select(F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("symbol"), F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("timestamp")).alias("ts"), "event_id")
+    return number_rows(x, EVENT_TICKS, "1 hour").select("symbol", "event_id", "pos")
+
+
+q("null_time_rows", _timeless, """SELECT symbol, event_id, row_number() OVER (PARTITION BY symbol ORDER BY ts NULLS FIRST, event_id) - 1 AS pos FROM
+  (SELECT CASE WHEN event_id % 7 > 0 THEN event_type END AS symbol, CASE WHEN event_id % 5 > 0 THEN ts END AS ts, event_id FROM events)""")
+q("quantiles_heavy_tail", lambda sp, sf: show(quantiles(table(sp, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 1000 == 7, 1e30).otherwise(F.pow("o_totalprice", F.lit(3))).alias("v")), ["v"], (0.01, 0.5, 0.99))
+  .select("symbol", *[F.round(F.col("q")[i] / 1e12, 4).alias(f"q{i}") for i in range(3)])),
+  "SELECT o_orderpriority AS symbol, " + ", ".join(f"round(quantile_cont(v, {p}) / 1e12, 4) + 0.0 AS q{i}" for i, p in enumerate((0.01, 0.5, 0.99))) +
+  " FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 1000 = 7 THEN 1e30 ELSE pow(o_totalprice, 3) END AS v FROM orders) GROUP BY 1")

@@ -190,3 +190,36 @@ def _records(sp, sf):
 
 
 q("record_log", _records, f"SELECT symbol, ts, {R('close')} AS close FROM bars", "bars")
+
+
+def _mixed_folder(sp, sf) -> str:
+    """Bars of each symbol in a file of its own: columns in another order for some, and names of three kinds."""
+    where = _folder(sp)
+    b = bars(sp, sf).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+    plain, turned = ["Date", "Open", "High", "Low", "Close", "Volume"], ["Volume", "Low", "Date", "Close", "High", "Open"]
+    names = sorted(r[0] for r in b.select("symbol").distinct().collect())  # event types: a handful
+    for i, n in enumerate(names):
+        b.where(F.col("symbol") == n).select(*(turned if i % 2 else plain)).coalesce(1).write.option("header", True).csv(f"{where}/{n.upper()}_5m.csv")
+    return where
+
+
+q("read_mixed_headers", lambda sp, sf: show(files.read_bars_csv(sp, f"{_mixed_folder(sp, sf)}/*.csv").select("ts", "open", "high", "low", "close", "volume")),
+  f"SELECT ts, {_RP}, volume FROM bars", "bars")
+
+
+def _named(sp, sf):
+    """Files whose names do not follow the naming rule, asked for by symbol."""
+    where = _folder(sp)
+    b = bars(sp, sf).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+    some = [r[0] for r in b.select("symbol").distinct().orderBy("symbol").limit(3).collect()]
+    for i, n in enumerate(some):
+        part = b.where(F.col("symbol") == n).drop("symbol").coalesce(1)
+        part.write.option("header", True).csv(f"{where}/tmp{i}")
+        for f in sp.read.format("binaryFile").load(f"{where}/tmp{i}/*.csv").select("path").collect():
+            jvm = sp.sparkContext._jvm
+            old, new = jvm.org.apache.hadoop.fs.Path(f["path"]), jvm.org.apache.hadoop.fs.Path(f"{where}/{n}_5m.csv")
+            old.getFileSystem(sp.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
+    return show(files.read_symbols(sp, where, some[:2]).select("symbol", "ts", "open", "high", "low", "close", "volume"))
+
+
+q("read_symbols", _named, f"SELECT symbol, ts, {_RP}, volume FROM bars WHERE symbol IN (SELECT DISTINCT symbol FROM bars ORDER BY symbol LIMIT 2)", "bars")
