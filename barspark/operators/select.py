@@ -6,10 +6,13 @@ and small Python sets over them are fine; everything that touches bar rows is a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.functions.naming import IMPORTANCE_CATEGORIES, METADATA_CATEGORIES, category_column, price_return_target
@@ -26,8 +29,6 @@ CONSTANT_LIMIT = 1e-10
 DEFAULT_SHARE = 0.2
 # ---- end of fixed values
 
-PAIRS_AT_ONCE = 500  # correlations in one aggregation
-
 
 def validate(df: DataFrame, target: str, s: Series = BARS) -> str:
     """The usable target column; raises when the data cannot be analysed."""
@@ -172,9 +173,17 @@ def selected_by_category(imp: DataFrame, features: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- correlation
 
 
+def pair_correlation(a: str, b: str) -> Column:
+    """Correlation over the rows that know both; null where either does not vary there."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x))) * F.sqrt(F.var_pop(F.when(both, y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Correlation of every feature with the target, all in one aggregation."""
-    pairs = [F.struct(F.lit(c).alias("feature"), F.corr(c, target).alias("correlation")).alias(f"_{i}") for i, c in enumerate(features)]
+    pairs = [F.struct(F.lit(c).alias("feature"), pair_correlation(c, target).alias("correlation")).alias(f"_{i}") for i, c in enumerate(features)]
     return df.agg(*pairs).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(features))])))
 
 
@@ -188,15 +197,42 @@ def select_by_correlation(corr: DataFrame, threshold: float = 0.05, min_features
 def drop_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> list[str]:
     """Leave out every feature that correlates above the threshold with an earlier one.
 
-    Each pair over the rows that know both values, all pairs in a few aggregations of one pass each.
+    Each pair over the rows that know both values (see ``pairwise_correlations``).
+    """
+    high = pairwise_correlations(df, features).where(F.abs("correlation") > threshold).select("later").distinct().collect()  # feature numbers
+    late = {r["later"] for r in high}
+    return [f for j, f in enumerate(features) if j not in late]
+
+
+def pairwise_correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(earlier, later, correlation) of every two features by number, each over the rows that know both; null where either does not vary.
+
+    Tasks multiply masked matrices of their rows, taken about the columns' means, and Spark adds up features x features numbers.
     """
-    pairs = [(i, j) for j in range(len(features)) for i in range(j)]
-    high: set[int] = set()
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at:at + PAIRS_AT_ONCE]
-        row = df.agg(*[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")) for i, j in some]).first()
-        high |= {j for (_, j), r in zip(some, row) if r is not None and abs(r) > threshold}
-    return [f for j, f in enumerate(features) if j not in high]
+    d = len(features)
+    x = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    means = x.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in x.columns]).first()
+    centre = np.array([m or 0.0 for m in means])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            known = ~np.isnan(v)
+            v = np.where(known, v, 0.0)
+            k = known.astype(float)
+            total += np.stack([k.T @ k, v.T @ k, (v * v).T @ k, v.T @ v])
+        at = np.arange(d * d)
+        yield pa.RecordBatch.from_arrays([pa.array(at // d), pa.array(at % d), *[pa.array(t.ravel()) for t in total]], ["a", "b", "n", "s", "ss", "sp"])
+
+    m = x.mapInArrow(moments, "a long, b long, n double, s double, ss double, sp double").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "sp")])
+    left, right = m.where("a < b"), m.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s").alias("s2"), F.col("ss").alias("ss2"))
+    both = left.join(right, ["a", "b"])
+    spread = [F.greatest(F.lit(0.0), F.col("n") * F.col(q) - F.col(v) * F.col(v)) for v, q in (("s", "ss"), ("s2", "ss2"))]
+    least = 1e-12 * F.col("n")
+    varies = (spread[0] > least * F.col("ss")) & (spread[1] > least * F.col("ss2"))
+    return both.select(F.col("a").alias("earlier"), F.col("b").alias("later"),
+                       F.when(varies, F.try_divide(F.col("n") * F.col("sp") - F.col("s") * F.col("s2"), F.sqrt(spread[0]) * F.sqrt(spread[1]))).alias("correlation"))
 
 
 # ---------------------------------------------------------------- wrappers around model fits
