@@ -106,17 +106,32 @@ def number_rows(df: DataFrame, s: Series = BARS, bucket: str = "1 day", method:
         df = stage(df)
     else:
         df = df.withColumn("_part", F.floor(utc_micros(s.ts) / F.lit(int(pd.Timedelta(bucket) / pd.Timedelta(microseconds=1)))))
-    counts = df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    df = together(df, [*keys, "_part"])
+    counts = df.groupBy("_key").agg(_shared(F.count(F.lit(1)), df).alias("_n")).select("_key", "_n", *[F.col(f"_key.{c}") for c in (*keys, "_part")])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(*s.order())
+    offsets = counts.select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_key").orderBy(*s.order())
     return (
-        join_by(df.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, "_part"], "inner")
+        df.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, "_key")
         .withColumn(s.pos, (F.col("_before") + F.col("_rn") - 1).cast("long"))
-        .drop("_part", "_rn", "_before")
+        .drop("_key", "_rn", "_before")
     )
 
 
+def together(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of equal ``by`` in one partition, with the struct ``_key`` of it, in which null equals null; its last column is only in there.
+
+    A group-by, a window and a join on ``_key`` then need no shuffle of their own.
+    """
+    return df.withColumn("_key", F.struct(*by)).drop(by[-1]).repartition("_key")
+
+
+def _shared(agg: Column, df: DataFrame) -> Column:
+    """``agg`` that reads every column: column pruning then leaves both branches of a self-join the same shuffle, which runs once."""
+    return F.when(F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).isNotNull(), agg)
+
+
 def join_by(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join on columns of one name, null equal to null; the right side's copies of them are dropped."""
     right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
@@ -186,24 +201,23 @@ def scan(df: DataFrame, s: Series, outs: Mapping[str, Scan], block: int = SCAN_B
             return F.last(v, ignorenulls=True).over(w)
         return {"sum": F.sum, "max": F.max, "min": F.min}[sc.kind](v).over(w)
 
-    per_block = x.groupBy(*keys, "_blk").agg(*[summary(o, sc).alias(f"_c_{o}") for o, sc in outs.items()])
+    x = together(x, [*keys, "_blk"])
+    names = [f"_c_{o}" for o in outs]
+    per_block = x.groupBy("_key").agg(_shared(F.count(F.lit(1)), x).alias("_rows"), *[summary(o, sc).alias(n) for n, (o, sc) in zip(names, outs.items())])
+    per_block = per_block.where("_rows > 0").select("_key", *names, *[F.col(f"_key.{c}") for c in (*keys, "_blk")])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(
-        *keys, "_blk",
-        *[running(sc, F.col(f"_c_{o}"), after if sc.kind == "next" else before).alias(f"_c_{o}")
-          for o, sc in outs.items()],
-    )
+    carry = per_block.select("_key", *[running(sc, F.col(n), after if sc.kind == "next" else before).alias(n) for n, sc in zip(names, outs.values())])
 
-    forward = Window.partitionBy(*keys, "_blk").orderBy(s.pos)
+    forward = Window.partitionBy("_key").orderBy(s.pos)
     # a frame that ends at "unbounded following" re-reads the rest for every row; order downwards instead
-    backward = Window.partitionBy(*keys, "_blk").orderBy(F.desc(s.pos))
+    backward = Window.partitionBy("_key").orderBy(F.desc(s.pos))
     local = {}
     for o, sc in outs.items():
         w = backward if sc.kind == "next" else forward
         w = w.rowsBetween(Window.unboundedPreceding, 0 if sc.inclusive else -1)
         local[f"_l_{o}"] = running(sc, F.col(f"_in_{o}"), w)
-    x = join_by(x.withColumns(local), carry, [*keys, "_blk"])
+    x = x.withColumns(local).join(carry, "_key", "left")
 
     def combine(o: str, sc: Scan) -> Column:
         loc, car = F.col(f"_l_{o}"), F.col(f"_c_{o}")
@@ -235,7 +249,7 @@ def frames(
     """Run ``make(rows, window)`` where ``window`` sees ``back`` earlier and ``ahead`` later rows.
 
     Edge rows are copied to the neighbouring block and dropped again afterwards. With
-    ``keep_block`` the result keeps ``_blk`` so that a join on it needs no further shuffle.
+    ``keep_block`` the result keeps ``_blk`` and ``_key``, so that a join on the latter needs no further shuffle.
     """
     block = block or max(FRAME_BLOCK, back, ahead)
     if max(back, ahead) > block:
@@ -249,9 +263,9 @@ def frames(
         targets.append(F.when((inside < ahead) & (own > 0), own - 1))
     x = df.withColumn("_own", own)
     x = x.withColumn("_blk", F.explode(F.array_compact(F.array(*targets))) if len(targets) > 1 else own)
-    x = make(x, Window.partitionBy(*s.keys, "_blk").orderBy(s.pos))
+    x = make(x.withColumn("_key", F.struct(*s.keys, "_blk")), Window.partitionBy("_key").orderBy(s.pos))
     x = x.where(F.col("_own") == F.col("_blk")).drop("_own")
-    return x if keep_block else x.drop("_blk")
+    return x if keep_block else x.drop("_blk", "_key")
 
 
 def rolling(fn: Callable[[Column], Column], c: str | Column, w: WindowSpec, n: int) -> Column:
@@ -383,6 +397,7 @@ def ewm(df: DataFrame, s: Series, specs: Mapping[str, Ewm], back: int = 0,
         return make(x, w) if make else x
 
     x = frames(df, s, both, back=back, block=block, keep_block=True)
-    x = join_by(x, ewm_carry(df, s, specs, block), [*s.keys, "_blk"])
+    carry = ewm_carry(df, s, specs, block)
+    x = x.join(carry.select(F.struct(*s.keys, "_blk").alias("_key"), *[c for c in carry.columns if c.startswith("_e_")]), "_key", "left").drop("_key")
     helper = [c for o in specs for c in (f"_y_{o}", f"_e_{o}")]
     return x.withColumns(ewm_result(s, specs, block)).drop("_blk", *helper)
