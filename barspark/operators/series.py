@@ -84,9 +84,22 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far by this process, after the results that read them are written; how many there were."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_staged)
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 # ---------------------------------------------------------------- row numbers
 
 

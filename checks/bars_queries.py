@@ -314,3 +314,5 @@ q("quantiles_heavy_tail", lambda sp, sf: show(quantiles(table(sp, sf, "orders").
   .select("symbol", *[F.round(F.col("q")[i] / 1e12, 4).alias(f"q{i}") for i in range(3)])),
   "SELECT o_orderpriority AS symbol, " + ", ".join(f"round(quantile_cont(v, {p}) / 1e12, 4) + 0.0 AS q{i}" for i, p in enumerate((0.01, 0.5, 0.99))) +
   " FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 1000 = 7 THEN 1e30 ELSE pow(o_totalprice, 3) END AS v FROM orders) GROUP BY 1")
+q("synthetic_volume_noisy_bounds", lambda sp, sf: bars(sp, sf).withColumn("volume", C.synthetic_volume_noisy(seed=42)).select("symbol", "ts", ((F.col("volume") >= F.floor((F.col("high") - F.col("low")) * 0.8e6)) & (F.col("volume") <= (F.col("high") - F.col("low")) * 1.2e6)).alias("within")).transform(show),
+  "SELECT symbol, ts, TRUE AS within FROM bars", "bars")

@@ -116,11 +116,11 @@ q("stream_features_warm", lambda sp, sf: _features(sp, sf, True), _LIVE + " WHER
 
 def _live_signals(sp, sf):
     live.use_rocksdb(sp)
-    p = preds(sp, sf).select(F.lit("main").alias("account"), "symbol", "ts", signals.direction("p_up", 0.5).alias("direction"))
+    p = preds(sp, sf).select(F.concat(F.lit("book of "), "symbol").alias("account"), "symbol", "ts", signals.direction("p_up", 0.5).alias("direction"))
     return show(drain(live.live_signals(stream_of(p), 5, 0.6, 3, 12, 5)).drop("account", "open_positions"))
 
 
-# five symbols and five places: the limit never binds, so every symbol follows the batch rule
+# one account per symbol and five places: the limit never binds, so every symbol follows the batch rule
 q("stream_signals", _live_signals, """SELECT symbol, ts, CASE WHEN was = 0 AND side = 1 THEN 'BUY' WHEN was = 0 AND side = -1 THEN 'SELL' WHEN was = 1 THEN 'EXIT_LONG' ELSE 'EXIT_SHORT' END AS signal_type,
   CASE WHEN was = 0 THEN 0 ELSE 1 + lag(held) OVER (PARTITION BY symbol ORDER BY pos) END AS bars_held FROM walk JOIN cons USING (symbol, pos) QUALIFY was <> side""", "walk")
 
