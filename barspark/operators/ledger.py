@@ -269,7 +269,7 @@ def equity_curve(marked: DataFrame, s: Series = BARS, account: tuple[str, ...] =
 
 
 def portfolio_summary(curve: DataFrame, t: DataFrame, account: tuple[str, ...], capital: float = DEFAULT_CAPITAL, ts: str = "ts") -> DataFrame:
-    end = curve.groupBy(*account).agg(F.max_by(F.struct("equity", "cash", "unrealised_pnl", "leverage_used"), ts).alias("e"))
+    end = curve.groupBy(*account).agg(F.max_by(F.struct("equity", "cash", "unrealised_pnl", "leverage_used"), F.struct(ts, "equity", "cash")).alias("e"))
     n = t.groupBy(*account).agg(
         F.count_if("is_open").alias("open_positions"), F.count_if(~F.col("is_open")).alias("closed_positions"),
         F.coalesce(F.sum(F.when(~F.col("is_open"), F.col("pnl"))), F.lit(0.0)).alias("realized_pnl"))

@@ -85,7 +85,7 @@ def drawdown_summary(df: DataFrame, s: Series = CURVE) -> DataFrame:
     keys = list(s.keys)
     under = F.col("drawdown") < 0
     total = x.groupBy(*keys).agg(
-        F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", s.ts).alias("current_drawdown"),
+        F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", F.struct(s.ts, "drawdown")).alias("current_drawdown"),
         (F.count_if(under) / F.count(F.lit(1)) * 100).alias("underwater_pct"),
         F.coalesce(F.avg(F.when(under, F.col("drawdown"))), F.lit(0.0)).alias("avg_drawdown"))
     longest = F.min(F.struct((-F.col("duration_days")).alias("d"), F.col("start_time").alias("t"), F.col("max_drawdown").alias("m")))
@@ -99,7 +99,7 @@ def performance_summary(df: DataFrame, s: Series = CURVE, risk_free: float = 0.0
     """Return, volatility, Sharpe, Sortino, Calmar and drawdown figures, one row per account."""
     keys, r = list(s.keys), F.col("return")
     base = returns(df, s).groupBy(*keys).agg(
-        F.min_by("equity", s.ts).alias("initial_equity"), F.max_by("equity", s.ts).alias("final_equity"),
+        F.min_by("equity", F.struct(s.ts, "equity")).alias("initial_equity"), F.max_by("equity", F.struct(s.ts, "equity")).alias("final_equity"),
         F.min(s.ts).alias("_t0"), F.max(s.ts).alias("_t1"), F.stddev_samp(r).alias("_sd"),
         F.stddev_samp(F.when(r < 0, r)).alias("_down"))
     m = base.join(drawdown_summary(df, s), keys)
@@ -123,7 +123,7 @@ def simple_metrics(df: DataFrame, s: Series = CURVE, risk_free: float = 0.0, per
     keys, r = list(s.keys), F.col("return")
     low = drawdown_series(df, s).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
     b = returns(df, s).groupBy(*keys).agg(
-        (ratio(F.max_by("equity", s.ts), F.min_by("equity", s.ts)) - 1).alias("total_return"), F.count(r).alias("_n"),
+        (ratio(F.max_by("equity", F.struct(s.ts, "equity")), F.min_by("equity", F.struct(s.ts, "equity"))) - 1).alias("total_return"), F.count(r).alias("_n"),
         (F.stddev_samp(r) * math.sqrt(periods)).alias("annualized_volatility"),
         (ratio(F.avg(r - risk_free), F.stddev_pop(r - risk_free)) * math.sqrt(periods)).alias("sharpe_ratio"))
     b = b.join(low, keys).withColumn("annualized_return", F.pow(1 + F.col("total_return"), ratio(F.lit(periods), "_n")) - 1)
@@ -158,7 +158,7 @@ def period_returns(df: DataFrame, period: str = "M", s: Series = CURVE) -> DataF
         return returns(df, s).where(F.col("return").isNotNull()).select(*s.keys, s.ts, "return")
     start = F.date_trunc({"W": "week", "M": "month"}[period], F.col(s.ts).cast("timestamp"))
     g = df.groupBy(*s.keys, start.alias("period_start")).agg(
-        F.min_by("equity", s.ts).alias("start_equity"), F.max_by("equity", s.ts).alias("end_equity"))
+        F.min_by("equity", F.struct(s.ts, "equity")).alias("start_equity"), F.max_by("equity", F.struct(s.ts, "equity")).alias("end_equity"))
     g = g.withColumn("return", ratio("end_equity", "start_equity") - 1)
     if period == "M":
         g = g.withColumns({"year": F.year("period_start"), "month": F.month("period_start"),
@@ -168,7 +168,7 @@ def period_returns(df: DataFrame, period: str = "M", s: Series = CURVE) -> DataF
 
 def month_end_returns(df: DataFrame, s: Series = CURVE) -> DataFrame:
     """Last equity of a month over the last of the month before (months are few per account)."""
-    g = df.groupBy(*s.keys, F.year(s.ts).alias("year"), F.month(s.ts).alias("month")).agg(F.max_by("equity", s.ts).alias("equity"))
+    g = df.groupBy(*s.keys, F.year(s.ts).alias("year"), F.month(s.ts).alias("month")).agg(F.max_by("equity", F.struct(s.ts, "equity")).alias("equity"))
     w = Window.partitionBy(*s.keys).orderBy("year", "month")
     return g.withColumn("return", change("equity", F.lag("equity").over(w)))
 
@@ -297,14 +297,14 @@ def sweep_table(metrics: DataFrame, value: str, shorts: Sequence[int], longs: Se
 
 
 def normalised_equity(df: DataFrame, s: Series = CURVE, base: float = 100.0) -> DataFrame:
-    first = df.groupBy(*s.keys).agg(F.min_by("equity", s.ts).alias("_first"))
+    first = df.groupBy(*s.keys).agg(F.min_by("equity", F.struct(s.ts, "equity")).alias("_first"))
     return df.join(first, list(s.keys)).withColumn("normalised", ratio("equity", "_first") * base).drop("_first")
 
 
 def rebase_benchmark(df: DataFrame, benchmark: DataFrame, s: Series = CURVE, c: str = "benchmark") -> DataFrame:
     """Benchmark scaled to start at each account's first equity (both matched on time)."""
     x = df.join(benchmark, s.ts)
-    first = x.groupBy(*s.keys).agg(F.min_by("equity", s.ts).alias("_e"), F.min_by(c, s.ts).alias("_b"))
+    first = x.groupBy(*s.keys).agg(F.min_by("equity", F.struct(s.ts, "equity")).alias("_e"), F.min_by(c, s.ts).alias("_b"))
     return x.join(first, list(s.keys)).withColumn("benchmark_rebased", ratio(c, "_b") * F.col("_e")).drop("_e", "_b")
 
 

@@ -51,25 +51,28 @@ def pair_quotes(messages: DataFrame, delay: str = PAIRING_DELAY) -> DataFrame:
 
 
 def stream_bars(ticks: DataFrame, width: str, slide: str | None = None, delay: str = "5 minutes", key: str = "symbol", price: str = "price", ts: str = "ts") -> DataFrame:
-    """Tumbling or sliding OHLCV bars of a stream; a bar is final once the watermark has passed it."""
+    """Tumbling or sliding OHLCV bars of a stream; a bar is final once the watermark has passed it.
+
+    Of ticks at the same time the lowest opens and the highest closes a bar.
+    """
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     x = ticks.withWatermark(ts, delay) if ticks.isStreaming else ticks
     return x.groupBy(key, w.alias("w")).agg(
-        F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"),
+        F.min_by(price, F.struct(ts, price)).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, F.struct(ts, price)).alias("close"),
         F.count(price).alias("volume")).select(key, F.col("w.start").alias("ts"), F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume")
 
 
 def latest(bars: DataFrame, key: str = "epic", ts: str = "ts") -> DataFrame:
     """Last row per key (for update or complete output)."""
     rest = [c for c in bars.columns if c != key]
-    return bars.groupBy(key).agg(F.max_by(F.struct(*rest), ts).alias("r")).select(key, "r.*")
+    return bars.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("r")).select(key, "r.*")
 
 
 def periodic_summary(states: DataFrame, every: str = "60 seconds", delay: str = "60 seconds", ts: str = "ts") -> DataFrame:
     """Open positions, equity, cash and pending orders at the end of every period, per account."""
     x = states.withWatermark(ts, delay) if states.isStreaming else states
     return x.groupBy("account", F.window(ts, every).alias("w")).agg(
-        F.max_by(F.struct("equity", "cash", "open_positions", "pending_orders"), ts).alias("s")).select(
+        F.max_by(F.struct("equity", "cash", "open_positions", "pending_orders"), F.struct(ts, "equity", "cash", "open_positions", "pending_orders")).alias("s")).select(
         "account", F.col("w.end").alias("ts"), "s.*")
 
 

@@ -39,6 +39,11 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _staged[key]
 
 
+def forget() -> None:
+    """Let the next query build what it needs anew."""
+    _staged.clear()
+
+
 def gappy(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars per event type on a full grid, empty hours null."""
     return _once(spark, sf, "gappy", lambda: ohlcv_grid(event_ticks(spark, sf), "1 hour", s=EVENT_TICKS))

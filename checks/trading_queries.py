@@ -394,8 +394,10 @@ cte("swpnl", ("swtr",), "SELECT run_id, sum((leave - entry) * side) - sum(entry
 
 
 def sweep_metrics(sp, sf):
+    """Net result per run; added up as decimals, so that the order of the rows doesn't show in the last digit."""
     t = ledger.trades(sweep(sp, sf), SWEEP)
-    return t.groupBy("run_id").agg((F.sum("pnl") - F.sum("entry_commission") - F.coalesce(F.sum("exit_commission"), F.lit(0.0))).alias("net"), F.count("exit_pos").alias("trades"))
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(30,12)")), F.lit(0)).cast("double")
+    return t.groupBy("run_id").agg((total("pnl") - total("entry_commission") - total("exit_commission")).alias("net"), F.count("exit_pos").alias("trades"))
 
 
 q("sweep_compare", lambda sp, sf: show(perf.compare_runs(sweep_metrics(sp, sf), None, ["net", "trades"]), 3), f"SELECT run_id, {R('net', 3)} AS net, trades FROM swpnl", "swpnl")
