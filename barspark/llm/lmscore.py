@@ -12,8 +12,9 @@ loss minus background loss (nats): the lower, the nearer to the target.
 
 Counts that fit no machine are kept apart by hash: documents are counted in chunks of bounded size, each chunk's distinct keys (64-bit
 hashes of words and pairs) go with their counts to the bucket of the key, buckets add up the chunks' counts and send back to
-each chunk the totals that differ from its own, and the chunk is scored. So a key crosses the network once per
-chunk, however often it occurs, and no task holds more than a chunk or a bucket.
+each chunk the totals that differ from its own, and the chunk is scored with its texts, which are read once more. So a key
+crosses the network once per chunk, however often it occurs, and no task holds more than a chunk or a bucket. A chunk is a
+slice of a partition of the input; both reads must cut it alike, so the input has to be a table (or plan) with fixed partitions.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm.common import pick, stage, text_slices
 
 PAIR, WORD = 0.7, 0.9
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 64
 SENT_IDS = 2_000_000  # the most target ids that are sent to every executor
@@ -74,7 +74,7 @@ class Chunk:
             self.counts[row, self.words:] = np.bincount(self.pair, weights=weight, minlength=len(pair))
         self.counts[:, START] = len(texts), int(target.sum())
         bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
+        self.order = np.lexsort((self.keys, bucket))
         self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
     def scores(self, totals: np.ndarray, n: float, n_target: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +98,17 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(raw[1:], "<u8").astype(np.int64) if len(raw) % 4 == 1 else np.frombuffer(raw, "<u4").astype(np.int64)
 
 
+def _packed_keys(sorted_keys: np.ndarray) -> bytes:
+    """Differences of neighbours, highest bytes first: those are nearly all zero."""
+    steps = np.diff(sorted_keys, prepend=np.uint64(0)).astype(">u8")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, tokens, target_loss, background_loss, score): one row per row of ``docs``.
 
@@ -105,10 +116,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     are a start and an end. Without target documents both losses are equal. Counts cover all rows, repeated ones each time.
     """
     ids = stage(target.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True)))
-    if ids.count() <= SENT_IDS:  # else the texts are shuffled to their marks
-        ids = F.broadcast(ids)
-    x = pick(docs, doc_id=doc_id, text=text).join(ids, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    return score_marked(x, chunk_bytes, bucket_bytes)
+    few = ids.count() <= SENT_IDS
+    x = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    x = x.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return score_marked(x if few else stage(x), chunk_bytes, bucket_bytes)  # a shuffled join has no fixed partitions
 
 
 def score_marked(x: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -118,45 +129,48 @@ def score_marked(x: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int
     n, n_target, buckets = float(n or 0), float(n_target or 0), max(LEAST_BUCKETS, -(-(total or 0) // bucket_bytes))
     kind = x.schema["doc_id"].dataType.simpleString()
 
+    x = x.select("doc_id", "text", "is_target", F.spark_partition_id().alias("part"))
+    schema, kinds = "bucket long, chunk long, body binary, n binary, n_target binary", (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
+        for number, (part, texts) in enumerate(text_slices(batches, "text", chunk_bytes)):
+            yield (part.column(3)[0].as_py() << 32) + number, part, texts
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made), kinds)], ["bucket", "chunk", "body", "n", "n_target"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        for part, texts in text_slices(batches, "text", chunk_bytes):
-            chunk = (task << 32) + number
-            number += 1
+        for chunk, part, texts in chunks(batches):
             c = Chunk(texts, part.column(2).to_numpy(zero_copy_only=False).astype(bool), buckets)
-            rows = []
-            for b in range(buckets):
-                at = c.order[c.edges[b]:c.edges[b + 1]]
-                if len(at):
-                    rows.append((b, chunk, c.keys[at].tobytes(), _packed(c.counts[0, at]), _packed(c.counts[1, at])))
+            parts = ((b, c.order[c.edges[b]:c.edges[b + 1]]) for b in range(buckets))
+            yield rows([(b, chunk, _packed_keys(c.keys[at]), _packed(c.counts[0, at]), _packed(c.counts[1, at])) for b, at in parts if len(at)])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part, _ in chunks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(part)
-            rows.append((chunk % buckets, chunk, sink.getvalue().to_pybytes(), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "body", "n", "n_target"])
+            yield rows([(-1, chunk, sink.getvalue().to_pybytes(), None, None)])
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        out = [(b, c, body, None, None) for b, c, body, own in zip(g["bucket"], g["chunk"], g["body"], g["n"]) if own is None]
-        g = g[g["n"].notna()]
-        if len(g):
-            keys = np.concatenate([np.frombuffer(b, np.uint64) for b in g["body"]])
-            own = [np.concatenate([_unpacked(b) for b in g[c]]) for c in ("n", "n_target")]
-            _, place = np.unique(keys, return_inverse=True)
-            total = [np.bincount(place, weights=o).astype(np.int64)[place] for o in own]
-            at = 0
-            for b, c, body in zip(g["bucket"], g["chunk"], g["body"]):
-                here = slice(at, at + len(body) // 8)
-                at = here.stop
-                other = np.nonzero((total[0][here] != own[0][here]) | (total[1][here] != own[1][here]))[0]
-                if len(other):
-                    out.append((b, c, _packed(np.diff(other, prepend=0)), _packed(total[0][here][other]), _packed(total[1][here][other])))
+        keys = [_unpacked_keys(b) for b in g["body"]]
+        own = [np.concatenate([_unpacked(b) for b in g[c]]) for c in ("n", "n_target")]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = [np.bincount(place, weights=o).astype(np.int64)[place] for o in own]
+        at, out = 0, []
+        for b, c, k in zip(g["bucket"], g["chunk"], keys):
+            here = slice(at, at + len(k))
+            at = here.stop
+            other = np.nonzero((total[0][here] != own[0][here]) | (total[1][here] != own[1][here]))[0]
+            if len(other):
+                out.append((b, c, _packed(np.diff(other, prepend=0)), _packed(total[0][here][other]), _packed(total[1][here][other])))
         return pd.DataFrame(out, columns=["bucket", "chunk", "body", "n", "n_target"])
 
     def score(g: pd.DataFrame) -> pd.DataFrame:
         text = g[g["n"].isna()]["body"].iloc[0]
         part = pa.ipc.open_stream(text).read_next_batch()
         c = Chunk([t or "" for t in part.column(1).to_pylist()], part.column(2).to_numpy(zero_copy_only=False).astype(bool), buckets)
-        totals = c.counts.copy()
+        totals = c.counts
         for b, body, own, own_target in zip(g["bucket"], g["body"], g["n"], g["n_target"]):
             if own is not None:
                 at = c.order[c.edges[b] + np.cumsum(_unpacked(body))]
@@ -164,6 +178,5 @@ def score_marked(x: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int
         on_target, on_background = c.scores(totals, n, n_target)
         return pd.DataFrame({"doc_id": part.column(0).to_pandas(integer_object_nulls=True), "tokens": c.tokens, "target_loss": on_target, "background_loss": on_background, "score": on_target - on_background})
 
-    sent = x.mapInArrow(count, "bucket long, chunk long, body binary, n binary, n_target binary")
-    added = sent.groupBy("bucket").applyInPandas(add, sent.schema)
-    return added.groupBy("chunk").applyInPandas(score, f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
+    totals = x.mapInArrow(count, schema).groupBy("bucket").applyInPandas(add, schema)
+    return totals.unionByName(x.mapInArrow(keep, schema)).groupBy("chunk").applyInPandas(score, f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
