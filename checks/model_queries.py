@@ -128,3 +128,12 @@ Q["warm_up_sizes"] = lambda sp, sf: show(prepare.warm_up(_raw(sp, sf)))
 Q["pipeline_prepared"] = lambda sp, sf: show(pipeline.prepare_bars(gappy(sp, sf), min_points=400).drop("pos"), 5)
 Q["backtest_crossover"] = lambda sp, sf: show(backtest.crossover_run(bars(sp, sf), "sma_5", "sma_20", 1.0)["metrics"], 4)
 Q["backtest_model"] = lambda sp, sf: show(backtest.model_run(folds(sp, sf), bars(sp, sf), inputs(sp, sf), lookback=5, threshold=0.6, min_hold=3, max_hold=24)["metrics"], 4)
+
+
+def _first_known(*rows: int) -> str:
+    """Rows until all columns of a class are known, from the rows each of them needs; columns that never are don't count."""
+    return f"(SELECT max(w) FROM (VALUES {', '.join(f'({r})' for r in rows)}) v(w) WHERE w <= n_rows)"
+
+
+S["warm_up_sizes"] = sql("bars", select=f"""SELECT symbol, n_rows, {_first_known(5, 10, 2, 6, 11, 1)} AS short_window, {_first_known(20, 14, 16, 6, 11, 15, 1)} AS medium_window,
+  {_first_known(50, 200, 21, 31, 1)} AS long_window FROM (SELECT symbol, count(*) AS n_rows FROM bars GROUP BY symbol)""")
