@@ -89,7 +89,7 @@ def test_no_window_is_keyed_by_symbol_alone(spark, pdf):
 
     plan = add_features(to_spark(spark, pdf.dropna()), groups=["technical", "volatility", "patterns"])._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and all("_blk" in line for line in windows)
+    assert windows and all("_key" in line for line in windows) and "struct(symbol, symbol" in plan and "_blk, _blk" in plan  # the key is (symbol, block)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
