@@ -166,6 +166,9 @@ def hex64(fp: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of the documents whose id is their component's; of rows that repeat such an id one stays."""
-    keep = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([doc_id])
+    same = near_duplicates(docs, doc_id, text)
+    keep = same.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.join(keep, F.col(f"`{doc_id}`") == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])  # one shuffle for both
+    if not same.where("doc_id is null and component_id is null").limit(1).count():
+        return named
+    return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()).dropDuplicates([doc_id]))  # rows without an id, alone in their group, are one id
