@@ -28,7 +28,7 @@ from barspark.llm.common import pick, stage, text_slices
 
 CAPACITY = 2048
 BUCKET_ROWS = 20_000  # pieces of one length numbered in one window group
-CACHE_WORDS = 1_000_000  # pieces of text whose ids a worker remembers before it forgets all of them
+CACHE_WORDS = 300_000  # pieces of text whose ids a worker remembers before it forgets all of them
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 

@@ -34,7 +34,7 @@ TRAIN_ROWS = 30_000
 LEXICON = 4_096
 LEAST_TEXTS, LEAST_RATIO = 3, 10.0  # toxic texts with an entry; log-likelihood ratio of an entry
 BEGINNINGS = (3, 5, 7)
-CACHE_WORDS = 500_000  # words whose weights a worker remembers
+CACHE_WORDS = 200_000  # words whose weights a worker remembers
 BASE_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 BASE_WEIGHT = 2.0
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
