@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators.series import shared_folder, stage
 
-__all__ = ["shared_folder", "stage", "pick", "train_part", "components", "text_slices", "input_bytes"]
+__all__ = ["shared_folder", "stage", "pick", "train_part", "row_key", "keep_rows", "components", "text_slices", "input_bytes"]
 
 SLICE_BYTES = 8 << 20  # texts are worked on in slices of about this size, whatever the Arrow batch holds
 
@@ -25,6 +25,21 @@ def train_part(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
+def row_key(docs: DataFrame, doc_id: str) -> Column:
+    """A row's own key, ordered by its id with nulls last, then by 128 bits over all its columns: only equal rows share one."""
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    cols += [F.col(f"`{c}`").isNull() for c in docs.columns]  # the hash skips nulls
+    one = F.col(f"`{doc_id}`")
+    return F.struct(one.isNull().alias("none"), one.alias("id"), F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2"))
+
+
+def keep_rows(keyed: DataFrame, low: DataFrame) -> DataFrame:
+    """Of documents with their ``row_key`` as ``_row`` those whose key is in column ``low``, each once; without the key."""
+    x = keyed.withColumns({"_h1": F.col("_row.h1"), "_h2": F.col("_row.h2")})
+    got = x.join(low.select(F.col("low.h1").alias("_h1"), F.col("low.h2").alias("_h2")), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])  # one shuffle for both
+    return got.select(*[F.col(f"`{c}`") for c in keyed.columns if c != "_row"])
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches into slices of about ``slice_bytes`` of text (one row at least); null texts become empty."""
     for batch in batches:

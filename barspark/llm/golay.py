@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import components, pick, stage, text_slices
+from barspark.llm.common import components, keep_rows, pick, row_key, stage, text_slices
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, number of bits
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the Golay code's polynomial
@@ -165,10 +165,12 @@ def hex64(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of the documents whose id is their component's; of rows that repeat such an id one stays."""
-    same = near_duplicates(docs, doc_id, text)
-    keep = same.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(keep, F.col(f"`{doc_id}`") == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])  # one shuffle for both
-    if not same.where("doc_id is null and component_id is null").limit(1).count():
-        return named
-    return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()).dropDuplicates([doc_id]))  # rows without an id, alone in their group, are one id
+    """All columns of exactly one row per component of ``near_duplicates``: the smallest id's, null ids last.
+
+    Chosen among rows, not ids: ids may be null or repeated, also with different texts.
+    """
+    keyed = docs.withColumn("_row", row_key(docs, doc_id))
+    nodes = stage(fingerprints(keyed, "_row", text).groupBy("fp").agg(F.min("doc_id").alias("low")))
+    root = components(links(nodes)).withColumnRenamed("node", "fp")
+    low = nodes.join(root, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
+    return keep_rows(keyed, low)
