@@ -119,15 +119,24 @@ q("folds_mixed_periods", lambda sp, sf: splits.time_folds(bars(sp, sf), "10D", 1
   SELECT CAST(i AS BIGINT) AS split_index, k AS split_type, count(*) AS n FROM x WHERE i IN (SELECT i FROM x GROUP BY i HAVING count(DISTINCT k) = 2) GROUP BY 1, 2""", "bars")
 
 
-def _every_row(sp, sf):
-    """Row folds with step 1: as many folds as rows, whatever the plan's size."""
-    x = splits.tag_folds(bars(sp, sf), splits.rolling(None, None, 700, 300, 100, 1))
+def _every_row(sp, sf, n=700):
+    """Row folds with step 1 over the first ``n`` rows of each symbol."""
+    x = splits.tag_folds(bars(sp, sf), splits.rolling(None, None, n, 300, 100, 1))
     return x.groupBy("symbol", "pos", "split_type").agg(F.count(F.lit(1)).alias("n"), F.min("split_index").cast("long").alias("first"), F.max("split_index").cast("long").alias("last"))
 
 
 q("folds_every_row", _every_row, """SELECT symbol, pos, k AS split_type, count(*) AS n, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last FROM
   (SELECT symbol, pos, i, CASE WHEN pos < i + 300 THEN 'train' ELSE 'test' END AS k FROM bars JOIN range(0, 301) t(i) ON pos >= i AND pos < i + 400) GROUP BY 1, 2, 3""", "bars")
 
+
+def _all_rows(sp, sf):
+    """Row folds with step 1 over the longest symbol: as many folds as rows, whatever the plan's size."""
+    return _every_row(sp, sf, bars(sp, sf).agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0])
+
+
+q("folds_every_row_whole", _all_rows, """SELECT symbol, pos, k AS split_type, count(*) AS n, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last FROM
+  (SELECT symbol, pos, i, CASE WHEN pos < i + 300 THEN 'train' ELSE 'test' END AS k FROM bars JOIN (SELECT unnest(range(0, max(pos) - 398)) AS i FROM bars) ON pos >= i AND pos < i + 400) GROUP BY 1, 2, 3""", "bars")
+
 # ---------------------------------------------------------------- features in use, selection rules
 q("usable_features", lambda sp, sf: sp.createDataFrame([(c,) for c in select.usable_features(gappy(sp, sf).withColumns({"flat": F.lit(1.0), "range": F.col("pos") * 2.0}), "close")], "feature string"),
   "SELECT unnest(list_filter(['open', 'high', 'low', 'volume', 'range'], lambda c: c = 'range' OR (c = 'volume' AND v) OR (c NOT IN ('range', 'volume') AND k))) AS feature FROM (SELECT count(open) = count(*) AS k, min(volume) < max(volume) AS v FROM gappy)", "gappy")
