@@ -303,6 +303,20 @@ q("sma_after_spike", _spiked, f"""SELECT symbol, pos, {R(f"avg(close) {over(20)}
   FROM bars QUALIFY pos >= 520 OR pos BETWEEN 215 AND 290""", "bars")
 
 
+_SPOILT = (10, 300)  # rows with the spike and the NaN
+
+
+def _spiked_whole(sp, sf):
+    """All rows; null only where an average's own window holds the spike or the NaN."""
+    x = bars(sp, sf).withColumn("close", F.when(F.col("pos") == 10, 1e18).when(F.col("pos") == 300, float("nan")).otherwise(F.col("close")))
+    x = features.moving_averages(x, windows=(20, 50, 200))
+    return show(x.select("symbol", "pos", *[F.when(~F.expr(" or ".join(f"pos between {p} and {p + n - 1}" for p in _SPOILT)), F.col(f"sma_{n}")).alias(f"sma_{n}") for n in (20, 50, 200)]))
+
+
+q("sma_after_spike_whole", _spiked_whole, "SELECT symbol, pos, " + ", ".join(
+    f"CASE WHEN pos NOT BETWEEN 10 AND {9 + n} AND pos NOT BETWEEN 300 AND {299 + n} THEN {R(roll('avg', 'close', n))} END AS sma_{n}" for n in (20, 50, 200)) + " FROM bars", "bars")
+
+
 def _timeless(sp, sf):
     x = table(sp, sf, "events").select(F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("symbol"), F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("timestamp")).alias("ts"), "event_id")
     return number_rows(x, EVENT_TICKS, "1 hour").select("symbol", "event_id", "pos")
