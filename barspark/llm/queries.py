@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann, chat, decontam, golay, langid, lmscore, packing, sharding, toxicity, warc
+from barspark.llm import ann, chat, crosstok, decontam, golay, langid, lmscore, packing, pii, repair, sharding, toxicity, warc
 from barspark.llm.common import shared_folder, stage, train_part
+from barspark.operators.series import join_by
 
 TOKENIZER = "word_bpe_49k.json"
+LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
@@ -74,8 +76,33 @@ def op10_lookup_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return crosstok.alignment(table(spark, sf, "documents"), public_tokenizers.path(LEFT), public_tokenizers.path(RIGHT))
+
+
+def op12_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    found = repair.digests(repair.repair(repair.damaged(turns)))
+    every = join_by(turns.select("conv_id").distinct(), found, ["conv_id"])
+    figures = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 Q = {f.__name__: f for f in (op1_prefix_targets, op2_cross_entropy_difference, op3_golay_near_duplicates, op4_gzip_members, op5_decontamination, op6_language_profiles,
-                             op7_toxicity, op8_minimum_bin_slack, op9_learned_partitions, op10_lookup_sharding)}
+                             op7_toxicity, op8_minimum_bin_slack, op9_learned_partitions, op10_lookup_sharding, op11_cross_tokenizer_alignment, op12_personal_data, op13_conversation_repair)}
 
 
 def _escaped(c: str) -> str:
