@@ -61,13 +61,24 @@ def place(df: DataFrame, key: Column, shards: list[str], size: int = SIZE, slot:
 
     Columns of ``df`` that are called like the new ones are refused.
     """
-    if {slot, shard} & set(df.columns):
+    taken = {c.lower() for c in df.columns}
+    if {slot.lower(), shard.lower()} & taken:
         raise ValueError("name the new columns so that they don't clash")
-    table = lookup(df.sparkSession, shards, size).toDF("_slot", shard)
-    placed = df.withColumn(slot, slot_of(key, size)).join(F.broadcast(table), F.col(slot) == F.col("_slot"))
+    own = "_slot"
+    while own in taken:
+        own += "_"
+    table = lookup(df.sparkSession, shards, size).toDF(own, shard)
+    placed = df.withColumn(slot, slot_of(key, size)).join(F.broadcast(table), F.col(slot) == F.col(own))
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], slot, shard)
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", rows_per_file: int = 1_000_000) -> None:
-    """One folder per shard. Rows stay in the tasks that have them (a hot key is not gathered); files are cut by row count."""
-    df.write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    """One folder per shard, in files of about ``rows_per_file`` rows.
+
+    Rows of a shard come together in as many parts as it has files, so there are few files however many tasks read the input, and a shard
+    with most of the rows (a hot key) is written by many tasks. The counts are one row per shard.
+    """
+    files = df.groupBy(shard).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file))).alias("n")).collect()
+    of = F.element_at(F.create_map(*[F.lit(v) for r in files for v in (r[0], int(r[1]))]), F.col(shard)) if files else F.lit(1)
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), of).cast("int")
+    df.repartition(max(1, sum(int(r[1]) for r in files)), F.col(shard), part).write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(path)
