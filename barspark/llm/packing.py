@@ -200,14 +200,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     Offsets within a sequence start at 0 and leave no gap. Rows of equal length are interchangeable; repeated rows are
     placed one by one. ``parts`` should be a written table, since the counts and the rows must agree.
     """
-    # a bucket is decided by the whole row, so that a lost task that is computed again finds the same numbers
-    rows = parts.withColumn("_bucket", F.pmod(F.xxhash64(*parts.columns), F.lit(max(1, -(-parts.count() // BUCKET_ROWS)))))
-    counts = rows.groupBy(length, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # equal rows are numbered as one with a count, and a bucket is decided by the row: no bucket is large, and a lost task that is computed again finds the same numbers
+    rows = stage(parts.groupBy(*parts.columns).agg(F.count(F.lit(1)).alias("_n")))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*parts.columns), F.lit(max(1, -(-rows.count() // BUCKET_ROWS)))))
+    counts = rows.groupBy(length, "_bucket").agg(F.sum("_n").alias("_n"))
     histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("_n")).collect()}  # one row per length
     before = Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(length, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(length, "_bucket").orderBy(*[c for c in parts.columns if c != length])
-    numbered = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, [length, "_bucket"]).withColumn("_number", F.col("_before") + F.col("_rank"))
+    inside = Window.partitionBy(length, "_bucket").orderBy(*[c for c in parts.columns if c != length]).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_last", F.sum("_n").over(inside)).join(offsets, [length, "_bucket"])
+    first = F.col("_before") + F.col("_last") - F.col("_n")
+    numbered = numbered.withColumn("_number", F.explode(F.sequence(first, first + F.col("_n") - 1)))
     table, names = places(patterns(histogram, capacity)), parts.columns
     schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
