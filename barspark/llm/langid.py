@@ -49,7 +49,7 @@ class Letters:
             for c in np.unique(raw[kind == 2]).tolist():
                 self.is_letter[c] = chr(c).isalpha()
             kind = self.is_letter[raw]
-        codes = np.concatenate((np.zeros(1, np.int64), np.where(kind == 1, raw, 0).astype(np.int64), np.zeros(1, np.int64)))
+        codes = np.concatenate((np.zeros(1, np.int32), np.where(kind == 1, raw, 0).astype(np.int32), np.zeros(1, np.int32)))
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
         return codes[keep]
@@ -98,6 +98,12 @@ def counted(texts: list[np.ndarray], gram: int) -> tuple[np.ndarray, np.ndarray,
     return grams, both // max(1, len(distinct)), both % max(1, len(distinct)), count
 
 
+def cuts(coded: np.ndarray, gram: int) -> Iterator[np.ndarray]:
+    """Stretches of a coded text of ``GROUP_CHARS`` n-grams, so that each n-gram is in one of them; none for a text without letters."""
+    for at in range(0, len(coded) - gram + 1, GROUP_CHARS):
+        yield coded[at:at + GROUP_CHARS + gram - 1]
+
+
 def bundles(texts: list[str], letters: Letters) -> np.ndarray:
     """One bundle per text (rows of DIMENSIONS doubles); a text without letters has a row of zeros. Long texts count in chunks."""
     out = np.zeros((len(texts), letters.dimensions))
@@ -123,8 +129,7 @@ def bundles(texts: list[str], letters: Letters) -> np.ndarray:
     for i, c in enumerate(coded):
         if len(c) < letters.gram:  # no letter at all: the two ends are one 0
             continue
-        for at in range(0, len(c) - letters.gram + 1, GROUP_CHARS):
-            part = c[at:at + GROUP_CHARS + letters.gram - 1]
+        for part in cuts(c, letters.gram):
             todo.append(part)
             rows.append(i)
             size += len(part)
@@ -140,6 +145,7 @@ class Profiles:
 
     languages: tuple[str, ...]
     vectors: np.ndarray
+    gram: int = GRAM
 
     def name(self, bundle: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each bundle; equal cosines go to the name that sorts first."""
@@ -177,24 +183,30 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", usable: Column
     names = tuple(sorted(got["lang"].unique()))
     vectors = np.zeros((len(names), dimensions))
     vectors[[names.index(n) for n in got["lang"]], got["dim"]] = got["v"]
-    return Profiles(names, vectors)
+    return Profiles(names, vectors, gram)
 
 
 def bundle_sum(texts: list[str], letters: Letters) -> np.ndarray:
     """The sum of the texts' bundles as whole numbers, without a bundle for each text."""
     total = np.zeros(letters.dimensions, np.int64)
     todo, size = [], 0
-    for i, t in enumerate(texts):
-        c = letters.codes(t)
-        if len(c) >= letters.gram:
-            todo.append(c)
-            size += len(c)
-        if todo and (size >= 4 * GROUP_CHARS or i == len(texts) - 1):
-            grams, _, gram, count = counted(todo, letters.gram)
-            n = np.bincount(gram, weights=count, minlength=len(grams))
-            for at in range(0, len(grams), GRAMS):
-                total += np.rint(n[at:at + GRAMS] @ letters.bound(grams[at:at + GRAMS]).astype(np.float64)).astype(np.int64)
-            todo, size = [], 0
+
+    def flush() -> None:
+        nonlocal todo, size, total
+        grams, _, gram, count = counted(todo, letters.gram)
+        n = np.bincount(gram, weights=count, minlength=len(grams))
+        for at in range(0, len(grams), GRAMS):
+            total += np.rint(n[at:at + GRAMS] @ letters.bound(grams[at:at + GRAMS]).astype(np.float64)).astype(np.int64)
+        todo, size = [], 0
+
+    for t in texts:
+        for part in cuts(letters.codes(t), letters.gram):
+            todo.append(part)
+            size += len(part)
+            if size >= 4 * GROUP_CHARS:
+                flush()
+    if todo:
+        flush()
     return total
 
 
@@ -207,7 +219,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: dict[str, str], text: str
     schema = x.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters(profiles.vectors.shape[1] if profiles.languages else DIMENSIONS, GRAM)
+        letters = Letters(profiles.vectors.shape[1] if profiles.languages else DIMENSIONS, profiles.gram)
         for part, texts in text_slices(batches, "_text"):
             names, score = profiles.name(bundles(texts, letters))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
