@@ -136,17 +136,31 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column | None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, y): at most ``rows`` labelled documents with distinct texts, y 1 if any of the labels of its id is 1."""
+    """(doc_id, h, y): at most ``rows`` labelled documents with distinct texts (h hashes the text), y 1 if any of the labels of its id is 1.
+
+    Of an id with several texts the one with the smallest hash is taken.
+    """
     y = pick(labels, doc_id=doc_id, y=label).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("y"))
     x = docs.where(F.lit(True) if usable is None else usable)
-    ids = pick(x, doc_id=doc_id, text=text).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    one = ids.join(y, "doc_id").groupBy("h").agg(F.min_by(F.struct("doc_id", "y"), "doc_id").alias("r")).select("r.doc_id", "r.y")
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).dropDuplicates(["doc_id"])
+    ids = pick(x, doc_id=doc_id, text=text).select("doc_id", _text_hash().alias("h"))
+    one = ids.join(y, "doc_id").groupBy("h").agg(F.min_by(F.struct("doc_id", "y"), "doc_id").alias("r")).select("h", "r.doc_id", "r.y")
+    one = one.groupBy("doc_id").agg(F.min(F.struct("h", "y")).alias("r")).select("doc_id", "r.h", "r.y")
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _texts_of(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, y) of the chosen rows, each once; ``rows`` is bounded, so it is broadcast."""
+    x = pick(docs, doc_id=doc_id, text=text).withColumn("h", _text_hash()).join(F.broadcast(rows), ["doc_id", "h"])
+    return x.dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
 
 def learn_lexicon(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LEXICON) -> dict[str, float]:
     """Weights (log-odds) of the ``size`` entries that mark toxic texts most clearly; ``rows`` is bounded, so it is broadcast."""
-    x = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(rows), "doc_id").select("y", "text")
+    x = _texts_of(docs, rows, doc_id, text).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
@@ -187,8 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id
     """Learn lexicon, trees and calibration from the labelled rows for which ``usable`` (a condition on ``docs``) is true."""
     chosen = stage(training_rows(docs, labels, usable, doc_id, text, label, rows))
     lexicon = learn_lexicon(docs, chosen, doc_id, text)
-    train = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id")
-    train = with_features(train.dropDuplicates(["doc_id"]) if _repeats(docs, chosen, doc_id) else train, lexicon, {"doc_id": "doc_id", "y": "y"})
+    train = with_features(_texts_of(docs, chosen, doc_id, text), lexicon, {"doc_id": "doc_id", "y": "y"})
     train = stage(train.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))))
     train = train.select("y", "part", array_to_vector("_dense").alias("x"))
     seen = {(r[0], r[1]): r[2] for r in train.groupBy((F.col("part") < 7).alias("fit"), "y").agg(F.count(F.lit(1))).collect()}
@@ -204,11 +217,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id
     return Model(lexicon, trees, calibration, rate)
 
 
-def _repeats(docs: DataFrame, chosen: DataFrame, doc_id: str) -> bool:
-    ids = pick(docs, doc_id=doc_id).join(F.broadcast(chosen), "doc_id")
-    return ids.count() > chosen.count()
-
-
 def _margin(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
     return trees.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1])
 
