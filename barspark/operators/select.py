@@ -12,9 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.columns import ratio
 from barspark.functions.naming import IMPORTANCE_CATEGORIES, METADATA_CATEGORIES, category_column, price_return_target
 from barspark.operators.clean import null_profile, split_numeric
 from barspark.operators.labels import label_value
@@ -111,53 +112,63 @@ class Selection:
     favoured: tuple[str, ...] = ()
 
 
-def select_features(imp: DataFrame, rule: Selection = Selection()) -> list[str]:
-    """Names to keep, in selection order, from ``feature, importance[, category]``."""
-    ranked = [r.asDict() for r in imp.orderBy(F.desc("importance"), "feature").collect()]
-    names = [r["feature"] for r in ranked]
-    constant = {r["feature"] for r in ranked if r["importance"] <= CONSTANT_LIMIT}
-    live = [r for r in ranked if r["feature"] not in constant]
-    lo, hi = rule.min_features, rule.max_features
-    if rule.method == "top_n":
-        count = rule.n or min(hi, len(live) // 2)
-    elif rule.method == "threshold":
-        count = min(hi, max(lo, sum(r["importance"] >= rule.threshold for r in live)))
-    elif rule.method == "cumulative":
-        limit = rule.threshold if 0 < rule.threshold <= 1 else 0.9
-        total, run, count = sum(r["importance"] for r in live), 0.0, 0
-        for r in live:
-            run += r["importance"]
-            count += run / total <= limit
-        count = min(hi, max(lo, count, 1))
+def selection(imp: DataFrame, rule: Selection = Selection()) -> DataFrame:
+    """(feature, place, why) of the features kept from ``feature, importance[, category]``, places from 0.
+
+    Every condition is a column over the importance table. Features that don't vary (``CONSTANT_LIMIT``) count for nothing but may be
+    essential or the target. ``leading``: among the first of the method's number by importance. ``essential``: always kept. ``balance``: a
+    category with fewer kept features than the average one gets its best others, as many as the average (half of it if not favoured);
+    if that is too many, both parts are cut in proportion. ``target``: kept last, or left out.
+    """
+    by_rank, whole = Window.orderBy(F.desc("importance"), "feature"), Window.partitionBy()
+    category = F.col("category") if "category" in imp.columns else F.lit(None).cast("string")
+    x = imp.select("feature", "importance", category.alias("category")).withColumns({"live": F.col("importance") > CONSTANT_LIMIT, "rank": F.row_number().over(by_rank)})
+    upto = by_rank.rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col("live"), F.col("importance"))
+    x = x.withColumns({"live_rank": F.count(value).over(upto), "n_live": F.count(value).over(whole), "share": ratio(F.sum(value).over(upto), F.sum(value).over(whole))})
+    n = F.col("n_live").cast("long")
+    least, most = F.lit(rule.min_features), F.lit(rule.max_features)
+    limit = rule.threshold if 0 < rule.threshold <= 1 else 0.9
+    wanted = {"top_n": F.lit(rule.n) if rule.n else F.least(most, F.floor(n / 2)),
+              "threshold": F.greatest(least, F.count_if(F.col("live") & (F.col("importance") >= rule.threshold)).over(whole)),
+              "cumulative": F.greatest(least, F.lit(1), F.count_if(F.col("live") & (F.col("share") <= limit)).over(whole))}
+    wanted = wanted.get(rule.method, F.greatest(least, F.floor(n * DEFAULT_SHARE)))
+    x = x.withColumn("wanted", wanted if rule.method == "top_n" else F.least(most, wanted))
+    essential = F.array_position(F.array(*[F.lit(c) for c in ESSENTIAL]), F.col("feature"))
+    x = x.withColumn("leading", F.col("live") & (F.col("live_rank") <= F.col("wanted")))
+    x = x.withColumn("why", F.when(F.col("leading"), "leading").when(essential > 0, "essential"))
+    x = x.withColumn("order", F.when(F.col("leading"), F.col("live_rank")).when(essential > 0, F.lit(1 << 20) + essential))
+    if rule.balance and "category" in imp.columns:
+        x = _balanced(x, rule)
+    target = F.col("feature") == rule.target
+    if rule.keep_target:
+        x = x.withColumns({"order": F.coalesce("order", F.when(target, F.lit(1 << 30))), "why": F.coalesce("why", F.when(target, F.lit("target")))})
+        kept = F.col("live") | target
     else:
-        count = min(hi, max(lo, int(len(live) * DEFAULT_SHARE)))
-    chosen = [r["feature"] for r in live[:count]]
-    chosen += [c for c in ESSENTIAL if c in names and c not in chosen]
-    if rule.balance and ranked and "category" in ranked[0]:
-        chosen = _balanced(ranked, chosen, rule)
-    if rule.keep_target and rule.target in names:
-        chosen += [rule.target] if rule.target not in chosen else []
-        constant -= {rule.target}
-    elif not rule.keep_target:
-        chosen = [c for c in chosen if c != rule.target]
-    return [c for c in chosen if c not in constant]
-
-
-def _balanced(ranked: list[dict], chosen: list[str], rule: Selection) -> list[str]:
-    """Top up the categories that hold fewer features than the average category."""
-    cats = list(dict.fromkeys(r["category"] for r in ranked))
-    share = max(1, len(chosen) // len(cats))
-    picked = set(chosen)
-    extra: list[str] = []
-    for cat in cats:
-        members = [r["feature"] for r in ranked if r["category"] == cat]
-        if sum(m in picked for m in members) < share:
-            room = share if cat in rule.favoured else max(1, share // 2)
-            extra += [m for m in members if m not in picked][:room]
-    if len(chosen) + len(extra) <= rule.max_features:
-        return chosen + extra
-    first = int(rule.max_features * len(chosen) / (len(chosen) + len(extra)))
-    return chosen[:first] + extra[: rule.max_features - first]
+        kept = F.col("live") & ~target
+    x = x.where(F.col("order").isNotNull() & kept)
+    return x.select("feature", (F.row_number().over(Window.orderBy("order")) - 1).alias("place"), "why")
+
+
+def _balanced(x: DataFrame, rule: Selection) -> DataFrame:
+    """Fill ``order`` and ``why`` for features that top up a small category, and take back what is too many."""
+    whole, own = Window.partitionBy(), Window.partitionBy("category")
+    x = x.withColumn("first", F.min("rank").over(own)).withColumn("mean", F.greatest(F.lit(1), F.floor(F.count("order").over(whole) / F.count_if(F.col("rank") == F.col("first")).over(whole))))
+    room = F.when(F.col("category").isin(list(rule.favoured)), F.col("mean")).otherwise(F.greatest(F.lit(1), F.floor(F.col("mean") / 2)))
+    nth = F.count_if(F.col("order").isNull()).over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("more", F.col("order").isNull() & (F.count("order").over(own) < F.col("mean")) & (nth <= room))
+    x = x.withColumn("order", F.when(F.col("more"), F.lit(1 << 25) + F.col("first") * (1 << 12) + F.col("rank")).otherwise(F.col("order")))
+    n, extra = F.count("order").over(whole), F.count_if("more").over(whole)
+    x = x.withColumns({"n": n, "extra": extra, "why": F.when(F.col("more"), "balance").otherwise(F.col("why"))})
+    old = F.floor(F.lit(rule.max_features) * (F.col("n") - F.col("extra")) / F.col("n"))
+    within = F.row_number().over(Window.partitionBy("more", F.col("order").isNull()).orderBy("order"))
+    stays = (F.col("n") <= rule.max_features) | (F.when(F.col("more"), within <= F.lit(rule.max_features) - old).otherwise(within <= old))
+    return x.withColumn("stays", stays).withColumn("order", F.when(F.col("stays"), F.col("order"))).withColumn("why", F.when(F.col("stays"), F.col("why")))
+
+
+def select_features(imp: DataFrame, rule: Selection = Selection()) -> list[str]:
+    """Names to keep, in order (see ``selection``)."""
+    return [r["feature"] for r in selection(imp, rule).orderBy("place").collect()]
 
 
 def apply_selection(df: DataFrame, features: Sequence[str], s: Series = BARS) -> DataFrame:

@@ -293,16 +293,6 @@ assert CTES
 
 
 # ---------------------------------------------------------------- rows and values that must not get lost
-def _spiked(sp, sf):
-    x = bars(sp, sf).withColumn("close", F.when(F.col("pos") == 10, 1e18).when(F.col("pos") == 300, float("nan")).otherwise(F.col("close")))
-    x = features.moving_averages(x, windows=(20, 50, 200)).where("pos >= 520 or pos between 215 and 290")
-    return show(x.select("symbol", "pos", "sma_20", "sma_50", "sma_200"))
-
-
-q("sma_after_spike", _spiked, f"""SELECT symbol, pos, {R(f"avg(close) {over(20)}")} AS sma_20, {R(f"avg(close) {over(50)}")} AS sma_50, {R(f"avg(close) {over(200)}")} AS sma_200
-  FROM bars QUALIFY pos >= 520 OR pos BETWEEN 215 AND 290""", "bars")
-
-
 _SPOILT = (10, 300)  # rows with the spike and the NaN
 
 

@@ -119,16 +119,12 @@ q("folds_mixed_periods", lambda sp, sf: splits.time_folds(bars(sp, sf), "10D", 1
   SELECT CAST(i AS BIGINT) AS split_index, k AS split_type, count(*) AS n FROM x WHERE i IN (SELECT i FROM x GROUP BY i HAVING count(DISTINCT k) = 2) GROUP BY 1, 2""", "bars")
 
 
-def _every_row(sp, sf, n=700):
+def _every_row(sp, sf, n):
     """Row folds with step 1 over the first ``n`` rows of each symbol."""
     x = splits.tag_folds(bars(sp, sf), splits.rolling(None, None, n, 300, 100, 1))
     return x.groupBy("symbol", "pos", "split_type").agg(F.count(F.lit(1)).alias("n"), F.min("split_index").cast("long").alias("first"), F.max("split_index").cast("long").alias("last"))
 
 
-q("folds_every_row", _every_row, """SELECT symbol, pos, k AS split_type, count(*) AS n, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last FROM
-  (SELECT symbol, pos, i, CASE WHEN pos < i + 300 THEN 'train' ELSE 'test' END AS k FROM bars JOIN range(0, 301) t(i) ON pos >= i AND pos < i + 400) GROUP BY 1, 2, 3""", "bars")
-
-
 def _all_rows(sp, sf):
     """Row folds with step 1 over the longest symbol: as many folds as rows, whatever the plan's size."""
     return _every_row(sp, sf, bars(sp, sf).agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0])
@@ -169,6 +165,42 @@ q("select_cumulative", _rule(method="cumulative", threshold=0.8), _first("least(
 q("select_share", _rule(method="share", min_features=2), _first("greatest(2, live * 0.2)"))
 
 
+def _kinds(sp, sf):
+    """Parts as features of some categories, with essential columns and a target among the unimportant ones."""
+    n = table(sp, sf, "lineitem").groupBy((F.col("l_partkey") % 60).alias("k")).agg(F.sum("l_extendedprice").alias("v"))
+    name = F.when(F.col("k") == 3, "open_raw").when(F.col("k") == 4, "Date").when(F.col("k") == 5, "close_return").when(F.col("k") == 6, "flat").otherwise(F.concat(F.lit("f"), F.col("k").cast("string")))
+    kind = F.when(F.col("k") < 30, "big").when(F.col("k") < 45, "middle").when(F.col("k") < 55, "small").otherwise("rare")
+    weight = F.when(F.col("k") == 6, 0.0).when(F.col("k") < 10, F.col("v") / 1e3).when(F.col("k") < 45, F.col("v")).otherwise(F.col("v") / 1e2)
+    return n.select(name.alias("feature"), weight.alias("importance"), kind.alias("category"))
+
+
+_KINDS_SQL = """k0 AS (SELECT l_partkey % 60 AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), k1 AS (SELECT CASE k WHEN 3 THEN 'open_raw' WHEN 4 THEN 'Date' WHEN 5 THEN 'close_return' WHEN 6 THEN 'flat' ELSE 'f' || k END AS feature,
+  CASE WHEN k = 6 THEN 0.0 WHEN k < 10 THEN v / 1e3 WHEN k < 45 THEN v ELSE v / 1e2 END AS importance, CASE WHEN k < 30 THEN 'big' WHEN k < 45 THEN 'middle' WHEN k < 55 THEN 'small' ELSE 'rare' END AS category FROM k0),
+  rk AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS r FROM k1)"""
+
+
+def _chosen(**kw):
+    return lambda sp, sf: show(select.selection(_kinds(sp, sf), select.Selection(**kw)))
+
+
+# places: the first 20 by importance, then essentials in their fixed order, then the target
+q("select_essentials", _chosen(method="top_n", n=20), f"""WITH {_KINDS_SQL} SELECT feature, row_number() OVER (ORDER BY o) - 1 AS place, why FROM (
+  SELECT feature, r AS o, 'leading' AS why FROM rk WHERE r <= 20 UNION ALL SELECT feature, CASE feature WHEN 'open_raw' THEN 100 ELSE 101 END, 'essential' FROM rk WHERE r > 20 AND feature IN ('open_raw', 'Date')
+  UNION ALL SELECT feature, 200, 'target' FROM rk WHERE r > 20 AND feature = 'close_return')""")
+q("select_without_target", _chosen(method="top_n", n=60, keep_target=False), f"WITH {_KINDS_SQL} SELECT feature, row_number() OVER (ORDER BY r) - 1 AS place, 'leading' AS why FROM rk WHERE importance > 1e-10 AND feature <> 'close_return'")
+# 22 kept: the mean category has 5; small (0 kept, favoured) gets 5, rare (0 kept) gets 2
+_BALANCE = f"""WITH {_KINDS_SQL}, c AS (SELECT *, r <= 20 OR feature IN ('open_raw', 'Date') AS old FROM rk), m AS (SELECT *, greatest(1, (SELECT count(*) FILTER (old) // count(DISTINCT category) FROM c)) AS mean,
+    count(*) FILTER (old) OVER (PARTITION BY category) AS have, min(r) OVER (PARTITION BY category) AS f, row_number() OVER (PARTITION BY category, old ORDER BY r) AS nth FROM c),
+  z AS (SELECT feature, CASE WHEN r <= 20 THEN 'leading' WHEN old THEN 'essential' ELSE 'balance' END AS why, CASE WHEN r <= 20 THEN r WHEN feature = 'open_raw' THEN 100 WHEN feature = 'Date' THEN 101 ELSE 1000 + f * 100 + r END AS o, old
+    FROM m WHERE old OR (have < mean AND nth <= CASE WHEN category = 'small' THEN mean ELSE greatest(1, mean // 2) END)),
+  y AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY o) AS nth, count(*) FILTER (old) OVER () AS n_old, count(*) OVER () AS n FROM z),
+  t AS (SELECT feature, why, o FROM y WHERE n <= {{most}} OR CASE WHEN old THEN nth <= {{most}} * n_old // n ELSE nth <= {{most}} - {{most}} * n_old // n END)
+  SELECT feature, row_number() OVER (ORDER BY o) - 1 AS place, why FROM (SELECT * FROM t WHERE feature <> 'flat' UNION ALL SELECT 'close_return', 'target', 100000 WHERE 'close_return' NOT IN (SELECT feature FROM t))"""
+q("select_balanced", _chosen(method="top_n", n=20, balance=True, favoured=("small",)), _BALANCE.format(most=50))
+q("select_balanced_capped", _chosen(method="top_n", n=20, balance=True, favoured=("small",), max_features=24), _BALANCE.format(most=24))
+q("category_totals", lambda sp, sf: show(select.category_totals(_kinds(sp, sf)), 2), f"WITH {_KINDS_SQL} SELECT category, {R('sum(importance)', 2)} AS importance, count(*) AS n_features FROM rk GROUP BY 1")
+
+
 def _validated(sp, sf):
     out = []
     for name, df, target in (("named", bars(sp, sf), "close"), ("return", bars(sp, sf).withColumn("my_return", F.lit(0.5)), "nothing"), ("none", bars(sp, sf), "nothing"), ("text", bars(sp, sf), "symbol"),

@@ -9,7 +9,7 @@ from checks.compare import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 NAMES = ["bars_hourly", "resample_4h", "last_known_grid", "exact_quantiles_ticks", "feature_ema", "feature_technical", "normalise_robust", "folds_by_time", "signals_macd",
          "hold_limited", "trades_close_only_stops", "equity_curve", "performance_summary", "monthly_table", "roc_auc", "stream_bars_tumbling",
-         "sma_after_spike", "null_time_rows", "quantiles_heavy_tail", "read_mixed_headers", "read_symbols", "drop_correlated_nulls", "predict_keeps_rows", "synthetic_volume_noisy_bounds", "random_slippage_bounds"]
+         "sma_after_spike_whole", "null_time_rows", "quantiles_heavy_tail", "read_mixed_headers", "read_symbols", "drop_correlated_nulls", "predict_keeps_rows", "synthetic_volume_noisy_bounds", "random_slippage_bounds"]
 
 
 @pytest.fixture(scope="module")
