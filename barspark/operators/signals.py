@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from barspark.functions.columns import typical_price
-from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, ewm, frames, last, numbered, rolling_means, scan
+from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, ewm, frames, join_by, last, numbered, rolling_means, scan, stage
 
 BUY, SELL, REVERSE, EXIT_LONG, EXIT_SHORT = "BUY", "SELL", "REVERSE", "EXIT_LONG", "EXIT_SHORT"
 
@@ -128,101 +127,133 @@ def consensus(df: DataFrame, direction_col: str = "direction", lookback: int = 1
 class HoldRule:
     """Entry on consensus; exit on the opposite consensus after ``min_hold`` bars or at ``max_hold``.
 
-    The state (flat, or side and bars held) is finite, so a block of bars is a map from state to
-    state: blocks are turned into maps in parallel, the maps are chained, and every block is
-    then replayed from its own start state. No task sees more than one block of one key.
+    What a block of bars does depends only on the first row at which the position is free again. From every row there is one jump: to the next
+    entry and on to the row after its exit. Doubling the jumps (J, J after J, ...) takes all rows of a block to its end at once, so a
+    block is a table from first free row to first free row of the next block; tables are composed along a key, and then the
+    trades of every block are the orbit of its own first free row. No step loops over bars.
     """
 
     def __init__(self, min_hold: int = 12, max_hold: int = 288):
-        self.min_hold, self.max_hold = min_hold, max_hold
-        n = max_hold
-        self.states = 1 + 2 * n  # 0 flat, 1..n long held 0..n-1, n+1..2n short held 0..n-1
-        held = np.arange(n) + 1
-        table = np.zeros((4, self.states), dtype=np.int32)
-        for inputs in range(4):
-            buy, sell = bool(inputs & 1), bool(inputs & 2)
-            table[inputs, 0] = 1 if buy else n + 1 if sell else 0
-            for side, against in ((0, sell), (1, buy)):
-                leave = (held >= n) | ((held >= min_hold) & against)
-                table[inputs, 1 + side * n: 1 + (side + 1) * n] = np.where(leave, 0, 1 + side * n + held)
-        self.table = table
-
-    def block_map(self, inputs: np.ndarray) -> np.ndarray:
-        m = np.arange(self.states, dtype=np.int32)
-        for i in inputs:
-            m = self.table[i][m]
-        return m
-
-    def replay(self, inputs: np.ndarray, state: int) -> np.ndarray:
-        out = np.empty(len(inputs), dtype=np.int32)
-        for k, i in enumerate(inputs):
-            state = self.table[i, state]
-            out[k] = state
-        return out
+        self.first, self.most = max(1, min_hold), max(1, max_hold)
+
+    def jumps(self, buy: np.ndarray, sell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``n`` rows and the ``max_hold`` rows after them, as far as there are any: side, exit row, next entry, next free row.
+
+        The exit of an entry without one is the row after the last possible one. From a row after the n-th the jump stays.
+        """
+        size = len(buy)
+        rows = np.arange(n)
+
+        def next_of(flags: np.ndarray) -> np.ndarray:
+            at = np.where(flags, np.arange(len(flags)), size + self.most)
+            return np.append(np.minimum.accumulate(at[::-1])[::-1], np.full(self.first + 1, size + self.most))
+
+        side = np.where(buy[:n], 1, np.where(sell[:n], -1, 0))
+        against = np.where(side > 0, next_of(sell)[rows + self.first], next_of(buy)[rows + self.first])
+        leave = np.minimum(rows + self.most, against)
+        leave[leave >= size] = n + self.most  # not over yet when the rows end
+        entry = next_of(side != 0)[:n]
+        entry[entry >= n] = n
+        jump = np.concatenate((np.where(entry < n, np.append(leave, n)[entry] + 1, n), np.arange(n, n + self.most + 2)))
+        return side, leave, entry, jump
+
+    def table(self, buy: np.ndarray, sell: np.ndarray, n: int, first_pos: int) -> np.ndarray:
+        """Per first free row (0 to ``max_hold`` + 1): that of the next block, and entry row and side of the trade that reaches into it (side 0: none)."""
+        side, leave, entry, jump = self.jumps(buy, sell, n)
+        last = np.where(np.arange(len(jump)) < n, np.arange(len(jump)), -1)  # the last row inside the block on the way
+        while True:
+            again = jump[jump]
+            if np.array_equal(again, jump):
+                break
+            last, jump = np.where(last[jump] >= 0, last[jump], last), again
+        starts = np.minimum(np.arange(self.most + 2), len(jump) - 1)
+        end, via = jump[starts] - n, last[starts]
+        at = np.where(via >= 0, np.append(entry, n)[via], n)
+        open_ = (at < n) & (end > 0)
+        return np.stack([end, np.where(open_, at + first_pos, 0), np.where(open_, np.append(side, 0)[np.minimum(at, n)], 0)])
+
+    def trades(self, buy: np.ndarray, sell: np.ndarray, n: int, free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry rows, exit rows and sides of the trades that begin in the block."""
+        side, leave, entry, jump = self.jumps(buy, sell, n)
+        way = np.array([min(free, len(jump) - 1)])
+        while way[-1] < n:  # twice as many steps of the way each time
+            way, jump = np.concatenate((way, jump[way])), jump[jump]
+        at = entry[way[way < n]]
+        at = np.unique(at[at < n])
+        return at, leave[at], side[at]
 
 
 def hold_signals(df: DataFrame, min_hold: int = 12, max_hold: int = 288, s: Series = BARS,
                  block: int = SCAN_BLOCK // 8, fan: int = 256) -> DataFrame:
     """Add ``position`` (-1/0/1 after the row), ``bars_held`` and ``signal_type``; needs ``buy_ok``/``sell_ok``."""
-    rule, keys = HoldRule(min_hold, max_hold), list(s.keys)
-    df = numbered(df, s).withColumn("_blk", s.block(block)).withColumn(
-        "_in", F.col("buy_ok").cast("int") + 2 * F.col("sell_ok").cast("int"))
-    key_fields = [df.schema[k] for k in keys]
-    slim = df.select(*keys, "_blk", s.pos, "_in")
-
-    def to_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = rule.block_map(pdf.sort_values(s.pos)["_in"].to_numpy())
-        return pd.DataFrame([[*key, m.tolist()]], columns=[*keys, "_blk", "_map"])
-
-    map_schema = StructType([*key_fields, StructField("_blk", LongType()), *StructType.fromDDL("_map array<int>").fields])
-    maps = slim.groupBy(*keys, "_blk").applyInPandas(to_map, map_schema)
-
-    # chains of ``fan`` maps become one map each, so the sequential part per key is short
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.arange(rule.states, dtype=np.int32)
-        for one in pdf.sort_values("_blk")["_map"]:
-            m = np.asarray(one, dtype=np.int32)[m]
-        return pd.DataFrame([[*key, m.tolist()]], columns=[*keys, "_super", "_map"])
-
-    def starts(of: str, within: list[str]):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(of)
-            state, out = int(pdf["_start"].iloc[0]) if "_start" in pdf else 0, []
-            for one in pdf["_map"]:
+    rule, keys, block = HoldRule(min_hold, max_hold), list(s.keys), max(block, max_hold + 2)
+    df = numbered(df, s)
+    own, inside = s.block(block), F.pmod(F.col(s.pos), F.lit(block))
+    slim = df.select(*keys, s.pos, F.coalesce("buy_ok", F.lit(False)).alias("_buy"), F.coalesce("sell_ok", F.lit(False)).alias("_sell"), own.alias("_own"),
+                     F.explode(F.array_compact(F.array(own, F.when((inside < rule.most) & (own > 0), own - 1)))).alias("_blk"))
+    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    table = ", ".join(f"{c} array<bigint>" for c in ("_free", "_entry", "_side"))
+
+    def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
+        t = t.sort_by(s.pos)
+        n = int((t.column("_own").to_numpy() == t.column("_blk").to_numpy()).sum())
+        return t, t.column("_buy").to_numpy(zero_copy_only=False), t.column("_sell").to_numpy(zero_copy_only=False), n
+
+    def named(t: pa.Table, columns: list[str], **more) -> pa.Table:
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in columns}, **{k: pa.array([v.tolist()], pa.list_(pa.int64())) for k, v in more.items()}})
+
+    def to_table(t: pa.Table) -> pa.Table:
+        t, buy, sell, n = ordered(t)
+        return named(t, [*keys, "_blk"], **dict(zip(("_free", "_entry", "_side"), rule.table(buy, sell, n, t.column(s.pos)[0].as_py()))))
+
+    tables = slim.groupBy(*keys, "_blk").applyInArrow(to_table, f"{key_fields}, _blk bigint, {table}")
+    tables = stage(tables.withColumn("_super", F.expr(f"_blk div {fan}")))
+
+    # chains of ``fan`` tables become one table each, so the sequential part per key is short
+    def lists(t: pa.Table) -> list[np.ndarray]:
+        return [np.array([x.as_py() for x in (t.column(c)[i] for c in ("_free", "_entry", "_side"))]) for i in range(t.num_rows)]
+
+    def chain(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_blk")
+        whole = None
+        for one in lists(t):
+            whole = one if whole is None else one[:, whole[0]]
+        return named(t, [*keys, "_super"], **dict(zip(("_free", "_entry", "_side"), whole)))
+
+    def starts(of: str):
+        def run(t: pa.Table) -> pa.Table:
+            t, out = t.sort_by(of), []
+            state = [t.column(c)[0].as_py() for c in ("_f", "_e", "_d")] if "_f" in t.column_names else [0, 0, 0]
+            for one in lists(t):
                 out.append(state)
-                state = int(np.asarray(one)[state])
-            res = pdf[[*within, of]].copy()
-            res["_start"] = out
-            return res
+                state = one[:, state[0]].tolist()
+            return pa.table({**{c: t.column(c) for c in (*keys, of)}, **{c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("_f", "_e", "_d"))}})
         return run
 
-    supers = maps.withColumn("_super", F.expr(f"_blk div {fan}"))
-    sup_schema = StructType([*key_fields, StructField("_super", LongType()), *StructType.fromDDL("_map array<int>").fields])
-    start_schema = StructType([*key_fields, StructField("_super", LongType()), *StructType.fromDDL("_start int").fields])
-    sup_start = supers.groupBy(*keys, "_super").applyInPandas(chain, sup_schema).groupBy(*keys).applyInPandas(
-        starts("_super", keys), start_schema)
-    blk_schema = StructType([*key_fields, StructField("_blk", LongType()), *StructType.fromDDL("_start int").fields])
-    blk_start = supers.join(sup_start, [*keys, "_super"]).groupBy(*keys, "_super").applyInPandas(
-        starts("_blk", keys), blk_schema)
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(s.pos)
-        st = rule.replay(pdf["_in"].to_numpy(), int(pdf["_start"].iloc[0]))
-        before = np.concatenate([[int(pdf["_start"].iloc[0])], st[:-1]])
-        n = rule.max_hold
-
-        def side(x):
-            return np.where(x == 0, 0, np.where(x <= n, 1, -1))
-
-        kind = np.where((before == 0) & (side(st) > 0), BUY, np.where((before == 0) & (side(st) < 0), SELL, np.where(
-            (st == 0) & (side(before) > 0), EXIT_LONG, np.where((st == 0) & (side(before) < 0), EXIT_SHORT, ""))))
-        res = pdf[[*keys, s.pos]].copy()
-        res["position"] = side(st)
-        res["bars_held"] = np.where(st == 0, 0, (st - 1) % n)
-        res["signal_type"] = pd.Series(kind, index=res.index).replace("", None)
-        return res
-
-    out_schema = StructType([*key_fields, StructField(s.pos, LongType()), *StructType.fromDDL(
-        "position int, bars_held int, signal_type string").fields])
-    walked = slim.join(blk_start, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(walk, out_schema)
-    return df.drop("_blk", "_in").join(walked, [*keys, s.pos])
+    begun = "_f bigint, _e bigint, _d bigint"
+    per_super = tables.groupBy(*keys, "_super").applyInArrow(chain, f"{key_fields}, _super bigint, {table}").groupBy(*keys).applyInArrow(starts("_super"), f"{key_fields}, _super bigint, {begun}")
+    per_block = join_by(tables, per_super, [*keys, "_super"], "inner").groupBy(*keys, "_super").applyInArrow(starts("_blk"), f"{key_fields}, _blk bigint, {begun}")
+
+    def walk(t: pa.Table) -> pa.Table:
+        t, buy, sell, n = ordered(t)
+        free, entered, held = (t.column(c)[0].as_py() for c in ("_f", "_e", "_d"))
+        at, leave, side = rule.trades(buy, sell, n, free)
+        first = t.column(s.pos)[0].as_py()
+        if held:  # the trade that reaches in from the block before
+            at, leave, side = np.append(entered - first, at), np.append(free - 1, leave), np.append(held, side)
+        position, since, kind = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, None, object)
+        rows = np.arange(n)
+        if len(at):
+            trade = np.searchsorted(at, rows, "right") - 1
+            within = (trade >= 0) & (rows < leave[trade])
+            position[within], since[within] = side[trade[within]], (rows - at[trade])[within]
+            new, out = at >= 0, leave < n
+            kind[at[new]] = np.where(side[new] > 0, BUY, SELL)
+            kind[leave[out]] = np.where(side[out] > 0, EXIT_LONG, EXIT_SHORT)
+        t = t.slice(0, n)
+        return pa.table({**{c: t.column(c) for c in (*keys, s.pos)}, "position": position, "bars_held": since, "signal_type": pa.array(kind, pa.string())})
+
+    made = f"{key_fields}, `{s.pos}` bigint, position int, bars_held int, signal_type string"
+    walked = join_by(slim, per_block, [*keys, "_blk"], "inner").groupBy(*keys, "_blk").applyInArrow(walk, made)
+    return join_by(df, walked, [*keys, s.pos], "inner")
+
