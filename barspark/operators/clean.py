@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import clip, number
 from barspark.operators.quantiles import quantiles
-from barspark.operators.series import BARS, Series, last, next_, numbered, scan, utc_micros
+from barspark.operators.series import BARS, Series, join_by, last, next_, numbered, scan, utc_micros
 
 PRICES = ("open", "high", "low", "close")
 
@@ -75,7 +75,7 @@ def column_means(df: DataFrame, cols: Sequence[str], s: Series = BARS) -> DataFr
 
 def fill_mean(df: DataFrame, cols: Sequence[str], s: Series = BARS) -> DataFrame:
     means = column_means(df, cols, s)
-    return (df.join(means, list(s.keys), "left")
+    return (join_by(df, means, list(s.keys))
             .withColumns({c: F.coalesce(F.col(c), F.col(f"_avg_{c}"), F.lit(0.0)) for c in cols})
             .drop(*[f"_avg_{c}" for c in cols]))
 
@@ -175,7 +175,7 @@ def outlier_stats(df: DataFrame, cols: Sequence[str], s: Series = BARS) -> DataF
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     q = quantiles(df.withColumns({c: number(c) for c in cols}), cols, (0.25, 0.5, 0.75), s)
     q = q.select(*keys, "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    joined = moments.join(q, [*keys, "column"], "left")
+    joined = join_by(moments, q, [*keys, "column"])
     return joined.select(
         *keys, "column", F.coalesce("mean", F.lit(0.0)).alias("mean"),
         F.when(F.col("mean").isNull(), 1.0).otherwise(F.col("std")).alias("std"),
@@ -210,7 +210,7 @@ def clamp_outliers(df: DataFrame, method: str = "winsorize", threshold: float =
     """Clip to the bounds of the fitted frame (``bounds``) or of ``df`` itself."""
     cols = [c for c in cols if c in df.columns]
     b = bounds if bounds is not None else outlier_bounds(df, cols, method, threshold, s)
-    x = df.join(b, list(s.keys), "left")
+    x = join_by(df, b, list(s.keys))
     return x.withColumns({c: F.when(F.col(f"_lo_{c}").isNull(), F.col(c))
                          .otherwise(clip(c, F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))) for c in cols}).select(*df.columns)
 
@@ -218,7 +218,7 @@ def clamp_outliers(df: DataFrame, method: str = "winsorize", threshold: float =
 def outlier_counts(df: DataFrame, method: str = "winsorize", threshold: float = 3.0, cols: Sequence[str] = PRICES,
                    s: Series = BARS) -> DataFrame:
     b = outlier_bounds(df, cols, method, threshold, s)
-    x = df.join(b, list(s.keys), "left")
+    x = join_by(df, b, list(s.keys))
     structs = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c) < F.col(f"_lo_{c}")).alias("n_low"),
                         F.count_if(F.col(c) > F.col(f"_hi_{c}")).alias("n_high")).alias(f"_{i}")
                for i, c in enumerate(cols)]

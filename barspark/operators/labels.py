@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import change, ratio
 from barspark.functions.naming import price_return_target
-from barspark.operators.series import BARS, Series, frames, numbered
+from barspark.operators.series import BARS, Series, frames, join_by, numbered
 
 
 def with_target(df: DataFrame, target: str, s: Series = BARS) -> tuple[DataFrame, str]:
@@ -44,7 +44,7 @@ def forward_targets(df: DataFrame, price: str = "close", horizon: int = 1, s: Se
     x = frames(df, s, make, ahead=horizon)
     fit = x.groupBy(*s.keys).agg(F.avg("fwd_return").alias("_m"), F.stddev_samp("fwd_return").alias("_s"))
     z: Column = ratio(F.col("fwd_return") - F.col("_m"), F.col("_s"))
-    return x.join(fit, list(s.keys), "left").withColumn("fwd_return_z", z).drop("_m", "_s")
+    return join_by(x, fit, list(s.keys)).withColumn("fwd_return_z", z).drop("_m", "_s")
 
 
 def train_test(df: DataFrame, test_size: float = 0.2, s: Series = BARS, out: str = "split") -> DataFrame:
@@ -52,4 +52,4 @@ def train_test(df: DataFrame, test_size: float = 0.2, s: Series = BARS, out: str
     df = numbered(df, s)
     n = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.col("_n") * (1 - test_size))
-    return df.join(n, list(s.keys)).withColumn(out, F.when(F.col(s.pos) < cut, "train").otherwise("test")).drop("_n")
+    return join_by(df, n, list(s.keys), "inner").withColumn(out, F.when(F.col(s.pos) < cut, "train").otherwise("test")).drop("_n")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barspark.operators.series import BARS, SCAN_BLOCK, Series, frames, last, next_, number_rows, numbered, running_sum, scan, stage
+from barspark.operators.series import BARS, SCAN_BLOCK, Series, frames, join_by, last, next_, number_rows, numbered, running_sum, scan, stage
 
 # ---- fixed values
 DEFAULT_COMMISSION_PERCENT = 0.1
@@ -104,7 +104,7 @@ def trades(df: DataFrame, s: Series = BARS, reverse: str = "flip", quantity: flo
         why = F.when(stop, "STOP_LOSS").when(target, "TAKE_PROFIT")
         hits = x.where(p.isNotNull()).withColumn("_why", why).where("_why is not null").groupBy(*keys, p["pos"].alias(s.pos)).agg(
             F.min(F.struct(F.col(s.pos).alias("pos"), F.col(s.ts).alias("ts"), F.col("close").alias("close"), F.col("_why").alias("why"))).alias("_hit"))
-        opened = opened.join(hits, [*keys, s.pos], "left")
+        opened = join_by(opened, hits, [*keys, s.pos])
     else:
         empty = f"struct<pos:bigint,ts:{df.schema[s.ts].dataType.simpleString()},close:double,why:string>"
         opened = opened.withColumn("_hit", F.lit(None).cast(empty))
@@ -231,7 +231,7 @@ def mark_to_market(df: DataFrame, t: DataFrame, s: Series = BARS) -> DataFrame:
         "exit_pos", "side", "quantity", "entry_price").alias("_trade"), "entry_commission")
     leave = t.where("exit_pos is not null").groupBy(*keys, F.col("exit_pos").alias(s.pos)).agg(
         F.sum("pnl").alias("_realised"), F.sum("exit_commission").alias("_fee"))
-    x = df.select(*keys, s.ts, s.pos, "close").join(entry, [*keys, s.pos], "left").join(leave, [*keys, s.pos], "left")
+    x = join_by(join_by(df.select(*keys, s.ts, s.pos, "close"), entry, [*keys, s.pos]), leave, [*keys, s.pos])
     x = scan(x, s, {"_trade": last("_trade")})
     tr = F.col("_trade")
     live = tr.isNotNull() & (tr["exit_pos"].isNull() | (F.col(s.pos) < tr["exit_pos"]))
@@ -273,7 +273,7 @@ def portfolio_summary(curve: DataFrame, t: DataFrame, account: tuple[str, ...],
     n = t.groupBy(*account).agg(
         F.count_if("is_open").alias("open_positions"), F.count_if(~F.col("is_open")).alias("closed_positions"),
         F.coalesce(F.sum(F.when(~F.col("is_open"), F.col("pnl"))), F.lit(0.0)).alias("realized_pnl"))
-    return end.join(n, list(account), "left").select(
+    return join_by(end, n, list(account)).select(
         *account, F.col("e.equity").alias("equity"), F.col("e.cash").alias("cash"), F.lit(capital).alias("initial_capital"),
         ((F.col("e.equity") / capital - 1) * 100).alias("return_pct"), "open_positions", "closed_positions",
         F.col("e.unrealised_pnl").alias("unrealized_pnl"), "realized_pnl", F.col("e.leverage_used").alias("leverage_used"))

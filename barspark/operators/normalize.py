@@ -12,7 +12,7 @@ from barspark.functions.columns import change, ratio
 from barspark.operators.clean import PRICES, split_numeric
 from barspark.operators.prepare import log_offset
 from barspark.operators.quantiles import quantiles
-from barspark.operators.series import BARS, Series, frames, numbered, rolling, rolling_means
+from barspark.operators.series import BARS, Series, frames, join_by, numbered, rolling, rolling_means
 
 KEEP = ("_raw", "_original")
 
@@ -49,11 +49,11 @@ def fit_normaliser(df: DataFrame, methods: dict[str, str], s: Series = BARS) ->
     if not robust:
         return par.withColumns({"median": F.lit(0.0), "iqr": F.lit(1.0)})
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in robust])
-    full = df.join(means, keys).select(*keys, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in robust])
+    full = join_by(df, means, keys, "inner").select(*keys, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in robust])
     q = quantiles(full, robust, (0.25, 0.5, 0.75), s)
     width = F.col("q")[2] - F.col("q")[0]
     q = q.select(*keys, "column", F.col("q")[1].alias("median"), F.when(width > 0, width).otherwise(1.0).alias("iqr"))
-    return par.join(q, [*keys, "column"], "left").withColumns(
+    return join_by(par, q, [*keys, "column"]).withColumns(
         {"median": F.coalesce("median", F.lit(0.0)), "iqr": F.coalesce("iqr", F.lit(1.0))})
 
 
@@ -90,7 +90,7 @@ def apply_normaliser(df: DataFrame, params: DataFrame, methods: dict[str, str],
     a return column that was there already is normalised into ``c_return_z``."""
     df = numbered(df, s)
     plain = [c for c, m in methods.items() if m == "returns"]
-    x = df.join(_wide(params, list(methods), s), list(s.keys), "left")
+    x = join_by(df, _wide(params, list(methods), s), list(s.keys))
     x = x.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_fit_{c}")["mean"]) for c in plain})
     new: dict[str, Column] = {}
     for c, m in methods.items():
@@ -106,7 +106,7 @@ def apply_normaliser(df: DataFrame, params: DataFrame, methods: dict[str, str],
 
 def invert_normaliser(df: DataFrame, params: DataFrame, methods: dict[str, str], s: Series = BARS) -> DataFrame:
     """Back to the original scale for the affine methods."""
-    x = df.join(_wide(params, list(methods), s), list(s.keys), "left")
+    x = join_by(df, _wide(params, list(methods), s), list(s.keys))
 
     def back(c: str, m: str) -> Column:
         f = F.col(f"_fit_{c}")

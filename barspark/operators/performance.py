@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import change, ratio
 from barspark.operators.quantiles import quantiles
-from barspark.operators.series import Series, frames, number_rows, numbered, rolling, rolling_means, running_max, running_sum, scan, utc_micros
+from barspark.operators.series import Series, frames, join_by, number_rows, numbered, rolling, rolling_means, running_max, running_sum, scan, utc_micros
 
 # ---- fixed values
 PERIODS_PER_YEAR = 252
@@ -90,7 +90,7 @@ def drawdown_summary(df: DataFrame, s: Series = CURVE) -> DataFrame:
         F.coalesce(F.avg(F.when(under, F.col("drawdown"))), F.lit(0.0)).alias("avg_drawdown"))
     longest = F.min(F.struct((-F.col("duration_days")).alias("d"), F.col("start_time").alias("t"), F.col("max_drawdown").alias("m")))
     spell = drawdown_spells(x, s).where("duration_days > 0").groupBy(*keys).agg(longest.alias("_l"))
-    return total.join(spell, keys, "left").select(
+    return join_by(total, spell, keys).select(
         *keys, "max_drawdown", F.coalesce(-F.col("_l.d"), F.lit(0)).alias("max_duration_days"),
         F.coalesce(F.col("_l.m"), F.lit(0.0)).alias("max_duration_drawdown"), "current_drawdown", "underwater_pct", "avg_drawdown")
 
@@ -102,7 +102,7 @@ def performance_summary(df: DataFrame, s: Series = CURVE, risk_free: float = 0.0
         F.min_by("equity", F.struct(s.ts, "equity")).alias("initial_equity"), F.max_by("equity", F.struct(s.ts, "equity")).alias("final_equity"),
         F.min(s.ts).alias("_t0"), F.max(s.ts).alias("_t1"), F.stddev_samp(r).alias("_sd"),
         F.stddev_samp(F.when(r < 0, r)).alias("_down"))
-    m = base.join(drawdown_summary(df, s), keys)
+    m = join_by(base, drawdown_summary(df, s), keys, "inner")
     total = ratio("final_equity", "initial_equity") - 1
     days = F.greatest(F.lit(1), _days(F.col("_t0"), F.col("_t1")))
     m = m.withColumns({"_total": total, "trading_days": days})
@@ -126,7 +126,7 @@ def simple_metrics(df: DataFrame, s: Series = CURVE, risk_free: float = 0.0, per
         (ratio(F.max_by("equity", F.struct(s.ts, "equity")), F.min_by("equity", F.struct(s.ts, "equity"))) - 1).alias("total_return"), F.count(r).alias("_n"),
         (F.stddev_samp(r) * math.sqrt(periods)).alias("annualized_volatility"),
         (ratio(F.avg(r - risk_free), F.stddev_pop(r - risk_free)) * math.sqrt(periods)).alias("sharpe_ratio"))
-    b = b.join(low, keys).withColumn("annualized_return", F.pow(1 + F.col("total_return"), ratio(F.lit(periods), "_n")) - 1)
+    b = join_by(b, low, keys, "inner").withColumn("annualized_return", F.pow(1 + F.col("total_return"), ratio(F.lit(periods), "_n")) - 1)
     return b.withColumn("calmar_ratio", ratio("annualized_return", F.abs("max_drawdown"))).select(
         *keys, "total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "calmar_ratio")
 
@@ -181,7 +181,7 @@ def monthly_table(df: DataFrame, s: Series = CURVE) -> DataFrame:
     product = F.when(F.count_if(factor == 0) > 0, 0.0).otherwise(
         F.exp(F.sum(F.when(factor != 0, F.ln(F.abs(factor))))) * F.when(F.count_if(factor < 0) % 2 == 1, -1.0).otherwise(1.0))
     wide = m.groupBy(*s.keys, "year").pivot("month_name", MONTHS).agg(F.avg("return"))
-    table = wide.join(m.groupBy(*s.keys, "year").agg((product - 1).alias("year_total")), [*s.keys, "year"])
+    table = join_by(wide, m.groupBy(*s.keys, "year").agg((product - 1).alias("year_total")), [*s.keys, "year"], "inner")
     mean = m.groupBy(*s.keys).pivot("month_name", MONTHS).agg(F.avg("return")).withColumns(
         {"year": F.lit(None).cast("int"), "year_total": F.lit(None).cast("double")})
     table = table.unionByName(mean)
@@ -199,14 +199,14 @@ def return_distribution(r: DataFrame, s: Series = CURVE, c: str = "return") -> D
         F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.min("r").alias("min"), F.max("r").alias("max"),
         (F.count_if(F.col("r") > 0) / F.count("r") * 100).alias("positive_pct"), F.count("r").alias("n"))
     med = quantiles(pct, ["r"], (0.5,), s).select(*s.keys, F.col("q")[0].alias("median"))
-    return stats.join(med, list(s.keys), "left")
+    return join_by(stats, med, list(s.keys))
 
 
 def return_histogram(r: DataFrame, bins: int = 50, s: Series = CURVE, c: str = "return") -> DataFrame:
     """Counts in ``bins`` equal bins between the smallest and largest return (percent), last bin closed."""
     pct = r.where(F.col(c).isNotNull()).select(*s.keys, (F.col(c) * 100).alias("r"))
     edge = pct.groupBy(*s.keys).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    x = pct.join(edge, list(s.keys)).withColumn("bin", F.least(F.lit(bins - 1), F.floor(
+    x = join_by(pct, edge, list(s.keys), "inner").withColumn("bin", F.least(F.lit(bins - 1), F.floor(
         F.coalesce(ratio(F.col("r") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)))
     return x.groupBy(*s.keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("_lo"), F.first("hi").alias("_hi")).select(
         *s.keys, F.col("bin").cast("long").alias("bin"), (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"), "n")
@@ -298,13 +298,13 @@ def sweep_table(metrics: DataFrame, value: str, shorts: Sequence[int], longs: Se
 
 def normalised_equity(df: DataFrame, s: Series = CURVE, base: float = 100.0) -> DataFrame:
     first = df.groupBy(*s.keys).agg(F.min_by("equity", F.struct(s.ts, "equity")).alias("_first"))
-    return df.join(first, list(s.keys)).withColumn("normalised", ratio("equity", "_first") * base).drop("_first")
+    return join_by(df, first, list(s.keys), "inner").withColumn("normalised", ratio("equity", "_first") * base).drop("_first")
 
 
 def rebase_benchmark(df: DataFrame, benchmark: DataFrame, s: Series = CURVE, c: str = "benchmark") -> DataFrame:
     """Benchmark scaled to start at each account's first equity (both matched on time)."""
     x = df.join(benchmark, s.ts)
     first = x.groupBy(*s.keys).agg(F.min_by("equity", F.struct(s.ts, "equity")).alias("_e"), F.min_by(c, s.ts).alias("_b"))
-    return x.join(first, list(s.keys)).withColumn("benchmark_rebased", ratio(c, "_b") * F.col("_e")).drop("_e", "_b")
+    return join_by(x, first, list(s.keys), "inner").withColumn("benchmark_rebased", ratio(c, "_b") * F.col("_e")).drop("_e", "_b")
 
 

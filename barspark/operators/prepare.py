@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barspark.functions.columns import change
 from barspark.functions.naming import categorise, find_price_columns
 from barspark.operators.clean import PRICES, columns_with_nulls, fill_everything, interpolate, modes, split_numeric
-from barspark.operators.series import BARS, Series, frames, last, next_, numbered, scan, stage
+from barspark.operators.series import BARS, Series, frames, join_by, last, next_, numbered, scan, stage
 
 # ---- fixed values
 DEFAULT_WARM_UP = {"short_window": 10, "medium_window": 20, "long_window": 200}
@@ -54,12 +54,12 @@ def transform_prices(df: DataFrame, method: str = "returns", s: Series = BARS) -
             {f"{c}_return": change(c, F.lag(c).over(w)) for c in cols}), back=1)
     if method in ("log", "multi"):
         low = df.groupBy(*s.keys).agg(*[F.min(c).alias(f"_min_{c}") for c in cols])
-        df = df.join(low, list(s.keys), "left").withColumns({f"{c}_log": F.ln(F.col(c) + log_offset(F.col(f"_min_{c}"))) for c in cols})
+        df = join_by(df, low, list(s.keys)).withColumns({f"{c}_log": F.ln(F.col(c) + log_offset(F.col(f"_min_{c}"))) for c in cols})
         df = df.drop(*[f"_min_{c}" for c in cols])
     if method == "pct_change":
         df = numbered(df, s)
         first = df.where(F.col(s.pos) == 0).select(*s.keys, *[F.col(c).alias(f"_first_{c}") for c in cols])
-        df = df.join(first, list(s.keys), "left").withColumns({
+        df = join_by(df, first, list(s.keys)).withColumns({
             f"{c}_pct_change": F.when(F.col(f"_first_{c}") == 0, 0.0).otherwise(change(c, f"_first_{c}") * 100)
             for c in cols}).drop(*[f"_first_{c}" for c in cols])
     return df
@@ -121,7 +121,7 @@ def fill_by_type(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None = N
     df = scan(df, s, outs) if outs else df
     counted = [c for c in names if kind[c] == "pattern" and types[c].typeName() != "boolean"]
     if counted:
-        df = df.join(modes(df, counted, s), list(s.keys), "left")
+        df = join_by(df, modes(df, counted, s), list(s.keys))
 
     def held(c: str) -> Column:
         return F.coalesce(F.col(f"_p_{c}"), F.col(f"_n_{c}")) if c in names else F.col(c)
@@ -162,7 +162,7 @@ def fill_remaining(df: DataFrame, s: Series = BARS, cols: Sequence[str] | None =
 
 def _sized(df: DataFrame, s: Series, rules: Mapping[str, Sequence[str]] | None) -> DataFrame:
     sizes = warm_up(df, s, rules).select(*s.keys, F.col("n_rows").alias("_rows"), *[F.col(c).alias(f"_{c}") for c in DEFAULT_WARM_UP])
-    return df.join(sizes, list(s.keys), "left")
+    return join_by(df, sizes, list(s.keys))
 
 
 _SIZES = ("_rows", *[f"_{c}" for c in DEFAULT_WARM_UP])
@@ -194,7 +194,7 @@ def treat_advanced(df: DataFrame, s: Series = BARS, min_points: int = 1000,
     types = {f.name: f.dataType for f in df.schema.fields}
     roomy = {cls: F.col("_rows") > F.col(f"_{cls}") + min_points for cls in ("medium_window", "long_window")}
     if of["categorical"]:
-        df = df.join(modes(df, of["categorical"], s), list(s.keys), "left")
+        df = join_by(df, modes(df, of["categorical"], s), list(s.keys))
     for c in of["medium_window"]:
         df = df.withColumn(f"_lin_{c}", F.col(c))
     if of["medium_window"]:
@@ -258,7 +258,7 @@ def treat_hybrid(df: DataFrame, s: Series = BARS, min_points: int = 1000,
         new[c] = both if c in of["short_window"] else F.when(room, both).otherwise(F.col(c))
     types = {f.name: f.dataType for f in df.schema.fields}
     if of["categorical"]:
-        middle = middle.join(modes(middle, of["categorical"], s), list(s.keys), "left")
+        middle = join_by(middle, modes(middle, of["categorical"], s), list(s.keys))
         new |= {c: F.coalesce(F.col(c), F.col(f"_mode_{c}").cast(types[c])) for c in of["categorical"]}
     middle = middle.withColumns(new) if new else middle
     middle = middle.drop(*outs, *[f"_mode_{c}" for c in of["categorical"]], "_size", *_SIZES, *drop)

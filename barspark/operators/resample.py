@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.operators.series import BARS, Series, frames, last, numbered, scan, utc_micros
+from barspark.operators.series import BARS, Series, frames, join_by, last, numbered, scan, utc_micros
 
 GRID_BLOCK = 8_192
 _UNITS = {
@@ -81,7 +81,7 @@ def ohlcv_grid(df: DataFrame, rule: str, price: str = "price", volume: str | Non
     """Ticks to a gap-free grid: empty bins have null prices and volume 0."""
     ohlcv = bars_from_ticks(df, rule, price, volume, s, origin).drop(s.ts)
     return (
-        grid(df, rule, s, origin).join(ohlcv, [*s.keys, "_bin"], "left")
+        join_by(grid(df, rule, s, origin), ohlcv, [*s.keys, "_bin"])
         .withColumn("volume", F.coalesce("volume", F.lit(0.0)))
         .withColumn(s.ts, _stamp("_bin", rule, origin))
         .select(*s.keys, s.ts, s.pos, "open", "high", "low", "close", "volume")
@@ -100,7 +100,7 @@ def resample(df: DataFrame, rule: str, s: Series = BARS, origin: int = 0) -> Dat
         aggs.append(F.sum("volume").alias("volume"))
     aggs += [F.avg(c).alias(c) for c in rest]
     binned = df.withColumn("_bin", _bin(s, rule, origin)).groupBy(*s.keys, "_bin").agg(*aggs)
-    out = grid(df, rule, s, origin).join(binned, [*s.keys, "_bin"], "left")
+    out = join_by(grid(df, rule, s, origin), binned, [*s.keys, "_bin"])
     if "volume" in df.columns:
         out = out.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     return out.withColumn(s.ts, _stamp("_bin", rule, origin)).drop("_bin")
@@ -113,7 +113,7 @@ def resample_last_known(df: DataFrame, rule: str, cols: Sequence[str], s: Series
     at = F.ceil((utc_micros(s.ts) - F.lit(origin)) / F.lit(rule_micros(rule))).cast("long")
     known = df.withColumn("_bin", at).groupBy(*s.keys, "_bin").agg(*[_last(c, order).alias(c) for c in cols])
     g = grid(df, rule, s, origin)
-    out = g.join(known, [*s.keys, "_bin"], "left")
+    out = join_by(g, known, [*s.keys, "_bin"])
     out = scan(out, s, {c: last(c) for c in cols})
     return out.withColumn(s.ts, _stamp("_bin", rule, origin)).drop("_bin")
 
@@ -185,7 +185,7 @@ def last_rows(df: DataFrame, n: int, s: Series = BARS) -> DataFrame:
     """The latest ``n`` rows of each key."""
     df = numbered(df, s)
     ends = df.groupBy(*s.keys).agg(F.max(s.pos).alias("_end"))
-    return df.join(ends, list(s.keys)).where(F.col(s.pos) > F.col("_end") - n).drop("_end")
+    return join_by(df, ends, list(s.keys), "inner").where(F.col(s.pos) > F.col("_end") - n).drop("_end")
 
 
 __all__ = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators import ledger, models, performance, signals
 from barspark.operators.features import add_features
-from barspark.operators.series import BARS, Series, number_rows, stage
+from barspark.operators.series import BARS, Series, join_by, number_rows, stage
 
 
 def evaluate(signalled: DataFrame, s: Series = BARS, account: Sequence[str] = (), run_id: str = "run", capital: float = ledger.DEFAULT_CAPITAL,
@@ -24,9 +24,9 @@ def evaluate(signalled: DataFrame, s: Series = BARS, account: Sequence[str] = ()
     curve = Series(keys=acc)
     closed = trades.where("not is_open")
     per_trade = Series(keys=acc, ts="exit_time", tie=("position_id",))
-    metrics = (performance.performance_summary(equity, curve, risk_free)
-               .join(performance.trade_metrics(closed, per_trade), list(acc), "left")
-               .join(performance.trade_streaks(closed, per_trade), list(acc), "left"))
+    metrics = performance.performance_summary(equity, curve, risk_free)
+    for per_account in (performance.trade_metrics(closed, per_trade), performance.trade_streaks(closed, per_trade)):
+        metrics = join_by(metrics, per_account, list(acc))
     return {"trades": trades, "transactions": ledger.transactions(trades, keyed), "equity": equity, "metrics": metrics}
 
 
@@ -47,7 +47,7 @@ def model_run(tagged: DataFrame, bars: DataFrame, features: Sequence[str], s: Se
     keys = list(s.keys)
     predicted = models.walk_forward(tagged, features, task, kind, label, keep=(*keys, s.ts), **params)
     newest = predicted.groupBy(*keys, s.ts).agg(F.max_by("probability_up", "split_index").alias("probability_up"))
-    rows = newest.join(bars.select(*keys, s.ts, "close"), [*keys, s.ts]).withColumn("direction", signals.direction("probability_up", probability))
+    rows = join_by(newest, bars.select(*keys, s.ts, "close"), [*keys, s.ts], "inner").withColumn("direction", signals.direction("probability_up", probability))
     rows = stage(number_rows(rows, s))
     held = stage(signals.hold_signals(signals.consensus(rows, "direction", lookback, threshold, s), min_hold, max_hold, s))
     trades = stage(trades_of_holds(held, s))
