@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from barspark.operators.series import BARS, Series, frames
+from barspark.operators import features
+from barspark.operators.series import BARS, Ewm, Series, ewm, frames, join_by, numbered, stage
 from barspark.operators.clean import column_means, fill_forward_backward, split_numeric
 from barspark.functions.columns import change, ratio
 from barspark.sources.schema import MESSAGE
+from barspark.streaming import sliding
 
 # ---- fixed values
 EVENT_DESTINATION = "ohlc.event"
 PAIRING_DELAY = "300 seconds"
-HISTORY = 1000
-EMA_SPANS = (5, 10, 12, 20, 26, 50, 200)
-SMA_WINDOWS = (5, 10, 20, 50, 200)
 MIN_ROWS = 5
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # ---- end of fixed values
+OUTPUT_ROWS = 4096  # rows handed on at a time
 
 
 # ---------------------------------------------------------------- messages to bars
@@ -37,13 +37,95 @@ def parse_messages(raw: DataFrame, c: str = "value") -> DataFrame:
     return m.select("epic", "resolution", F.lower("priceType").alias("price_type"), F.timestamp_millis("t").alias("ts"), "o", "h", "l", "c")
 
 
-def pair_quotes(messages: DataFrame, delay: str = PAIRING_DELAY) -> DataFrame:
-    """Bid and ask of the same bar to a midpoint bar; unmatched sides leave the state after ``delay``."""
-    def side(kind: str, p: str) -> DataFrame:
-        x = messages.where(F.col("price_type") == kind).select("epic", "resolution", "ts", *[F.col(c).alias(f"{p}_{c}") for c in "ohlc"])
-        return x.withWatermark("ts", delay) if messages.isStreaming else x
+QUOTE_EVENTS = ("epic string, resolution string, ts timestamp, status string, price_type string, "
+                "b_o double, b_h double, b_l double, b_c double, a_o double, a_h double, a_l double, a_c double")
+
+_QUOTE_COLUMNS = [part.split()[0] for part in QUOTE_EVENTS.split(", ")]
+
+
+class QuotePairs(StatefulProcessor):
+    """Waiting halves of bid/ask pairs of one instrument, with an event-time timer at the earliest of them.
+
+    A half leaves the state when its other side comes, or when the watermark has passed it (``expired``). One that comes after the watermark has
+    passed its time is ``late`` and never waits. Of several waiting messages for the same side and time the last one counts.
+    The state is read and written once per micro-batch; it holds what came within the watermark's delay and has no other side yet.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, side string, o double, h double, l double, c double")
+
+    def _read(self) -> dict[int, tuple]:
+        return {r[0]: (r[1], *r[2:]) for r in self.waiting.get()}
+
+    def _write(self, waiting: dict[int, tuple]) -> None:
+        if waiting:
+            self.waiting.put([(us, *half) for us, half in waiting.items()])
+            self.handle.registerTimer(min(waiting) // 1000)
+        else:
+            self.waiting.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        passed, waiting = timerValues.getCurrentWatermarkInMs(), self._read()
+        for pdf in rows:
+            out = []
+            for us, side, *prices in zip(pdf["us"].tolist(), pdf["price_type"].tolist(), *[pdf[c].tolist() for c in "ohlc"]):
+                if us // 1000 <= passed:
+                    out.append(self._row(key, us, "late", side, prices))
+                    continue
+                other = waiting.get(us)
+                if other is None or other[0] == side:
+                    waiting[us] = (side, *prices)
+                else:
+                    del waiting[us]
+                    bid, ask = (prices, other[1:]) if side == "bid" else (other[1:], prices)
+                    out.append((*key, us, "paired", None, *bid, *ask))
+            yield self._frame(out)
+        self._write(waiting)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed, waiting = timerValues.getCurrentWatermarkInMs(), self._read()
+        gone = sorted(us for us in waiting if us // 1000 <= passed)
+        out = [self._row(key, us, "expired", waiting[us][0], waiting.pop(us)[1:]) for us in gone]
+        self._write(waiting)
+        yield self._frame(out)
+
+    @staticmethod
+    def _row(key: Any, us: int, status: str, side: str, prices) -> tuple:
+        none = [None] * 4
+        return (*key, us, status, side, *(prices if side == "bid" else none), *(prices if side == "ask" else none))
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=_QUOTE_COLUMNS)
+        pdf["ts"] = pd.to_datetime(pdf["ts"].astype("int64"), unit="us")
+        return pdf
+
+    def close(self) -> None:
+        pass
 
-    j = side("bid", "b").join(side("ask", "a"), ["epic", "resolution", "ts"])
+
+def quote_events(messages: DataFrame, delay: str = PAIRING_DELAY) -> DataFrame:
+    """What becomes of every quote of a message stream, ``status`` paired, expired or late; the source is read once.
+
+    Both sides meet in one keyed state per instrument. The watermark follows the newest message by ``delay``: a half whose time it passes
+    has waited that long without its other side. Late messages are kept and told apart, so the watermark's own column doesn't go into the state operator.
+    """
+    use_rocksdb(messages.sparkSession)
+    x = messages.where(F.col("price_type").isin("bid", "ask")).withWatermark("ts", delay)
+    x = x.select("epic", "resolution", F.unix_micros("ts").alias("us"), "price_type", *"ohlc")
+    return x.groupBy("epic", "resolution").transformWithStateInPandas(statefulProcessor=QuotePairs(), outputStructType=QUOTE_EVENTS, outputMode="append", timeMode="eventTime")
+
+
+def pair_quotes(messages: DataFrame, delay: str = PAIRING_DELAY) -> DataFrame:
+    """Bid and ask of the same bar to a midpoint bar; on a stream unmatched sides leave the state after ``delay`` (see ``quote_events``)."""
+    if messages.isStreaming:
+        j = quote_events(messages, delay).where("status = 'paired'")
+    else:
+        def side(kind: str, p: str) -> DataFrame:
+            return messages.where(F.col("price_type") == kind).select("epic", "resolution", "ts", *[F.col(c).alias(f"{p}_{c}") for c in "ohlc"])
+
+        j = side("bid", "b").join(side("ask", "a"), ["epic", "resolution", "ts"])
     mids = {n: (F.col(f"b_{c}") + F.col(f"a_{c}")) / 2 for n, c in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"))}
     j = j.withColumns(mids)
     return j.select("epic", "resolution", "ts", *mids, (F.col("a_c") - F.col("b_c")).alias("spread"),
@@ -94,7 +176,7 @@ def simplify_batch(df: DataFrame, s: Series = BARS, prices: Sequence[str] = ("op
     if not scaled:
         return x
     dev = x.groupBy(*s.keys).agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in scaled])
-    x = x.join(column_means(x, scaled, s), list(s.keys)).join(dev, list(s.keys))
+    x = join_by(join_by(x, column_means(x, scaled, s), list(s.keys), "inner"), dev, list(s.keys), "inner")
     new = {c: F.when(F.col(f"_sd_{c}") > 0, ratio(F.col(c) - F.col(f"_avg_{c}"), F.col(f"_sd_{c}"))).otherwise(F.col(c)) for c in scaled}
     return x.withColumns(new).drop(*[f"_avg_{c}" for c in scaled], *[f"_sd_{c}" for c in scaled])
 
@@ -102,82 +184,94 @@ def simplify_batch(df: DataFrame, s: Series = BARS, prices: Sequence[str] = ("op
 # ---------------------------------------------------------------- stateful features
 
 
-FEATURE_SCHEMA = (
-    "symbol string, ts timestamp, close double, n_seen long, " + ", ".join(f"sma_{n} double" for n in SMA_WINDOWS) + ", "
-    + ", ".join(f"ema_{n} double" for n in EMA_SPANS) + ", macd double, rsi_14 double, volatility_20 double, atr_14 double")
-
+_STATE = "last long, seen long, late long, windows array<array<double>>, averages array<double>"
+BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close")
+FEATURE_SCHEMA = "symbol string, ts timestamp, open double, high double, low double, close double, n_seen long, late_bars long, " + ", ".join(f"{n} {t}" for n, t in sliding.NAMES)
 FEATURE_COLUMNS = [part.split()[0] for part in FEATURE_SCHEMA.split(", ")]
 
 
-def bounded_features(bars: pd.DataFrame) -> pd.DataFrame:
-    """The look-back features of a short run of bars of one symbol."""
-    c = bars["close"]
-    out = {f"sma_{n}": c.rolling(n).mean() for n in SMA_WINDOWS}
-    d = c.diff()
-    up, down = d.clip(lower=0).fillna(0).rolling(14).mean(), (-d).clip(lower=0).fillna(0).rolling(14).mean()
-    out["rsi_14"] = (100 - 100 / (1 + up / down.where(down > 0))).where(down > 0, np.where(up > 0, 100.0, np.nan))
-    out["volatility_20"] = c.pct_change(fill_method=None).replace([np.inf, -np.inf], np.nan).rolling(20).std() * np.sqrt(252)
-    spread = pd.concat([bars["high"] - bars["low"], (bars["high"] - c.shift()).abs(), (bars["low"] - c.shift()).abs()], axis=1).max(axis=1)
-    out["atr_14"] = spread.rolling(14).mean()
-    return pd.DataFrame(out, index=bars.index)
-
-
 class LiveFeatures(StatefulProcessor):
-    """Keeps the last bars (bounded by ``history``) and the exponential averages of every symbol.
+    """The batch features of every symbol, one bar at a time, from what is inside the windows (``sliding.SeriesFeatures``).
 
-    Bars of a batch are taken in time order; a bar not later than the last one seen is dropped.
+    The state of a symbol is the values in its longest windows and its running averages, about 330 numbers, whatever came before. Bars of a batch
+    are taken in time order; one that is not later than the last one seen is left out and counted in ``late_bars``.
     """
 
-    BAR = "ts timestamp, high double, low double, close double"
-
-    def __init__(self, history: int = HISTORY, min_rows: int = MIN_ROWS):
-        self.history, self.min_rows = max(history, max(SMA_WINDOWS) + 1), min_rows
+    def __init__(self, min_rows: int = MIN_ROWS):
+        self.min_rows = min_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getListState("bars", self.BAR)
-        self.averages = handle.getValueState("averages", "seen long, ema array<double>")
-
-    def _append(self, rows: pd.DataFrame) -> pd.DataFrame:
-        old = pd.DataFrame([tuple(r) for r in self.bars.get()], columns=["ts", "high", "low", "close"])
-        if len(old):
-            rows = rows[rows["ts"] > old["ts"].max()]
-        rows = rows.sort_values("ts").drop_duplicates("ts")
-        if not len(rows):
-            return pd.DataFrame(columns=FEATURE_COLUMNS[1:])
-        both = pd.concat([old, rows[["ts", "high", "low", "close"]]], ignore_index=True) if len(old) else rows[["ts", "high", "low", "close"]].reset_index(drop=True)
-        seen, ema = self.averages.get() if self.averages.exists() else (0, None)
-        alpha = 2.0 / (np.asarray(EMA_SPANS) + 1.0)
-        steps = []
-        for x in rows["close"].to_numpy():
-            ema = np.full(len(EMA_SPANS), x) if ema is None else alpha * x + (1 - alpha) * np.asarray(ema)
-            steps.append(ema)
-        new = bounded_features(both).iloc[len(old):]
-        new[[f"ema_{n}" for n in EMA_SPANS]] = np.vstack(steps)
-        new["macd"] = new["ema_12"] - new["ema_26"]
-        new["ts"], new["close"] = both["ts"].iloc[len(old):], both["close"].iloc[len(old):]
-        new["n_seen"] = seen + 1 + np.arange(len(new))
-        self.averages.update((int(seen + len(new)), [float(v) for v in ema]))
-        self.bars.put([tuple(r) for r in both.tail(self.history).itertuples(index=False)])
-        return new
+        self.state = handle.getValueState("sliding", _STATE)
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self._append(initialState)
+        """One row of ``feature_seed``."""
+        r = initialState.iloc[0]
+        series = sliding.SeriesFeatures()
+        for o, h, lo, c in zip(r["opens"], r["highs"], r["lows"], r["closes"]):
+            series.add(float(o), float(h), float(lo), float(c))
+        series.resume([*r["averages"], series.open])
+        self.state.update((int(r["last"]), int(r["seen"]), 0, series.windows(), series.averages()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = self._append(pd.concat(list(rows), ignore_index=True))
-        new = new[new["n_seen"] >= self.min_rows]
-        new.insert(0, "symbol", key[0])
-        yield new[FEATURE_COLUMNS]
+        last, seen, late, windows, averages = self.state.get() if self.state.exists() else (None, 0, 0, None, ())
+        series = sliding.SeriesFeatures() if windows is None else sliding.SeriesFeatures.restored(seen, windows, averages)
+        # a symbol's bars of one micro-batch, six numbers each, are ordered here: the source's trigger bounds them
+        parts = [(p["us"].to_numpy(np.int64), p[["open", "high", "low", "close"]].to_numpy(np.float64)) for p in rows]
+        us, prices = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        out = []
+        for i in np.argsort(us, kind="stable").tolist():
+            at = int(us[i])
+            if last is not None and at <= last:
+                late += 1
+                continue
+            last, bar = at, prices[i].tolist()
+            values = series.add(*bar)
+            if series.seen >= self.min_rows:
+                out.append((key[0], at, *bar, series.seen, late, *values))
+            if len(out) == OUTPUT_ROWS:
+                yield self._frame(out)
+                out = []
+        self.state.update((last, series.seen, late, series.windows(), series.averages()))
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=FEATURE_COLUMNS)
+        pdf["ts"] = pd.to_datetime(pdf["ts"].astype("int64"), unit="us")
+        return pdf
 
     def close(self) -> None:
         pass
 
 
-def live_features(bars: DataFrame, history: DataFrame | None = None, keep: int = HISTORY, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Feature rows of a bar stream (``symbol, ts, high, low, close``), seeded from ``history`` when given."""
-    start = history.select("symbol", "ts", "high", "low", "close").groupBy("symbol") if history is not None else None
-    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=LiveFeatures(keep, min_rows), outputStructType=FEATURE_SCHEMA, outputMode="append", timeMode="none", initialState=start)
+def feature_seed(history: DataFrame, s: Series = BARS) -> DataFrame:
+    """What a stream needs to go on after ``history``: one row per symbol with its last ``sliding.LOOK_BACK`` bars and running averages.
+
+    Made by the batch operators over the whole history; only these rows reach the state.
+    """
+    x = ewm(numbered(history, s), s, {f"_e{n}": Ewm("close", n) for n in sorted({*sliding.EMA_SPANS, features.MACD_SIGNAL})})
+    a1, b1 = features._smoothed_mix(features.MACD_FAST, features.MACD_SIGNAL)
+    a2, b2 = features._smoothed_mix(features.MACD_SLOW, features.MACD_SIGNAL)
+    fast, slow, sig = (F.col(f"_e{n}") for n in (features.MACD_FAST, features.MACD_SLOW, features.MACD_SIGNAL))
+    averages = F.array(*[F.col(f"_e{n}") for n in sliding.EMA_SPANS], a1 * fast + b1 * sig - a2 * slow - b2 * sig)
+    x = stage(x.select("symbol", s.pos, F.unix_micros(F.col(s.ts).cast("timestamp")).alias("us"), "open", "high", "low", "close", averages.alias("averages")))
+    end = x.groupBy("symbol").agg(F.max(s.pos).alias("_end"))
+    bar = F.struct(s.pos, "us", "open", "high", "low", "close", "averages")
+    kept = join_by(x, end, ["symbol"], "inner").where(F.col(s.pos) > F.col("_end") - sliding.LOOK_BACK).groupBy("symbol").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    newest = F.element_at("bars", -1)
+    return kept.select("symbol", newest["us"].alias("last"), (newest[s.pos] + 1).alias("seen"), *[F.col(f"bars.{c}").alias(f"{c}s") for c in ("open", "high", "low", "close")], newest["averages"].alias("averages"))
+
+
+def live_features(bars: DataFrame, history: DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Every column of ``features.add_features`` for a bar stream (``symbol, ts, open, high, low, close``), going on from ``history`` when given.
+
+    ``n_seen`` counts the bars of the symbol, ``late_bars`` those left out so far because they were not later than one before.
+    """
+    use_rocksdb(bars.sparkSession)
+    start = feature_seed(history).groupBy("symbol") if history is not None else None
+    x = bars.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "open", "high", "low", "close")
+    made = x.groupBy("symbol").transformWithStateInPandas(statefulProcessor=LiveFeatures(min_rows), outputStructType=FEATURE_SCHEMA, outputMode="append", timeMode="none", initialState=start)
+    return features.time_features(made)
 
 
 # ---------------------------------------------------------------- stateful signals

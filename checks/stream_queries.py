@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.operators import signals
+from barspark.plans import live as plan
 from barspark.operators.series import shared_folder
 from barspark.sources import files
 from barspark.streaming import live
-from checks.common import R, W, bars, cte, show, sql, table
+from checks import bars_queries
+from checks.common import CTES, R, W, bars, cte, show, sql, table
 from checks.trading_queries import preds, smas
 
 Q: dict = {}
@@ -79,6 +81,43 @@ q("stream_parse", lambda sp, sf: drain(live.parse_messages(messages(stream_table
 _PAIR = f"""SELECT a.event_type AS epic, 'MINUTE' AS resolution, make_timestamp(a.ms * 1000) AS ts, {R('(a.value + b.value) / 2')} AS open, {R('(a.value + b.value) / 2 + 1')} AS high, {R('(a.value + b.value) / 2 - 1')} AS low, {R('(a.value + b.value) / 2')} AS close,
  {R('b.value - a.value + 0.1')} AS spread FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) a JOIN (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) b ON a.event_type = b.event_type AND a.ms = b.ms"""
 q("stream_pair_quotes", lambda sp, sf: show(drain(live.pair_quotes(live.parse_messages(messages(stream_table(sp, sf, "events"))))).drop("volume")), _PAIR)
+
+
+def _halves(sp, sf):
+    """Bids of all events first, asks of some; then, in a second batch, the asks that were missing, most of them after the watermark."""
+    live.use_rocksdb(sp)
+    e = table(sp, sf, "events")
+    lines, where = messages(e.withColumn("event_type", F.concat("event_type", F.lit("#"), F.col("event_id").cast("string")))), f"{shared_folder(sp)}/barspark/halves-{uuid.uuid4().hex}"
+    lines = lines.withColumn("later", F.col("value").contains('"priceType":"ask"') & (F.regexp_extract("value", r"#([0-9]+)", 1).cast("long") % 5 == 0))
+    lines = lines.withColumn("value", F.regexp_replace("value", "#[0-9]+", ""))
+    for n, part in enumerate((lines.where("not later"), lines.where("later"))):
+        part.select("value").coalesce(1).write.mode("append").text(where)
+    stream = sp.readStream.option("maxFilesPerTrigger", 1).text(where)
+    ev = drain(live.quote_events(live.parse_messages(stream)))
+    return ev.groupBy("epic", "status", F.coalesce("price_type", F.lit("both")).alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("b_c", "a_c")), 3).alias("sum_c"))
+
+
+q("stream_unmatched_quotes", _halves, """WITH e AS (SELECT event_type AS epic, epoch_us(ts) // 1000 AS ms, event_id % 5 = 0 AS later, value FROM events), w AS (SELECT max(ms) - 300000 AS mark FROM e),
+  r AS (SELECT epic, 'paired' AS status, 'both' AS side, value - 0.05 AS c FROM e, w WHERE NOT later OR ms > mark
+        UNION ALL SELECT epic, 'expired', 'bid', value - 0.05 FROM e, w WHERE later AND ms <= mark UNION ALL SELECT epic, 'late', 'ask', value + 0.05 FROM e, w WHERE later AND ms <= mark)
+  SELECT epic, status, side, count(*) AS n, round(sum(c), 3) AS sum_c FROM r GROUP BY ALL""")
+
+
+def _live_plan(sp, sf):
+    """Hourly bars as bid and ask messages through the whole chain; the score is a projection of two features."""
+    b = bars(sp, sf)
+    quote = lambda kind, d: F.struct(F.col("symbol").alias("epic"), F.lit("HOUR").alias("resolution"), F.lit("classic").alias("type"), F.lit(kind).alias("priceType"), F.unix_millis("ts").alias("t"),
+                                     *[(F.col(c) + d).alias(c[0]) for c in ("open", "high", "low", "close")])
+    line = lambda kind, d: F.to_json(F.struct(F.lit("ohlc.event").alias("destination"), quote(kind, d).alias("payload")))
+    lines = b.select(F.explode(F.array(line("bid", -0.05), line("ask", 0.05))).alias("value"))
+    folder = f"{shared_folder(sp)}/barspark/live-{uuid.uuid4().hex}"
+    made = plan.run(stream_of(lines), folder, lambda x: x.withColumn("probability_up", F.col("rsi_14") / 100), probability=0.5, lookback=5, threshold=0.6, min_hold=3, max_hold=12, max_positions=9)
+    scored = sp.read.parquet(made["scored"])
+    sent = sp.read.parquet(made["signals"]).select("symbol", "ts", "signal_type")
+    return show(scored.select("symbol", "ts", "rsi_14", "direction").join(sent, ["symbol", "ts"], "left"), 5)
+
+
+
 q("stream_latest", lambda sp, sf: show(drain(live.latest(ticks(sp, sf), "symbol"), "complete")),
   f"SELECT event_type AS symbol, max(ts) AS ts, {R('last(value ORDER BY ts)')} AS price FROM events GROUP BY 1")
 
@@ -94,25 +133,49 @@ q("stream_summary", lambda sp, sf: show(drain(live.periodic_summary(_states(sp,
   FROM (SELECT *, epoch_us(ts) // 60000000 AS b FROM events) GROUP BY event_type, b HAVING (b + 1) * 60000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 FROM events)""")
 
 
-def _features(sp, sf, warm=False):
+_SMA_WINDOWS, _EMA_SPANS = (5, 10, 20, 50, 200), (5, 10, 12, 20, 26, 50, 200)
+_SOME = ["symbol", "ts", "close", "n_seen", *[f"sma_{n}" for n in _SMA_WINDOWS], *[f"ema_{n}" for n in _EMA_SPANS], "macd", "rsi_14", "volatility_20", "atr_14"]
+
+
+def _live(sp, sf, warm: bool) -> DataFrame:
+    """Features of the bars as a stream; ``warm`` seeds it with the bars before a day."""
     live.use_rocksdb(sp)
-    b = bars(sp, sf).select("symbol", "ts", "high", "low", "close", "pos")
+    b = bars(sp, sf)
     cut = F.lit("2024-01-16").cast("timestamp")
-    if warm:
-        out = live.live_features(stream_of(b.where(F.col("ts") >= cut)), b.where(F.col("ts") < cut))
-    else:
-        out = live.live_features(stream_of(b))
-    return show(drain(out), 5)
+    return drain(live.live_features(stream_of(b.where(F.col("ts") >= cut)), b.where(F.col("ts") < cut)) if warm else live.live_features(stream_of(b)))
+
+
+def _features(sp, sf, warm=False):
+    return show(_live(sp, sf, warm).select(*_SOME), 5)
 
 
-_EMA = ", ".join(f"{R(f'e{n}', 5)} AS ema_{n}" for n in live.EMA_SPANS)
-_LIVE = (f"SELECT symbol, b.ts, {R('b.close', 5)} AS close, pos + 1 AS n_seen, " + ", ".join(f"{R(f's{n}', 5)} AS sma_{n}" for n in live.SMA_WINDOWS)
+_EMA = ", ".join(f"{R(f'e{n}', 5)} AS ema_{n}" for n in _EMA_SPANS)
+_LIVE = (f"SELECT symbol, b.ts, {R('b.close', 5)} AS close, pos + 1 AS n_seen, " + ", ".join(f"{R(f's{n}', 5)} AS sma_{n}" for n in _SMA_WINDOWS)
          + f", {_EMA}, {R('e12 - e26', 5)} AS macd, {R('CASE WHEN down = 0 THEN CASE WHEN up > 0 THEN 100.0 END ELSE 100 - 100 / (1 + up / down) END', 5)} AS rsi_14, {R('v20', 5)} AS volatility_20, {R('atr', 5)} AS atr_14 FROM lv b JOIN ema USING (symbol, pos)")
 cte("lv", ("tech2", "volx"), f"SELECT t.symbol, t.ts, t.pos, t.close, t.up, t.down, x.v20, x.atr, " + ", ".join(
-    f"CASE WHEN t.pos >= {n - 1} THEN avg(t.close) OVER (PARTITION BY t.symbol ORDER BY t.pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS s{n}" for n in live.SMA_WINDOWS) + " FROM tech2 t JOIN volx x USING (symbol, pos)")
+    f"CASE WHEN t.pos >= {n - 1} THEN avg(t.close) OVER (PARTITION BY t.symbol ORDER BY t.pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS s{n}" for n in _SMA_WINDOWS) + " FROM tech2 t JOIN volx x USING (symbol, pos)")
 q("stream_features", _features, _LIVE + " WHERE pos >= 4", "lv", "ema")
 q("stream_features_warm", lambda sp, sf: _features(sp, sf, True), _LIVE + " WHERE b.ts >= TIMESTAMP '2024-01-16'", "lv", "ema")
 
+# every feature column: the batch features' own SQL, side by side
+_GROUPS = ("feature_sma", "feature_ema", "feature_macd", "feature_technical", "feature_volatility", "feature_patterns", "feature_time")
+_DIGITS = {"normalized_atr": 3} | {c: 6 for c in (*[f"{k}_{n}" for k in ("sma", "ema") for n in _SMA_WINDOWS], "macd", "macd_signal", "macd_hist")}
+
+
+def _all_features(sp, sf, warm: bool) -> DataFrame:
+    made = _live(sp, sf, warm)
+    return show(made.drop("open", "high", "low", "close", "n_seen", "late_bars", *[f"ema_{n}" for n in _EMA_SPANS if n not in _SMA_WINDOWS]), 5, **_DIGITS)
+
+
+def _side_by_side(where: str) -> str:
+    joined = " JOIN ".join(f"({bars_queries.S[n]}) {n}" + (" USING (symbol, ts)" if i else "") for i, n in enumerate(_GROUPS))
+    return f"SELECT * REPLACE ({R('normalized_atr', 3)} AS normalized_atr) FROM {joined} {where}"  # up to 100 here: five digits fall on a rounding edge
+
+
+q("stream_features_all", lambda sp, sf: _all_features(sp, sf, False), _side_by_side("WHERE (symbol, ts) IN (SELECT (symbol, ts) FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, min(ts)) AS t0 FROM events GROUP BY 1) f JOIN "
+  "(SELECT unnest(generate_series(4, 10000)) AS k) n ON true, LATERAL (SELECT t0 + k * INTERVAL 1 HOUR AS ts) z)"))
+q("stream_features_all_warm", lambda sp, sf: _all_features(sp, sf, True), _side_by_side("WHERE ts >= TIMESTAMP '2024-01-16'"))
+
 
 def _live_signals(sp, sf):
     live.use_rocksdb(sp)
@@ -120,6 +183,12 @@ def _live_signals(sp, sf):
     return show(drain(live.live_signals(stream_of(p), 5, 0.6, 3, 12, 5)).drop("account", "open_positions"))
 
 
+_RSI = "CASE WHEN down = 0 THEN CASE WHEN up > 0 THEN 100.0 END ELSE 100 - 100 / (1 + up / down) END"
+cte("ldirs", ("tech2",), f"SELECT symbol, ts, pos - 4 AS pos, {_RSI} AS rsi, CASE WHEN {_RSI} > 50 THEN 1 ELSE -1 END AS direction FROM tech2 WHERE pos >= 4")
+cte("lcons", ("ldirs",), CTES["cons"][1].split("MATERIALIZED (", 1)[1][:-1].replace("FROM dirs", "FROM ldirs"))
+cte("lwalk", ("lcons",), CTES["walk"][1].replace("walk", "lwalk").replace("cons", "lcons"))
+q("live_plan", _live_plan, f"""SELECT symbol, ts, {R('rsi', 5)} AS rsi_14, direction::BIGINT AS direction, CASE WHEN was = 0 AND side = 1 THEN 'BUY' WHEN was = 0 AND side = -1 THEN 'SELL' WHEN was = 1 AND side = 0 THEN 'EXIT_LONG'
+  WHEN was = -1 AND side = 0 THEN 'EXIT_SHORT' END AS signal_type FROM lwalk JOIN lcons USING (symbol, pos)""", "lwalk")
 # one account per symbol and five places: the limit never binds, so every symbol follows the batch rule
 q("stream_signals", _live_signals, """SELECT symbol, ts, CASE WHEN was = 0 AND side = 1 THEN 'BUY' WHEN was = 0 AND side = -1 THEN 'SELL' WHEN was = 1 THEN 'EXIT_LONG' ELSE 'EXIT_SHORT' END AS signal_type,
   CASE WHEN was = 0 THEN 0 ELSE 1 + lag(held) OVER (PARTITION BY symbol ORDER BY pos) END AS bars_held FROM walk JOIN cons USING (symbol, pos) QUALIFY was <> side""", "walk")
@@ -208,18 +277,18 @@ q("read_mixed_headers", lambda sp, sf: show(files.read_bars_csv(sp, f"{_mixed_fo
 
 
 def _named(sp, sf):
-    """Files whose names do not follow the naming rule, asked for by symbol."""
+    """Files whose names do not follow the naming rule, one per symbol; all but one are asked for."""
     where = _folder(sp)
     b = bars(sp, sf).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
-    some = [r[0] for r in b.select("symbol").distinct().orderBy("symbol").limit(3).collect()]
-    for i, n in enumerate(some):
+    names = sorted(r[0] for r in b.select("symbol").distinct().collect())  # event types: a handful
+    for i, n in enumerate(names):
         part = b.where(F.col("symbol") == n).drop("symbol").coalesce(1)
         part.write.option("header", True).csv(f"{where}/tmp{i}")
         for f in sp.read.format("binaryFile").load(f"{where}/tmp{i}/*.csv").select("path").collect():
             jvm = sp.sparkContext._jvm
             old, new = jvm.org.apache.hadoop.fs.Path(f["path"]), jvm.org.apache.hadoop.fs.Path(f"{where}/{n}_5m.csv")
             old.getFileSystem(sp.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
-    return show(files.read_symbols(sp, where, some[:2]).select("symbol", "ts", "open", "high", "low", "close", "volume"))
+    return show(files.read_symbols(sp, where, names[:-1]).select("symbol", "ts", "open", "high", "low", "close", "volume"))
 
 
-q("read_symbols", _named, f"SELECT symbol, ts, {_RP}, volume FROM bars WHERE symbol IN (SELECT DISTINCT symbol FROM bars ORDER BY symbol LIMIT 2)", "bars")
+q("read_symbols", _named, f"SELECT symbol, ts, {_RP}, volume FROM bars WHERE symbol < (SELECT max(symbol) FROM bars)", "bars")
