@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from barspark.operators.series import BARS, SCAN_BLOCK, Series, frames, join_by, last, next_, number_rows, numbered, running_sum, scan, stage
+from barspark.operators.series import BARS, SCAN_BLOCK, Series, block_starts, by_group, frames, join_by, last, next_, number_rows, numbered, running_sum, scan, stage
 
 # ---- fixed values
 DEFAULT_COMMISSION_PERCENT = 0.1
@@ -145,79 +145,149 @@ def transactions(t: DataFrame, s: Series = BARS) -> DataFrame:
     return t.select(*s.keys, "position_id", "quantity", F.inline(both)).where(F.col("type").isNotNull())
 
 
-_PAIR_OUT = "type string, position double, entry_price double, pnl double"
-
-
-def _take(held: float, entry: float, side: float, q: float, price: float):
-    """One fill on a position: kind, new position, new entry price, realised P&L."""
-    if held == 0:
-        return "OPEN", side * q, price, None
-    if held * side > 0:
-        return "INCREASE", held + side * q, (entry * abs(held) + price * q) / (abs(held) + q), None
-    pnl = (price - entry) * min(q, abs(held)) * (1 if held > 0 else -1)
-    return ("CLOSE", 0.0, entry, pnl) if q >= abs(held) else ("DECREASE", held + side * q, entry, pnl)
-
-
-def _walk_fills(group: list[str], columns: list[str], ends_only: bool):
-    """Walk sorted fills of many groups; a group starts from its ``_q``/``_e`` (position, entry price)."""
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, entry, tail = None, 0.0, 0.0, None
-        for pdf in batches:
-            out, ends = [], []
-            for key, side, q, price, q0, e0 in zip(zip(*(pdf[c] for c in group)), pdf["side"], pdf["quantity"], pdf["price"], pdf["_q"], pdf["_e"]):
-                if key != current:
-                    if tail is not None:
-                        ends.append(tail)
-                    current, held, entry = key, q0, e0
-                kind, held, entry, pnl = _take(held, entry, side, q, price)
-                tail = (*key, held, entry if held else 0.0)
-                if not ends_only:
-                    out.append((kind, held, entry, pnl))
-            if ends_only:
-                yield pd.DataFrame(ends, columns=[*group, "_q", "_e"])
-            else:
-                yield pd.concat([pdf[columns], pd.DataFrame(out, columns=["type", "position", "entry_price", "pnl"], index=pdf.index)], axis=1)
-        if ends_only and tail is not None:
-            yield pd.DataFrame([tail], columns=[*group, "_q", "_e"])
-
-    return walk
+UNITS = 100_000_000  # quantities are counted in units of 1e-8, so that sums of them are exact
+
+
+class FillBlock:
+    """What a block of fills does to the position it starts with.
+
+    A position stays as it is plus the sum of the fills, up to the fill that brings it to nothing or beyond: there it is closed, and what follows
+    doesn't depend on it any more. So the block is a step function of the size of a long and of a short position, with an end for each step and, above the
+    last step, the position plus the block's sum. The closing fill of a position opened at a row is the next one whose sum is at or
+    below (above) that before it; these jumps, doubled, lead from every row to the end of the block.
+    """
+
+    def __init__(self, side: np.ndarray, units: np.ndarray) -> None:
+        self.n, self.side, self.units = len(side), side, units
+        self.sums = np.concatenate(([0], np.cumsum(side * units)))
+        self.opens = np.append(side * (units > 0), 0)  # direction of a position opened after row k, 0 if none is
+        down, up = self._next(self.sums), self._next(-self.sums)
+        to = np.where(self.opens > 0, down, np.where(self.opens < 0, up, np.minimum(np.arange(self.n + 1) + 1, self.n)))
+        self.closes = np.where(to > self.n, np.arange(self.n + 1), to)  # after row k flat: row after which it is flat again; k itself if it stays open
+
+    def _next(self, v: np.ndarray) -> np.ndarray:
+        """Per place the next place with a value at or below its own, n + 1 if there is none, by halving over tables of minima."""
+        size, least = len(v), [v]
+        while len(least[-1]) > 1 << (len(least) - 1):
+            k = 1 << (len(least) - 1)
+            least.append(np.minimum(least[-1][:-k], least[-1][k:]))
+        at = np.arange(size) + 1
+        for level in reversed(range(len(least))):
+            table = least[level]
+            inside = at < len(table)
+            skip = np.zeros(size, bool)
+            skip[inside] = table[at[inside]] > v[inside]
+            at = at + np.where(skip, 1 << level, 0)
+        return at
+
+    def table(self) -> list:
+        """[sum, end of a flat start, steps for long, ends for long, steps for short, ends for short]."""
+        end = self.closes
+        while not np.array_equal(end[end], end):
+            end = end[end]
+        open_ = self.closes == np.arange(self.n + 1)
+        held = np.where(open_ & (np.arange(self.n + 1) < self.n), self.sums[-1] - self.sums, 0)[end]
+        out = [int(self.sums[-1]), int(held[0])]
+        for sums in (self.sums, -self.sums):
+            low = np.minimum.accumulate(sums)
+            new = np.flatnonzero(low[1:] < low[:-1]) + 1
+            steps, ends = -sums[new], held[new]
+            last = np.append(ends[1:] != ends[:-1], True) if len(ends) else np.zeros(0, bool)
+            out += [steps[last].tolist(), ends[last].tolist()]
+        return out
+
+    def walk(self, price: np.ndarray, start: int) -> dict[str, np.ndarray]:
+        """Type, position, and the entry price as ``_a`` times that of the start plus ``_b`` (``_a0``, ``_b0``: before the fill), from a start position."""
+        flat = 0
+        if start:
+            gone = np.flatnonzero((start + self.sums[1:]) * np.sign(start) <= 0)
+            flat = int(gone[0]) + 1 if len(gone) else self.n + 1
+        way, jump = np.array([min(flat, self.n)]), self.closes
+        while flat <= self.n and jump[way[-1]] != way[-1]:  # twice as many closes each time
+            way, jump = np.unique(np.concatenate((way, jump[way]))), jump[jump]
+        is_flat = np.zeros(self.n + 1, bool)
+        if flat <= self.n:
+            is_flat[way] = True
+        rows = np.arange(self.n + 1)
+        since = np.maximum.accumulate(np.where(is_flat, rows, -1))
+        held = np.where(is_flat, 0, np.where(since < 0, start + self.sums, self.sums - self.sums[np.maximum(since, 0)]))
+        before, after = held[:-1], held[1:]
+        opening, closing = before == 0, (before != 0) & (after == 0)
+        adding = ~opening & (np.sign(before) == self.side)
+        kind = np.select([opening, closing, adding], ["OPEN", "CLOSE", "INCREASE"], "DECREASE")
+        size = np.maximum(np.abs(after), 1).astype(float)
+        a = np.where(opening, 0.0, np.where(adding, np.abs(before) / size, 1.0))
+        b = np.where(opening, price, np.where(adding, price * self.units / size, 0.0))
+        shift = 1
+        while shift < self.n:  # all prefixes of the chain of a x + b by doubling
+            b[shift:] = a[shift:] * b[:-shift] + b[shift:]
+            a[shift:] = a[shift:] * a[:-shift]
+            shift *= 2
+        closed = np.where(adding | opening, 0, np.minimum(self.units, np.abs(before))) * np.sign(before) / UNITS
+        return {"type": kind, "position": after / UNITS, "_a": a, "_b": b, "_a0": np.append(1.0, a[:-1]), "_b0": np.append(0.0, b[:-1]), "_closed": closed}
+
+
+def _at(f: list, position: int) -> int:
+    """The position after the block function ``f``."""
+    if not position:
+        return f[1]
+    steps, ends = f[2:4] if position > 0 else f[4:6]
+    i = bisect_left(steps, abs(position))
+    return ends[i] if i < len(steps) else position + f[0]
+
+
+def _then(f: list, g: list) -> list:
+    """First ``f``, then ``g``: where f closes, g takes its end; beyond, g's own steps, moved by f's sum."""
+    out = [f[0] + g[0], _at(g, f[1])]
+    for i, sign in ((2, 1), (4, -1)):
+        top = f[i][-1] if f[i] else 0
+        moved = [(t - sign * f[0], e) for t, e in zip(g[i], g[i + 1]) if t - sign * f[0] > top]
+        steps, ends = [*f[i], *[t for t, _ in moved]], [*[_at(g, e) for e in f[i + 1]], *[e for _, e in moved]]
+        last = [k for k in range(len(ends)) if k + 1 == len(ends) or ends[k + 1] != ends[k]]
+        out += [[steps[k] for k in last], [ends[k] for k in last]]
+    return out
 
 
 def pair_fills(fills: DataFrame, s: Series = Series(tie=("fill_id",)), block: int = SCAN_BLOCK, method: str = "range") -> DataFrame:
     """General pairing: OPEN, INCREASE (weighted entry), DECREASE, CLOSE for any quantities.
 
-    Expects ``side`` (+1/-1), ``quantity``, ``price``. A closing fill larger than the position only
-    closes it. Keys with up to ``block`` fills are walked whole. Longer ones are cut into blocks that
-    are walked in parallel from an assumed start (flat); the starts are then set to the ends of the
-    blocks before and only blocks whose start changed are walked again, until none changes. A close
-    forgets the start, so a few rounds do; the result is exact in any case.
+    Expects ``side`` (+1/-1), ``quantity`` (counted in units of 1e-8), ``price``. A closing fill larger than the position only closes it.
+    Every block of fills becomes a function of the position it starts with (``FillBlock``); the functions are composed along a key, which gives every
+    block its start. Then the entry price within a block is linear in that of its start, and these lines are chained in the same way. One
+    pass whatever the fills: nothing is counted or repeated first.
     """
     keys, columns = list(s.keys), fills.columns
-    flat = {"_q": F.lit(0.0), "_e": F.lit(0.0)}
-    schema = StructType([*fills.schema.fields, *StructType.fromDDL(_PAIR_OUT).fields])
-    longest = fills.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= block:
-        ordered = fills.withColumns(flat).repartition(*keys).sortWithinPartitions(*keys, *s.order())
-        return ordered.mapInPandas(_walk_fills(keys, columns, False), schema)
     group = [*keys, "_blk"]
     rows = stage(number_rows(fills, s, method=method).withColumn("_blk", s.block(block)))
-    end_schema = StructType([*[fills.schema[k] for k in keys], *StructType.fromDDL("_blk bigint, _q double, _e double").fields])
-
-    def sweep(start: DataFrame, ends_only: bool) -> DataFrame:
-        x = rows.join(start, group).repartition(*group).sortWithinPartitions(*group, s.pos)
-        return x.mapInPandas(_walk_fills(group, columns, ends_only), end_schema if ends_only else schema)
-
-    start = stage(rows.select(*group).distinct().withColumns(flat))
-    ends = stage(sweep(start, True))
-    while True:
-        before = ends.select(*keys, (F.col("_blk") + 1).alias("_blk"), F.col("_q").alias("_q1"), F.col("_e").alias("_e1"))
-        both = start.join(before, group, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_q1", "_e1")})
-        both = stage(both.withColumn("_new", (F.col("_q") != F.col("_q1")) | (F.col("_e") != F.col("_e1"))))
-        start = both.select(*group, F.col("_q1").alias("_q"), F.col("_e1").alias("_e"))
-        changed = both.where("_new").select(*group, F.col("_q1").alias("_q"), F.col("_e1").alias("_e"))
-        if changed.isEmpty():
-            return sweep(start, False)
-        ends = stage(ends.join(changed.select(*group), group, "left_anti").unionByName(sweep(changed, True)))
+    key_fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    steps = {"_sum": "bigint", "_flat": "bigint", "_long": "array<bigint>", "_long_end": "array<bigint>", "_short": "array<bigint>", "_short_end": "array<bigint>"}
+
+    def read(t: pa.Table) -> tuple[pa.Table, FillBlock]:
+        units = np.rint(t.column("quantity").to_numpy().astype(float) * UNITS).astype(np.int64)
+        return t, FillBlock(np.sign(t.column("side").to_numpy()).astype(np.int64), units)
+
+    def to_function(t: pa.Table) -> pa.Table:
+        t, made = read(t)
+        types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in group}, **{n: pa.array([v], k) for n, v, k in zip(steps, made.table(), types)}})
+
+    slim = rows.select(*group, s.pos, "side", "quantity")
+    functions = stage(by_group(slim, group, [s.pos], to_function, f"{key_fields}, _blk bigint, " + ", ".join(f"{n} {k}" for n, k in steps.items())))
+    start = block_starts(functions, s, steps, _then, _at, 0, "bigint")
+
+    def walk(t: pa.Table) -> pa.Table:
+        t, made = read(t)
+        return pa.table({**{c: t.column(c) for c in (*group, s.pos)}, **made.walk(t.column("price").to_numpy().astype(float), t.column("_start")[0].as_py())})
+
+    walked = by_group(join_by(rows.select(*group, s.pos, "side", "quantity", "price"), start, group, "inner"), group, [s.pos],
+        walk, f"{key_fields}, _blk bigint, `{s.pos}` bigint, type string, position double, _a double, _b double, _a0 double, _b0 double, _closed double")
+    walked = stage(walked)
+    lines = walked.groupBy(*group).agg(F.max_by(F.struct("_a", "_b"), s.pos).alias("_line")).select(*group, F.col("_line._a").alias("_a"), F.col("_line._b").alias("_b"))
+    entry = block_starts(lines, s, {"_a": "double", "_b": "double"}, lambda f, g: [g[0] * f[0], g[0] * f[1] + g[1]], lambda f, e: f[0] * e + f[1], 0.0, "double")
+    made = join_by(walked, entry, group, "inner")
+    pnl = F.when(F.col("type").isin("CLOSE", "DECREASE"), (F.col("price") - (F.col("_a0") * F.col("_start") + F.col("_b0"))) * F.col("_closed"))
+    both = join_by(rows, made.drop("_blk"), [*keys, s.pos], "inner")
+    return both.select(*columns, "type", "position", (F.col("_a") * F.col("_start") + F.col("_b")).alias("entry_price"), pnl.alias("pnl"))
 
 
 # ---------------------------------------------------------------- equity

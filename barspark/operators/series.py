@@ -18,11 +18,15 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
+from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -319,6 +323,72 @@ def rolling_means(x: DataFrame, w: WindowSpec, means: Mapping[str, tuple[str | C
     return x.withColumns(helper).withColumns({out: m for out, (_, m) in made.items()}).drop(*helper)
 
 
+# ---------------------------------------------------------------- state through blocks
+
+
+def by_group(df: DataFrame, by: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of every group's rows in order, null a key like any other.
+
+    Groups of one partition pass through one call each, but come and go in batches of many, so small groups cost little; one group is held at a time.
+    """
+    def cuts(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in by:
+            now, before = (t.column(c).slice(k, t.num_rows - 1) for k in (1, 0))
+            new |= pc.fill_null(pc.not_equal(now, before), False).to_numpy() | (now.is_null().to_numpy() != before.is_null().to_numpy())
+        return (np.flatnonzero(new) + 1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+                edges = [0, *cuts(t)]
+                if len(edges) > 1:
+                    yield from pa.concat_tables([fn(t.slice(a, b - a)) for a, b in zip(edges, edges[1:])]).combine_chunks().to_batches()
+                rest = t.slice(edges[-1])
+        if rest is not None:
+            yield from fn(rest).combine_chunks().to_batches()
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def block_starts(tables: DataFrame, s: Series, fields: Mapping[str, str], compose: Callable[[list, list], list], apply: Callable[[list, Any], Any],
+                 first: Any, state: str, fan: int = 256) -> DataFrame:
+    """(keys, _blk, _start): the state in which every block of a key begins.
+
+    ``tables`` has one row per key and block: a function of the state, kept in the columns ``fields`` (name: type). ``compose(f, g)`` is "first f, then
+    g" and ``apply(f, state)`` its value; ``first`` is the state at the start of a key. ``fan`` functions in a row become one, so that a key is
+    gone through in two short steps: over its chains, then inside each chain.
+    """
+    keys, names = list(s.keys), list(fields)
+    schema = ", ".join(f"`{k}` {tables.schema[k].dataType.simpleString()}" for k in keys)
+    tables = tables.withColumn("_chain", F.expr(f"_blk div {int(fan)}"))
+    kept = ", ".join(f"{n} {t}" for n, t in fields.items())
+
+    def rows(t: pa.Table) -> list[list]:
+        return [[t.column(n)[i].as_py() for n in names] for i in range(t.num_rows)]
+
+    def chain(t: pa.Table) -> pa.Table:
+        whole = reduce(compose, rows(t))
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in (*keys, "_chain")}, **{n: pa.array([v], t.schema.field(n).type) for n, v in zip(names, whole)}})
+
+    def starts(of: str):
+        def run(t: pa.Table) -> pa.Table:
+            out = []
+            at = t.column("_start")[0].as_py() if "_start" in t.column_names else first
+            for f in rows(t):
+                out.append(at)
+                at = apply(f, at)
+            return pa.table({**{c: t.column(c) for c in (*keys, of)}, "_start": out})
+        return run
+
+    chains = by_group(tables, [*keys, "_chain"], ["_blk"], chain, f"{schema}, _chain bigint, {kept}")
+    begun = by_group(chains, keys, ["_chain"], starts("_chain"), f"{schema}, _chain bigint, _start {state}")
+    return by_group(join_by(tables, begun, [*keys, "_chain"], "inner"), [*keys, "_chain"], ["_blk"], starts("_blk"), f"{schema}, _blk bigint, _start {state}")
+
+
 # ---------------------------------------------------------------- exponential averages
 
 

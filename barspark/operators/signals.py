@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.functions.columns import typical_price
-from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, ewm, frames, join_by, last, numbered, rolling_means, scan, stage
+from barspark.operators.series import BARS, SCAN_BLOCK, Ewm, Series, block_starts, by_group, ewm, frames, join_by, last, numbered, rolling_means, scan, stage
 
 BUY, SELL, REVERSE, EXIT_LONG, EXIT_SHORT = "BUY", "SELL", "REVERSE", "EXIT_LONG", "EXIT_SHORT"
 
@@ -195,7 +195,6 @@ def hold_signals(df: DataFrame, min_hold: int = 12, max_hold: int = 288, s: Seri
     table = ", ".join(f"{c} array<bigint>" for c in ("_free", "_entry", "_side"))
 
     def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
-        t = t.sort_by(s.pos)
         n = int((t.column("_own").to_numpy() == t.column("_blk").to_numpy()).sum())
         return t, t.column("_buy").to_numpy(zero_copy_only=False), t.column("_sell").to_numpy(zero_copy_only=False), n
 
@@ -206,37 +205,14 @@ def hold_signals(df: DataFrame, min_hold: int = 12, max_hold: int = 288, s: Seri
         t, buy, sell, n = ordered(t)
         return named(t, [*keys, "_blk"], **dict(zip(("_free", "_entry", "_side"), rule.table(buy, sell, n, t.column(s.pos)[0].as_py()))))
 
-    tables = slim.groupBy(*keys, "_blk").applyInArrow(to_table, f"{key_fields}, _blk bigint, {table}")
-    tables = stage(tables.withColumn("_super", F.expr(f"_blk div {fan}")))
-
-    # chains of ``fan`` tables become one table each, so the sequential part per key is short
-    def lists(t: pa.Table) -> list[np.ndarray]:
-        return [np.array([x.as_py() for x in (t.column(c)[i] for c in ("_free", "_entry", "_side"))]) for i in range(t.num_rows)]
-
-    def chain(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_blk")
-        whole = None
-        for one in lists(t):
-            whole = one if whole is None else one[:, whole[0]]
-        return named(t, [*keys, "_super"], **dict(zip(("_free", "_entry", "_side"), whole)))
-
-    def starts(of: str):
-        def run(t: pa.Table) -> pa.Table:
-            t, out = t.sort_by(of), []
-            state = [t.column(c)[0].as_py() for c in ("_f", "_e", "_d")] if "_f" in t.column_names else [0, 0, 0]
-            for one in lists(t):
-                out.append(state)
-                state = one[:, state[0]].tolist()
-            return pa.table({**{c: t.column(c) for c in (*keys, of)}, **{c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("_f", "_e", "_d"))}})
-        return run
-
-    begun = "_f bigint, _e bigint, _d bigint"
-    per_super = tables.groupBy(*keys, "_super").applyInArrow(chain, f"{key_fields}, _super bigint, {table}").groupBy(*keys).applyInArrow(starts("_super"), f"{key_fields}, _super bigint, {begun}")
-    per_block = join_by(tables, per_super, [*keys, "_super"], "inner").groupBy(*keys, "_super").applyInArrow(starts("_blk"), f"{key_fields}, _blk bigint, {begun}")
+    tables = stage(by_group(slim, [*keys, "_blk"], [s.pos], to_table, f"{key_fields}, _blk bigint, {table}"))
+    # a state is (first free row, entry row and side of the trade that reaches in)
+    per_block = block_starts(tables, s, {"_free": "array<bigint>", "_entry": "array<bigint>", "_side": "array<bigint>"}, lambda f, g: [[c[i] for i in f[0]] for c in g],
+                             lambda f, at: [c[at[0]] for c in f], [0, 0, 0], "array<bigint>", fan)
 
     def walk(t: pa.Table) -> pa.Table:
         t, buy, sell, n = ordered(t)
-        free, entered, held = (t.column(c)[0].as_py() for c in ("_f", "_e", "_d"))
+        free, entered, held = t.column("_start")[0].as_py()
         at, leave, side = rule.trades(buy, sell, n, free)
         first = t.column(s.pos)[0].as_py()
         if held:  # the trade that reaches in from the block before
@@ -254,6 +230,6 @@ def hold_signals(df: DataFrame, min_hold: int = 12, max_hold: int = 288, s: Seri
         return pa.table({**{c: t.column(c) for c in (*keys, s.pos)}, "position": position, "bars_held": since, "signal_type": pa.array(kind, pa.string())})
 
     made = f"{key_fields}, `{s.pos}` bigint, position int, bars_held int, signal_type string"
-    walked = join_by(slim, per_block, [*keys, "_blk"], "inner").groupBy(*keys, "_blk").applyInArrow(walk, made)
+    walked = by_group(join_by(slim, per_block, [*keys, "_blk"], "inner"), [*keys, "_blk"], [s.pos], walk, made)
     return join_by(df, walked, [*keys, s.pos], "inner")
 

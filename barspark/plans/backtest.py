@@ -56,7 +56,17 @@ def model_run(tagged: DataFrame, bars: DataFrame, features: Sequence[str], s: Se
     equity = stage(ledger.equity_curve(marked, s.by("run_id", *keys), ("run_id",), capital))
     closed = acc.where("not is_open")
     metrics = performance.performance_summary(equity).join(performance.trade_metrics(closed), "run_id", "left")
-    return {"predictions": predicted, "trades": trades, "equity": equity, "metrics": metrics}
+    return {"predictions": predicted, "history": _history(held, s), "trades": trades, "equity": equity, "metrics": metrics}
+
+
+def prediction_history(predicted: DataFrame, probability: float = 0.5, lookback: int = 10, threshold: float = 0.7, min_hold: int = 12, max_hold: int = 288, s: Series = BARS) -> DataFrame:
+    """What the strategy made of every prediction: its direction, the model's probability, whether a signal was sent, and the position after it."""
+    x = signals.consensus(predicted.withColumn("direction", signals.direction("probability_up", probability)), "direction", lookback, threshold, s)
+    return _history(signals.hold_signals(x, min_hold, max_hold, s), s)
+
+
+def _history(held: DataFrame, s: Series) -> DataFrame:
+    return held.select(*s.keys, s.ts, F.col("direction").alias("prediction"), F.col("probability_up").alias("confidence"), F.col("signal_type").isNotNull().alias("signal_generated"), "position")
 
 
 def trades_of_holds(held: DataFrame, s: Series = BARS, quantity: float = 1.0) -> DataFrame:

@@ -126,6 +126,56 @@ def test_pair_fills_increase_decrease(spark):
         ("OPEN", 2.0, 10.0, None), ("INCREASE", 4.0, 15.0, None), ("DECREASE", 3.0, 15.0, 15.0), ("CLOSE", 0.0, 15.0, 30.0), ("OPEN", -1.0, 25.0, None)]
 
 
+def walked(side, quantity, price, held=0.0, entry=0.0):
+    out = []
+    for s, q, p in zip(side, quantity, price):
+        pnl = None
+        if held == 0:
+            kind, held, entry = "OPEN", s * q, p
+        elif held * s > 0:
+            kind, entry = "INCREASE", (entry * abs(held) + p * q) / (abs(held) + q)
+            held += s * q
+        else:
+            kind, pnl = "CLOSE" if q >= abs(held) else "DECREASE", (p - entry) * min(q, abs(held)) * np.sign(held)
+            held = 0.0 if kind == "CLOSE" else held + s * q
+        out.append((kind, held, entry, pnl))
+    return out
+
+
+def test_block_functions_of_fills_compose():
+    """Functions of blocks, one after the other and composed, against a walk from the same start."""
+    rng = np.random.default_rng(4)
+    for case in range(400):
+        n = int(rng.integers(1, 40))
+        side, q, price = rng.choice([-1, 1], n) if case % 3 else np.ones(n, int), rng.choice([0, 1, 2, 3, 0.5, 7], n), rng.uniform(1, 9, n)
+        cuts = np.unique([0, n, *rng.integers(0, n + 1, 4)])
+        blocks = [(a, b, ledger.FillBlock(side[a:b], np.rint(q[a:b] * ledger.UNITS).astype(np.int64))) for a, b in zip(cuts, cuts[1:])]
+        whole = None
+        for _, _, f in blocks:
+            whole = f.table() if whole is None else ledger._then(whole, f.table())
+        for start in (0.0, 1.0, -1.0, 2.5, -4.0, 40.0, -40.0):
+            want, at, entry = walked(side, q, price, start, 5.0), int(start * ledger.UNITS), 5.0
+            for a, b, f in blocks:
+                w = f.walk(price[a:b], at)
+                for i in range(b - a):
+                    kind, held, e, pnl = want[a + i]
+                    assert (w["type"][i], w["position"][i]) == (kind, held) and abs(w["_a"][i] * entry + w["_b"][i] - e) < 1e-9
+                    if pnl is not None:
+                        assert abs((price[a + i] - w["_a0"][i] * entry - w["_b0"][i]) * w["_closed"][i] - pnl) < 1e-9
+                at, entry = ledger._at(f.table(), at), w["_a"][-1] * entry + w["_b"][-1]
+                assert at == round(want[b - 1][1] * ledger.UNITS)
+            assert ledger._at(whole, int(start * ledger.UNITS)) == at
+
+
+def test_only_increasing_fills_in_many_blocks(spark):
+    n = 400
+    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="1min"), "fill_id": np.arange(n), "side": 1.0, "quantity": 1.0 + np.arange(n) % 3, "price": 100.0 + np.arange(n)})
+    got = ledger.pair_fills(to_spark(spark, pdf), block=20).toPandas().sort_values("fill_id")
+    want = walked(pdf.side, pdf.quantity, pdf.price)
+    assert got["type"].tolist() == [w[0] for w in want] and got["pnl"].isna().all()
+    np.testing.assert_allclose(got[["position", "entry_price"]].to_numpy(), [w[1:3] for w in want], rtol=1e-12)
+
+
 @pytest.mark.parametrize("block", [40, 65_536])
 def test_pair_fills_in_blocks_equals_one_walk(spark, block):
     """One hot key in many blocks gives what a single walk gives."""
