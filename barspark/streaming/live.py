@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -280,66 +281,94 @@ def live_features(bars: DataFrame, history: DataFrame | None = None, min_rows: i
 SIGNAL_SCHEMA = ("account string, symbol string, ts timestamp, signal_type string, bars_held int, open_positions int")
 
 SIGNAL_COLUMNS = [part.split()[0] for part in SIGNAL_SCHEMA.split(", ")]
+_CANDIDATES = "account string, symbol string, us long, n long, buy_ok boolean, sell_ok boolean"
+_CANDIDATE_COLUMNS = [part.split()[0] for part in _CANDIDATES.split(", ")]
 
 
-class LiveSignals(StatefulProcessor):
-    """Consensus entries and hold-limited exits with a bound on open positions per account.
+class Consensus(StatefulProcessor):
+    """Rows of one symbol that an account may act on: a consensus, or the last bar a position entered on an earlier one can be held.
 
-    The limit couples the symbols of an account, so the account is the state key.
+    A position is entered on a consensus, left on the opposite one, or ``max_hold`` bars after its entry; at all other rows nothing can happen
+    whatever the account holds. The state is the last directions, and the numbers of consensus rows within ``max_hold`` bars.
     """
 
-    def __init__(self, lookback: int, threshold: float, min_hold: int, max_hold: int, max_positions: int):
-        self.lookback, self.threshold = lookback, threshold
-        self.min_hold, self.max_hold, self.max_positions = min_hold, max_hold, max_positions
+    def __init__(self, lookback: int, threshold: float, max_hold: int):
+        self.lookback, self.threshold, self.max_hold = lookback, threshold, max_hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "symbol string", "directions array<int>")
-        self.open = handle.getMapState("open", "symbol string", "side int, held int")
+        self.state = handle.getValueState("recent", "n long, directions array<int>, entries array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "symbol"])
+        n, recent, entries = self.state.get() if self.state.exists() else (0, (), ())
+        recent, entries = deque(recent, self.lookback), deque(entries)
+        parts = [(p["us"].to_numpy(np.int64), p["direction"].to_numpy(np.int64)) for p in rows]
+        us, direction = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         out = []
-        held = {k[0]: [v[0], v[1]] for k, v in self.open.iterator()}
-        recent = {k[0]: list(v[0]) for k, v in self.recent.iterator()}
-        for symbol, ts, d in zip(pdf["symbol"], pdf["ts"], pdf["direction"]):
-            window = (recent.get(symbol, []) + [int(d)])[-self.lookback:]
-            recent[symbol] = window
-            full = len(window) == self.lookback
+        for i in np.argsort(us, kind="stable").tolist():
+            recent.append(int(direction[i]))
+            buy, sell = (len(recent) == self.lookback and recent.count(side) / self.lookback >= self.threshold for side in (1, -1))
+            last = bool(entries) and entries[0] == n - self.max_hold
+            if last:
+                entries.popleft()
+            if buy or sell:
+                entries.append(n)
+            if buy or sell or last:
+                out.append((*key, int(us[i]), n, buy, sell))
+            n += 1
+        self.state.update((n, list(recent), list(entries)))
+        yield pd.DataFrame(out, columns=_CANDIDATE_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+class LiveSignals(StatefulProcessor):
+    """Entries and exits of an account with a bound on its open positions; only the rows of ``Consensus`` come here.
 
-            def agrees(side: int) -> bool:
-                return full and window.count(side) / len(window) >= self.threshold
+    The limit couples the symbols of an account, so the account is the state key; the state is its open positions, at most ``max_positions``.
+    """
+
+    def __init__(self, min_hold: int, max_hold: int, max_positions: int):
+        self.min_hold, self.max_hold, self.max_positions = min_hold, max_hold, max_positions
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", "symbol string, side int, entry long")
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = {r[0]: (r[1], r[2]) for r in self.open.get()}
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "symbol"])
+        out = []
+        for symbol, us, n, buy, sell in zip(*[pdf[c].tolist() for c in ("symbol", "us", "n", "buy_ok", "sell_ok")]):
             kind = None
             if symbol in held:
-                side, n = held[symbol][0], held[symbol][1] + 1
-                held[symbol][1] = n
-                if n >= self.max_hold or (n >= self.min_hold and agrees(-side)):
+                side, entry = held[symbol]
+                bars = n - entry
+                if bars >= self.max_hold or (bars >= self.min_hold and (sell if side > 0 else buy)):
                     kind = "EXIT_LONG" if side > 0 else "EXIT_SHORT"
                     del held[symbol]
-            else:
-                n = 0
-                side = 1 if agrees(1) else -1 if agrees(-1) else 0
-                if side and len(held) < self.max_positions:
-                    kind, held[symbol] = "BUY" if side > 0 else "SELL", [side, 0]
+            elif (buy or sell) and len(held) < self.max_positions:
+                bars, kind, held[symbol] = 0, "BUY" if buy else "SELL", (1 if buy else -1, n)
             if kind:
-                out.append((key[0], symbol, ts, kind, n, len(held)))
-        for k, _ in list(self.open.iterator()):
-            if k[0] not in held:
-                self.open.removeKey(k)
-        for k, v in held.items():
-            self.open.updateValue((k,), (int(v[0]), int(v[1])))
-        for k, v in recent.items():
-            self.recent.updateValue((k,), (v,))
-        yield pd.DataFrame(out, columns=SIGNAL_COLUMNS)
+                out.append((key[0], symbol, us, kind, bars, len(held)))
+        if held:
+            self.open.put([(k, *v) for k, v in held.items()])
+        else:
+            self.open.clear()
+        pdf = pd.DataFrame(out, columns=SIGNAL_COLUMNS)
+        pdf["ts"] = pd.to_datetime(pdf["ts"].astype("int64"), unit="us")
+        yield pdf
 
     def close(self) -> None:
         pass
 
 
 def live_signals(scored: DataFrame, lookback: int = 10, threshold: float = 0.7, min_hold: int = 12, max_hold: int = 288, max_positions: int = 5) -> DataFrame:
-    """Signals of a scored stream (``account, symbol, ts, direction``)."""
-    return scored.select("account", "symbol", "ts", "direction").groupBy("account").transformWithStateInPandas(
-        statefulProcessor=LiveSignals(lookback, threshold, min_hold, max_hold, max_positions), outputStructType=SIGNAL_SCHEMA, outputMode="append", timeMode="none")
+    """Signals of a scored stream (``account, symbol, ts, direction``): the consensus per symbol, then the limit per account on what is left."""
+    use_rocksdb(scored.sparkSession)
+    x = scored.select("account", "symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "direction").groupBy("account", "symbol")
+    found = x.transformWithStateInPandas(statefulProcessor=Consensus(lookback, threshold, max_hold), outputStructType=_CANDIDATES, outputMode="append", timeMode="none")
+    return found.groupBy("account").transformWithStateInPandas(
+        statefulProcessor=LiveSignals(min_hold, max_hold, max_positions), outputStructType=SIGNAL_SCHEMA, outputMode="append", timeMode="none")
 
 
 def use_rocksdb(spark) -> None:

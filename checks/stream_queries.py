@@ -195,12 +195,25 @@ q("stream_signals", _live_signals, """SELECT symbol, ts, CASE WHEN was = 0 AND s
 
 
 def _live_limited(sp, sf):
+    """Two accounts with one place each, for several symbols."""
     live.use_rocksdb(sp)
-    p = preds(sp, sf).select(F.lit("main").alias("account"), "symbol", "ts", signals.direction("p_up", 0.5).alias("direction"))
-    return show(drain(live.live_signals(stream_of(p), 5, 0.6, 3, 12, 2)))
-
-
-q("stream_signals_limited", _live_limited)
+    account = F.when(F.col("symbol") < "l", "early").otherwise("late")
+    p = preds(sp, sf).select(account.alias("account"), "symbol", "ts", signals.direction("p_up", 0.5).alias("direction"))
+    return show(drain(live.live_signals(stream_of(p), 5, 0.6, 3, 12, 1)))
+
+
+# row by row over an account's bars in time order; the open positions are a list of (symbol, side, entry row)
+cte("rowsof", ("cons",), """SELECT CASE WHEN symbol < 'l' THEN 'early' ELSE 'late' END AS account, symbol, ts, pos, buy_ok, sell_ok, row_number() OVER (PARTITION BY symbol < 'l' ORDER BY ts, symbol) AS k FROM cons""")
+_MINE = "list_filter(w.held, lambda h: h.symbol = r.symbol)[1]"
+_OUT = f"({_MINE} IS NOT NULL AND (r.pos - {_MINE}.entry >= 12 OR (r.pos - {_MINE}.entry >= 3 AND CASE WHEN {_MINE}.side > 0 THEN r.sell_ok ELSE r.buy_ok END)))"
+_IN = f"({_MINE} IS NULL AND (r.buy_ok OR r.sell_ok) AND len(w.held) < 1)"
+_ONE = "{'symbol': r.symbol, 'side': CASE WHEN r.buy_ok THEN 1 ELSE -1 END, 'entry': r.pos}"
+cte("limited", ("rowsof",), f"""limited(account, k, symbol, ts, signal_type, bars_held, held) AS (
+  SELECT DISTINCT account, 0::BIGINT, NULL::VARCHAR, NULL::TIMESTAMP, NULL::VARCHAR, 0::BIGINT, CAST([] AS STRUCT(symbol VARCHAR, side INTEGER, entry BIGINT)[]) FROM rowsof
+  UNION ALL SELECT r.account, r.k, r.symbol, r.ts, CASE WHEN {_OUT} THEN CASE WHEN {_MINE}.side > 0 THEN 'EXIT_LONG' ELSE 'EXIT_SHORT' END WHEN {_IN} THEN CASE WHEN r.buy_ok THEN 'BUY' ELSE 'SELL' END END,
+    CASE WHEN {_OUT} THEN r.pos - {_MINE}.entry ELSE 0 END, CASE WHEN {_OUT} THEN list_filter(w.held, lambda h: h.symbol <> r.symbol) WHEN {_IN} THEN list_append(w.held, {_ONE}) ELSE w.held END
+  FROM limited w JOIN rowsof r ON r.account = w.account AND r.k = w.k + 1)""")
+q("stream_signals_limited", _live_limited, "SELECT account, symbol, ts, signal_type, bars_held, len(held) AS open_positions FROM limited WHERE signal_type IS NOT NULL", "limited")
 _Z = "({c} - avg({c}) OVER (PARTITION BY symbol)) / stddev_samp({c}) OVER (PARTITION BY symbol)"
 q("live_batch_preparation", lambda sp, sf: show(live.simplify_batch(smas(sp, sf).select("symbol", "ts", "pos", "close", "sma_5", "sma_20")).drop("pos")),
   f"""SELECT symbol, ts, {R('close')} AS close, {R('close_return')} AS close_return, {R(_Z.format(c='sma_5'))} AS sma_5, {R(_Z.format(c='sma_20'))} AS sma_20 FROM (SELECT symbol, ts, close, """
