@@ -292,6 +292,34 @@ def rolling(fn: Callable[[Column], Column], c: str | Column, w: WindowSpec, n: i
     return F.when(F.count(c).over(f) == n, fn(c).over(f))
 
 
+def rolling_extremes(df: DataFrame, s: Series, outs: Mapping[str, tuple[str, str, int]]) -> DataFrame:
+    """Add ``out: (max | min, column, n)`` over the last ``n`` rows, null until ``n`` non-null values are in the window.
+
+    Rows are taken in stretches of ``n``. A window reaches over two of them at most, so its extreme is that of the first one's rest and the
+    second one's beginning: two running values per row, whatever ``n`` is. Use it for long windows; ``rolling`` reads every row of a window.
+    """
+    df = numbered(df, s)
+    longest = max(n for _, _, n in outs.values())
+
+    def make(x: DataFrame, w: WindowSpec) -> DataFrame:
+        helper: dict[str, Column] = {}
+        for out, (kind, c, n) in outs.items():
+            fn, stretch = {"max": F.max, "min": F.min}[kind], F.expr(f"`{s.pos}` div {int(n)}")
+            here = Window.partitionBy("_key", stretch)
+            helper |= {f"_{out}_begun": fn(c).over(here.orderBy(s.pos).rowsBetween(Window.unboundedPreceding, 0)),
+                       f"_{out}_rest": fn(c).over(here.orderBy(F.desc(s.pos)).rowsBetween(Window.unboundedPreceding, 0)),
+                       f"_{out}_known": F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+        x = x.withColumns(helper)
+        made = {}
+        for out, (kind, _, n) in outs.items():
+            both = {"max": F.greatest, "min": F.least}[kind]
+            known = F.col(f"_{out}_known") - F.coalesce(F.lag(f"_{out}_known", n).over(w), F.lit(0))
+            made[out] = F.when(known == n, both(F.lag(f"_{out}_rest", n - 1).over(w), F.col(f"_{out}_begun")))
+        return x.withColumns(made).drop(*helper)
+
+    return frames(df, s, make, back=longest)
+
+
 def mean_parts(name: str, c: str | Column, w: WindowSpec, n: int) -> tuple[dict[str, Column], Column]:
     """A mean over the last ``n`` rows in two steps: columns to add first, and the mean made from them.
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barspark.operators import features
@@ -164,6 +165,25 @@ def append_bars(bars: DataFrame, path: str, checkpoint: str, **trigger):
     return bars.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def upsert(df: DataFrame, path: str, checkpoint: str, **trigger):
+    """Stream changed rows (update output) into a table that is read by ``read_upserts``; no trigger rewrites what is there.
+
+    A micro-batch writes its rows under its own number, over what an earlier try of the same batch may have left: a batch that runs again after a
+    failure changes nothing. A number's rows say which of a key's rows is the newest.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).foreachBatch(save).start()
+
+
+def read_upserts(spark, path: str, schema, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key; null is a key like any other."""
+    x = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).option("basePath", path).parquet(f"{path}/_batch=*")
+    rest = [c for c in x.columns if c not in (*keys, "_batch")]
+    return x.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
 def simplify_batch(df: DataFrame, s: Series = BARS, prices: Sequence[str] = ("open", "high", "low", "close"), keep: Sequence[str] = ("volume", "spread")) -> DataFrame:
     """The light preparation of a live batch: price returns, bfill then ffill, z-score of the indicators.
 

@@ -122,6 +122,20 @@ q("stream_latest", lambda sp, sf: show(drain(live.latest(ticks(sp, sf), "symbol"
   f"SELECT event_type AS symbol, max(ts) AS ts, {R('last(value ORDER BY ts)')} AS price FROM events GROUP BY 1")
 
 
+def _upserted(sp, sf):
+    """Ticks in five micro-batches, each changing the last tick of some symbols; a row per symbol and second."""
+    where = f"{shared_folder(sp)}/barspark/upserts-{uuid.uuid4().hex}"
+    e = table(sp, sf, "events").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 50).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("event_id") % 5).alias("part"))
+    for n in range(5):
+        e.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{where}/in")
+    x = live.latest(sp.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), "symbol")
+    live.upsert(x, f"{where}/out", f"{where}/state", availableNow=True).awaitTermination()
+    return show(live.read_upserts(sp, f"{where}/out", x.schema, ["symbol"]))
+
+
+q("stream_latest_upserts", _upserted, f"SELECT event_type || '/' || (user_id % 50) AS symbol, max(ts) AS ts, {R('last(value ORDER BY ts, value)')} AS price FROM events GROUP BY 1")
+
+
 def _states(sp, sf):
     e = stream_table(sp, sf, "events")
     return e.select(F.col("event_type").alias("account"), F.col("ts").cast("timestamp").alias("ts"), (1000 + F.col("value")).alias("equity"), F.col("value").alias("cash"),
