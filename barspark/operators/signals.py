@@ -66,18 +66,27 @@ def sma_sweep(df: DataFrame, shorts: Sequence[int], longs: Sequence[int], thresh
               s: Series = BARS) -> DataFrame:
     """Crossover signals for every (short, long) pair; ``run_id`` names the pair.
 
-    Each average is computed once and the pairs are unfolded per row, so the sweep costs one
-    window pass whatever the number of pairs.
+    Each average is computed once, one scan carries the sides of all pairs, and rows are unfolded by the last projection: the bars are
+    shuffled once per pass, whatever the number of pairs.
     """
     windows = sorted({*shorts, *longs})
     df = frames(numbered(df, s), s, lambda x, w: rolling_means(x, w, {f"_ma{n}": ("close", n) for n in windows}),
                 back=max(windows))
-    runs = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("run_id"), F.lit(a).alias("short_window"),
-                              F.lit(b).alias("long_window"), F.col(f"_ma{a}").alias("short_ma"),
-                              F.col(f"_ma{b}").alias("long_ma")) for a in shorts for b in longs if a < b])
-    df = df.select("*", F.inline(runs)).drop(*[f"_ma{n}" for n in windows])
-    return crossover(df, F.col("short_ma") - F.col("long_ma"), threshold, s.by("run_id", *s.keys),
-                     ready=F.col(s.pos) >= F.col("long_window") - 1)
+    pairs = [(a, b) for a in shorts for b in longs if a < b]
+    difference = {f"_d{i}": F.when(F.col(s.pos) >= b - 1, F.col(f"_ma{a}") - F.col(f"_ma{b}")) for i, (a, b) in enumerate(pairs)}
+    df = df.withColumns(difference).withColumns({f"_s{i}": F.when(F.col(f"_d{i}") > threshold, 1).when(F.col(f"_d{i}") < -threshold, -1) for i in range(len(pairs))})
+    # one scan carries the last side of every pair; rows are unfolded after it
+    df = scan(df.drop(*difference), s, {f"_b{i}": last(f"_s{i}", inclusive=False) for i in range(len(pairs))})
+
+    def run(i: int, a: int, b: int) -> Column:
+        now, before = F.col(f"_s{i}"), F.col(f"_b{i}")
+        new = now.isNotNull() & (before.isNull() | (now != before))
+        kind = F.when(before.isNotNull(), REVERSE).when(now > 0, BUY).otherwise(SELL)
+        return F.struct(F.lit(f"{a}/{b}").alias("run_id"), F.lit(a).alias("short_window"), F.lit(b).alias("long_window"), F.col(f"_ma{a}").alias("short_ma"), F.col(f"_ma{b}").alias("long_ma"),
+                        F.when(new, now).alias("signal"), F.when(new, kind).alias("signal_type"))
+
+    made = [*[f"_ma{n}" for n in windows], *[f"_{k}{i}" for k in "sb" for i in range(len(pairs))]]
+    return df.select("*", F.inline(F.array(*[run(i, a, b) for i, (a, b) in enumerate(pairs)]))).drop(*made)
 
 
 def prediction_signals(df: DataFrame, prediction: str = "prediction", threshold: float = 0.0, kind: str = "regression",
