@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.operators.series import shared_folder, stage
 
-__all__ = ["shared_folder", "stage", "pick", "train_part", "row_key", "keep_rows", "components", "text_slices", "input_bytes"]
+__all__ = ["shared_folder", "stage", "small_batches", "pick", "train_part", "row_key", "keep_rows", "components", "text_slices", "input_bytes"]
 
-SLICE_BYTES = 8 << 20  # texts are worked on in slices of about this size, whatever the Arrow batch holds
+SLICE_BYTES = 4 << 20  # texts are worked on in slices of about this size, whatever the Arrow batch holds
+
+
+BATCH_ROWS = 2_000  # rows of texts that Spark hands to a Python worker at a time
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_ROWS`` rows between Spark and its workers: both hold one of them, and a row is a whole text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:

@@ -1,18 +1,23 @@
 """Near copies by the Jaccard similarity of their word shingles, verified exactly.
 
 A text is the set of the XXH64 of its five-word shingles (words as for ``golay.simhash``). Texts with equal sets are one node. Candidates
-are nodes that agree in one of ``BANDS`` bands of ``ROWS`` MinHash values each: two texts of similarity 0.8 miss all bands
-with a probability of (1 - 0.8^4)^32 = 5e-8, more similar ones less often.
+are nodes that share a key. Keys are the Golay keys of the SimHash over the same shingles (``golay.keys_of``), which find what differs in a
+bit or two, and ``BANDS`` bands of ``ROWS`` MinHash values each for the rest: two texts of similarity 0.8 miss all bands with a probability of
+(1 - 0.8^4)^32 = 5e-8, more similar ones less often.
 
 No pairs are formed within what already hangs together: first every member of a bucket is compared with the smallest one of
 the bucket, and components are built from the pairs that hold. Only buckets that still span several components are looked at again, there
-every member outside the bucket's largest component is compared with all members of other components. So each candidate pair is
-either verified or inside one component. The buckets' tables are staged, so that joins with hot keys can be split.
+every member outside the bucket's largest component is compared with all members of other components, in slices of ``BLOCK`` pairs at most.
+So each candidate pair is either verified or inside one component.
+
+A pair is looked at twice. Every node has a parity sketch, one bit per cell telling whether an odd number of its shingles fall there: two sets differ
+in at least as many shingles as their sketches differ in bits, so a pair whose sketches differ too much is out, with certainty, and
+costs a few hundred bytes. Only what passes is compared by the sets themselves, which are made for those nodes alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +26,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barspark.llm import golay
 from barspark.llm.common import components, keep_rows, pick, row_key, stage, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SEED = 42
 CHUNK = 1 << 9  # shingles hashed by all MinHash functions at a time
+LEAST_CELLS = 256
+BLOCK = 1 << 20  # pairs of one bucket formed by one group of a join
+SLICE = 2 << 20  # text worked on at a time
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (BANDS * ROWS, 2)).astype(np.uint64)
 
 
-def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles; a text of fewer words is one shingle, one without words has none."""
+# ---------------------------------------------------------------- one text
+
+
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the shingles in order, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -40,7 +52,20 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[shingle - 1:].tolist() if len(words) >= shingle else [len(flat)]
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(flat[s:e], SEED) for s, e in zip(starts.tolist(), last)], np.uint64))
+    return np.array([h(flat[s:e], SEED) for s, e in zip(starts.tolist(), last)], np.uint64)
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it set; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), golay.CHUNK):
+        counts += np.unpackbits(hashes[at:at + golay.CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -55,42 +80,76 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(low[i * ROWS:(i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2n cells or more, a power of two."""
+    cells = max(LEAST_CELLS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_CELLS
+    return np.packbits(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Shingles that are in one of the sets only are at least as many: bits by which the sketches differ, the larger one folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def most_difference(na: int, nb: int, similarity: float) -> float:
+    """Shingles in one set only that a similarity allows: with d of them it is (na + nb - d) / (na + nb + d)."""
+    return (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+# ---------------------------------------------------------------- tables
+
+
 def nodes_of(docs: DataFrame, row: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(row, node, size, keys) per input row: node names the shingle set, size its length, keys its bands."""
+    """(row, node, size, keys, sketch) per input row: node names the shingle set, size its length."""
     x = pick(docs, row=row, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
-            sets = [shingle_set(t, shingle) for t in texts]
-            keys = [np.array(band_keys(s), np.uint64).astype(np.int64) for s in sets]
-            cols = [part.column(0), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "node", "size", "keys"])
+        for part, texts in text_slices(batches, slice_bytes=SLICE):
+            lists = [shingle_hashes(t, shingle) for t in texts]
+            close = golay.keys_of(np.array([simhash(h) for h in lists], np.uint64))
+            sets = [np.unique(h) for h in lists]
+            keys = [np.concatenate((np.array(band_keys(s), np.uint64).astype(np.int64), k)) if len(s) else np.zeros(0, np.int64) for s, k in zip(sets, close)]
+            cols = [part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "node", "size", "keys", "sketch"])
+
+    return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, node binary, size long, keys array<long>, sketch binary")
+
+
+def _pruned(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (a, na, sa, b, nb, sb) whose sketches allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(i).to_pylist() for i in (1, 4))
+            good = [least_difference(sa, sb) <= most_difference(n, m, similarity) for n, sa, m, sb in zip(na, b.column(2).to_pylist(), nb, b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, node string, size long, keys array<long>")
+    return pairs.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least the similarity."""
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, name = np.zeros(0, np.uint64), None
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            good = []
-            for i in range(batch.num_rows):
-                if b[i].as_py() != name:
-                    kept, name = shingle_set(tb[i].as_py() or "", shingle), b[i].as_py()
-                good.append(jaccard(shingle_set(ta[i].as_py() or "", shingle), kept) >= similarity)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for b in batches:
+            one, two = (b.column(i) for i in (2, 3))
+            good = [jaccard(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similarity for x, y in zip(one, two)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return stage(x.mapInArrow(run, "a string, b string"))
+    sets = stage(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+    x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").select("a", "b", "one", "two")
+    return stage(x.mapInArrow(run, "a binary, b binary"))
 
 
 def _alike(similarity: float):
@@ -98,44 +157,60 @@ def _alike(similarity: float):
     return F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
 
 
-def links(nodes: DataFrame, texts_of, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified pairs whose components are those of all candidate pairs with the similarity.
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
+
 
-    ``nodes`` is (node, size, keys), a row per node; ``texts_of`` gives (node, text) for a table of nodes.
+def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root): the components of all candidate pairs with the similarity; nodes without a link are left out.
+
+    ``nodes`` is a staged (node, size, keys, sketch), a row per node; ``sets_of`` gives (node, shingles) for a table of nodes.
     """
-    every = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    lead = stage(every.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "lead"))
-    met = stage(every.join(lead, ["band", "key"]))
-    pairs = met.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("lead.node").alias("b"), F.col("lead.size").alias("nb")).where("a <> b")
-    pairs = stage(pairs.where(_alike(similarity)).select("a", "b").distinct())
-    texts = stage(texts_of(met.select("node").distinct()))
-    first = _verified(pairs, texts, shingle, similarity)
+    every = nodes.select("node", "size", F.explode("keys").alias("key"))
+    lead = every.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
+    met = stage(every.join(stage(lead), "key"))
+    pairs = met.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("lead.node").alias("b"), F.col("lead.size").alias("nb")).where("a <> b").where(_alike(similarity)).distinct()
+    near = stage(_pruned(pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b"), similarity))
+    first = _verified(near, sets_of, similarity)
     root = stage(components(first).select("node", "root"))
-    met = stage(met.join(root, "node", "left").select("band", "key", "node", "size", F.coalesce("root", "node").alias("root")))
-    parts = met.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = stage(parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big")).where("parts > 1").select("band", "key", F.col("big.root").alias("big")))
-    left = stage(met.join(open_, ["band", "key"]))
-    outside = left.where("root <> big").select("band", "key", F.col("node").alias("x"), F.col("size").alias("na"), F.col("root").alias("rx"))
-    cross = left.select("band", "key", F.col("node").alias("y"), F.col("size").alias("nb"), F.col("root").alias("ry")).join(outside, ["band", "key"])
-    cross = cross.where(F.col("rx") != F.col("ry")).where(_alike(similarity)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    second = _verified(stage(cross.join(pairs, ["a", "b"], "left_anti")), texts, shingle, similarity)
-    return first.unionByName(second)
+    met = stage(met.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    parts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("all")).where("parts > 1")
+    slices = F.least(F.col("all"), F.ceil(F.col("all") * (F.col("all") - F.col("big.n")) / F.lit(block))).cast("int")
+    left = stage(met.join(stage(open_.select("key", F.col("big.root").alias("big"), slices.alias("slices"))), "key").join(nodes.select("node", "sketch"), "node"))
+    rows = left.select("key", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), F.col("node").alias("y"), F.col("size").alias("nb"), F.col("sketch").alias("sb"), F.col("root").alias("ry"))
+    outside = left.where("root <> big").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("x"), F.col("size").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("rx"))
+    cross = rows.join(outside, ["key", "slice"]).where(F.col("rx") != F.col("ry")).where(_alike(similarity)).withColumnsRenamed({"x": "a", "y": "b"})
+    cross = _pruned(cross, similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    # what the second comparison found joins components of the first: only these are gone through again
+    second = _verified(stage(cross), sets_of, similarity)
+    ends = second.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = stage(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    alone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    return root.unionByName(alone).join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of exactly one row per group of texts linked at ``similarity`` or more: the smallest id's, null ids last.
 
-    Ids may be null or repeated: groups are of rows. Null texts and texts without words are one group.
+    Ids may be null or repeated: groups are of rows. Null texts and texts without words are one group. A task holds ``SLICE`` of text, or one
+    longer text, at a time.
     """
     keyed = docs.withColumn("_row", row_key(docs, doc_id))
-    got = stage(nodes_of(keyed, "_row", text, shingle))
-    nodes = stage(got.groupBy("node").agg(F.min("row").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    got = nodes_of(keyed, "_row", text, shingle)
+    nodes = stage(got.groupBy("node").agg(F.min("row").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
+    def sets_of(wanted: DataFrame) -> DataFrame:
         rows = nodes.join(wanted, "node").select("node", F.col("low.h1").alias("_h1"), F.col("low.h2").alias("_h2"))
         one = keyed.select(F.col("_row.h1").alias("_h1"), F.col("_row.h2").alias("_h2"), F.col(f"`{text}`").alias("text")).join(rows, ["_h1", "_h2"])
-        return one.select("node", "text").dropDuplicates(["node"])
 
-    root = components(links(nodes, texts_of, shingle, similarity))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in text_slices(batches, slice_bytes=SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts], pa.binary())], ["node", "shingles"])
+
+        return one.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node binary, shingles binary")
+
+    root = groups(nodes, sets_of, similarity)
     low = nodes.join(root, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("low"))
     return keep_rows(keyed, low)
