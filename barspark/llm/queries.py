@@ -73,7 +73,11 @@ def op9_learned_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_lookup_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    return sharding.place(table(spark, sf, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
+    """Whole documents, placed, written shard by shard and read back."""
+    placed = sharding.place(table(spark, sf, "documents"), F.col("doc_id"), SHARDS)
+    path = f"{shared_folder(spark)}/barspark/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(placed, path)
+    return spark.read.schema(placed.schema).parquet(path).select("doc_id", "slot", "shard")
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
