@@ -95,13 +95,23 @@ def stage(df: DataFrame) -> DataFrame:
 _staged: list[str] = []
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables staged so far by this process, after the results that read them are written; how many there were."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_staged)
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def staged() -> int:
+    """How many staged tables of this process are still there."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, first: int = 0, keep: int = 0) -> int:
+    """Delete the tables staged by this process, after the results that read them are written; how many there were.
+
+    ``first`` is what ``staged`` gave before the work whose tables are meant, and the newest ``keep`` of them stay.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _staged[first:len(_staged) - keep]
+    del _staged[first:len(_staged) - keep]
+    for one in gone:
+        path = jvm.org.apache.hadoop.fs.Path(one)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 # ---------------------------------------------------------------- row numbers
