@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm import decontam, langid, nearcopies, packing, toxicity
-from barspark.llm.common import stage, train_part
+from barspark.llm.common import small_batches, stage, train_part
 from barspark.llm.queries import TOKENIZER
+from barspark.operators.series import drop_staged, staged
 
 TOXIC_SCORE = 0.7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts whose language can't be told: null, or without a letter. Short texts have low scores and stay."""
+    small_batches(spark)
     profiles = langid.fit(docs, usable=train_part(F.col("doc_id")))
     inner = {f"c{i}": c for i, c in enumerate(docs.columns)}
     got = langid.predict(docs, profiles, inner)
@@ -29,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts with a toxicity score of ``TOXIC_SCORE`` or more; the model learns from the labels of the training part."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=train_part(F.col("doc_id")))
     inner = {f"c{i}": c for i, c in enumerate(docs.columns)}
     got = toxicity.score(docs, model, inner).where(F.col("score") < TOXIC_SCORE)
@@ -36,17 +39,20 @@ def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row, the smallest id's, of each group of texts linked by five-word shingles with a similarity of 0.8 or more."""
+    """Keep one row, the smallest id's, of each group of texts linked by five-word shingles with a similarity of 0.8 or more (Golay keys, MinHash bands, verified)."""
+    small_batches(spark)
     return nearcopies.drop_near_copies(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a test item within its error budget."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents with their sequence and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -55,7 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged()
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))
+        drop_staged(spark, before, keep=1)  # a stage's own tables and its input, once its rows are written
     return docs
