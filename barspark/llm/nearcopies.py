@@ -5,25 +5,28 @@ are nodes that share a key. Keys are the Golay keys of the SimHash over the same
 bit or two, and ``BANDS`` bands of ``ROWS`` MinHash values each for the rest: two texts of similarity 0.8 miss all bands with a probability of
 (1 - 0.8^4)^32 = 5e-8, more similar ones less often.
 
-No pairs are formed within what already hangs together: first every member of a bucket is compared with the smallest one of
-the bucket, and components are built from the pairs that hold. Only buckets that still span several components are looked at again, there
-every member outside the bucket's largest component is compared with all members of other components, in slices of ``BLOCK`` pairs at most.
-So each candidate pair is either verified or inside one component.
-
-A pair is looked at twice. Every node has a parity sketch, one bit per cell telling whether an odd number of its shingles fall there: two sets differ
+No pairs are formed within what already hangs together: first every member of a bucket is compared with one of them, the one with the most
+company in all its buckets (of copies with many and with few edits it is one with few, to which most are alike), and components are built from the pairs that hold.
+Only nodes of buckets that still span several components are looked at again, by prefixes: with the shingles of these nodes ordered by the number
+of nodes that hold them, the first common shingle of two sets leaves both at least as many shingles from there on as they must share. What a text holds alone comes first,
+so texts that differ too much share nothing early enough. This loses no pair of the similarity, whatever the buckets are. In each shingle's
+group the members outside its largest component meet those of like size. So each candidate pair is either verified or inside one component.
+
+A pair of the first comparison is looked at twice. Every node has a parity sketch, one bit per cell telling whether an odd number of its shingles fall there: two sets differ
 in at least as many shingles as their sketches differ in bits, so a pair whose sketches differ too much is out, with certainty, and
 costs a few hundred bytes. Only what passes is compared by the sets themselves, which are made for those nodes alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.llm import golay
@@ -34,7 +37,7 @@ BANDS, ROWS = 32, 4
 SEED = 42
 CHUNK = 1 << 9  # shingles hashed by all MinHash functions at a time
 LEAST_CELLS = 256
-BLOCK = 1 << 20  # pairs of one bucket formed by one group of a join
+CLASS = 1.05  # ratio of the sizes from one size class to the next
 SLICE = 2 << 20  # text worked on at a time
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (BANDS * ROWS, 2)).astype(np.uint64)
 
@@ -138,7 +141,27 @@ def _pruned(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, slice_bytes=SLICE):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts], pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node binary, shingles binary")
+
+
+def _elements(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, w) of (node, text): a row per distinct shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, slice_bytes=SLICE):
+            sets = [shingle_set(t, shingle) for t in texts]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(np.concatenate(sets).view(np.int64))], ["node", "w"])
+
+    return texts.mapInArrow(run, "node binary, w long")
+
+
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +169,7 @@ def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
             good = [jaccard(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similarity for x, y in zip(one, two)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = stage(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sets = stage(_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), shingle))
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").select("a", "b", "one", "two")
     return stage(x.mapInArrow(run, "a binary, b binary"))
@@ -161,29 +184,53 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
 
 
-def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(CLASS)).cast("int")
+
+
+def _prefix_pairs(open_: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes with different roots, among them all that have the similarity.
+
+    ``open_`` is (node, size, root), ``elements`` its (node, w). ``rest`` is the number of a node's shingles from this one on, in the order of how many
+    nodes hold them. Two sets share at most the smaller rest at their first common shingle, and must share s / (1 + s) of both sizes: so
+    a shingle speaks only for partners up to a certain size, and for none once its rest is below s times its own.
+    """
+    many = elements.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    upward = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("w"))
+    early = elements.join(many, "w").withColumn("rest", F.row_number().over(upward)).join(open_, "node").where(F.col("rest") >= F.lit(similarity) * F.col("size") - 1e-6)
+    early = stage(early.select("w", "node", "size", "root", "rest"))
+    parts = early.groupBy("w", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("w").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big")).where("parts > 1")
+    met = stage(early.join(parts.select("w", F.col("big.root").alias("big")), "w"))
+    least, most = similarity * F.col("size") - 1e-6, F.col("rest") * ((1 + similarity) / similarity) - F.col("size") + 1e-6
+    classes = F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(F.greatest(least, most, F.lit(1))))
+    one = met.where("root <> big").select("w", F.explode(classes).alias("class"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"), F.col("rest").alias("la"))
+    two = met.select("w", _size_class(F.col("size")).alias("class"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("rest").alias("lb"))
+    enough = F.least("la", "lb") >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    x = one.join(two, ["w", "class"]).where(F.col("ra") != F.col("rb")).where(_alike(similarity)).where(enough)
+    return x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): the components of all candidate pairs with the similarity; nodes without a link are left out.
 
-    ``nodes`` is a staged (node, size, keys, sketch), a row per node; ``sets_of`` gives (node, shingles) for a table of nodes.
+    ``nodes`` is a staged (node, size, keys, sketch), a row per node; ``texts_of`` gives (node, text) for a table of nodes.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     every = nodes.select("node", "size", F.explode("keys").alias("key"))
-    lead = every.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    met = stage(every.join(stage(lead), "key"))
-    pairs = met.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("lead.node").alias("b"), F.col("lead.size").alias("nb")).where("a <> b").where(_alike(similarity)).distinct()
+    met = stage(every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    lead = met.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("lead"))
+    pairs = met.join(lead, "key").select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("lead.node").alias("b"), F.col("lead.size").alias("nb")).where("a <> b").where(_alike(similarity)).distinct()
     near = stage(_pruned(pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b"), similarity))
-    first = _verified(near, sets_of, similarity)
+    first = _verified(near, texts_of, shingle, similarity)
     root = stage(components(first).select("node", "root"))
-    met = stage(met.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
-    parts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("all")).where("parts > 1")
-    slices = F.least(F.col("all"), F.ceil(F.col("all") * (F.col("all") - F.col("big.n")) / F.lit(block))).cast("int")
-    left = stage(met.join(stage(open_.select("key", F.col("big.root").alias("big"), slices.alias("slices"))), "key").join(nodes.select("node", "sketch"), "node"))
-    rows = left.select("key", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), F.col("node").alias("y"), F.col("size").alias("nb"), F.col("sketch").alias("sb"), F.col("root").alias("ry"))
-    outside = left.where("root <> big").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("x"), F.col("size").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("rx"))
-    cross = rows.join(outside, ["key", "slice"]).where(F.col("rx") != F.col("ry")).where(_alike(similarity)).withColumnsRenamed({"x": "a", "y": "b"})
-    cross = _pruned(cross, similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    met = met.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    split = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = stage(met.join(split, "key").select("node", "size", "root").distinct())
     # what the second comparison found joins components of the first: only these are gone through again
-    second = _verified(stage(cross), sets_of, similarity)
+    second = _verified(stage(_prefix_pairs(open_, stage(_elements(texts_of(open_.select("node")), shingle)), similarity)), texts_of, shingle, similarity)
     ends = second.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = stage(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")))
@@ -201,16 +248,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     got = nodes_of(keyed, "_row", text, shingle)
     nodes = stage(got.groupBy("node").agg(F.min("row").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
+    def texts_of(wanted: DataFrame) -> DataFrame:
         rows = nodes.join(wanted, "node").select("node", F.col("low.h1").alias("_h1"), F.col("low.h2").alias("_h2"))
         one = keyed.select(F.col("_row.h1").alias("_h1"), F.col("_row.h2").alias("_h2"), F.col(f"`{text}`").alias("text")).join(rows, ["_h1", "_h2"])
+        return one.select("node", "text").dropDuplicates(["node"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in text_slices(batches, slice_bytes=SLICE):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts], pa.binary())], ["node", "shingles"])
-
-        return one.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node binary, shingles binary")
-
-    root = groups(nodes, sets_of, similarity)
+    root = groups(nodes, texts_of, shingle, similarity)
     low = nodes.join(root, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("low"))
     return keep_rows(keyed, low)

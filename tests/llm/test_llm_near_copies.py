@@ -72,3 +72,33 @@ def test_ids_do_not_matter(spark):
 
 def test_empty(spark):
     assert nearcopies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def star(copies, seed=9):
+    """Copies of one text with 0 to 5 % of the words changed, most of them below the similarity of each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(copies):
+        x = list(base)
+        for at in rng.sample(range(len(x)), 15 * i // copies):
+            x[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(x))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_pairs_grow_with_the_copies_not_their_square(spark, monkeypatch):
+    verified, made = nearcopies._verified, []
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    texts = star(300)
+    want = sorted(set(brute(texts)))
+    assert 50 < len(want) < 250
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs).collect()) == want
+    assert made[0] < 4 * 300 and made[1] < 30, made
