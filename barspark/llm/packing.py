@@ -13,6 +13,7 @@ sequence and offset.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from barspark.llm.common import pick, stage, text_slices
 
 CAPACITY = 2048
 BUCKET_ROWS = 20_000  # pieces of one length numbered in one window group
-CACHE_WORDS = 300_000  # pieces of text whose ids a worker remembers before it forgets all of them
+CACHE_WORDS = 500_000  # pieces of text and their words whose ids a worker remembers before it forgets all of them
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,7 +41,7 @@ class WordTokens:
 
     The tokenizer's rules never join characters across white space, so the normalised text may be cut there and
     each distinct piece encoded once: pieces not seen before are cut into the tokenizer's words, whose last token is one with
-    the word-end suffix, so that many words go through one call. Texts in which cutting first could matter (special
+    the word-end suffix, so that many words go through one call. A word that stands alone is a piece, so both are remembered in one place. Texts in which cutting first could matter (special
     token strings, a capital sigma, separators that only Python takes for white space) go through the tokenizer whole.
     """
 
@@ -50,7 +51,8 @@ class WordTokens:
         import regex
         from tokenizers import Tokenizer, normalizers
 
-        self.whole = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.path, self.whole = path, None
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         with open(path, encoding="utf-8") as f:
@@ -62,29 +64,34 @@ class WordTokens:
         self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
         self.odd = [t["content"] for t in spec["added_tokens"]] + ["\u03a3", "\x1c", "\x1d", "\x1e", "\x1f"]
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+
+    def _as_it_is(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_file(self.path)
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.odd):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._as_it_is(text)
         parts = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-        if len(self.known) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            self.words.clear()
-        known, words = self.known, self.words
+        known = self.known
         got = list(map(known.get, parts))
         if None in got:
-            new = list(dict.fromkeys([p for p, g in zip(parts, got) if g is None]))
-            cut = [(p,) if p.isalpha() else (p[:-1], p[-1]) if p[:-1].isalpha() and p[-1] in ".,;:?!|" else self.words_in(p) for p in new]
-            missing = [w for w in dict.fromkeys([w for c in cut for w in c]) if w not in words]
+            new = dict.fromkeys([p for p, g in zip(parts, got) if g is None])
+            cut = {p: (p[:-1], p[-1]) if p[:-1].isalpha() and p[-1] in ".,;:?!|" else self.words_in(p) for p in new if not p.isalpha()}
+            missing = [p for p in new if p not in cut]
+            missing = list(dict.fromkeys(missing + [w for c in cut.values() for w in c if w not in known]))
             if missing:
-                ids = np.asarray(self.plain.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
+                ids = np.asarray(self.plain.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, "<u4")
                 raw, at = ids.tobytes(), 0
                 for w, end in zip(missing, ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist(), strict=True):
-                    words[w] = raw[at:end]
+                    known[w] = raw[at:end]
                     at = end
-            for p, c in zip(new, cut):
-                known[p] = words[c[0]] if len(c) == 1 else b"".join([words[w] for w in c])
+            for p, c in cut.items():
+                known[p] = b"".join([known[w] for w in c])
             got = [g if g is not None else known[p] for p, g in zip(parts, got)]
         return b"".join(got)
 

@@ -98,3 +98,14 @@ def test_documents(spark, tokenizer, monkeypatch):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_words_and_pieces_share_one_memory(tokenizer):
+    """Ids are the tokenizer's own whatever was met first, and the vocabulary is read again only for a text that needs it whole."""
+    words = packing.WordTokens(PATH)
+    texts = ["it's, it 's ''s '' ' , ;", "s' 's it , abc,, abc, abc abc1 1 12 a1b", "Été, été été. é́ ñandú! |", "abc's '", " x y　z", ""]
+    for t in [*texts, *reversed(texts)]:
+        assert words.encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert words.whole is None
+    t = "a <|endoftext|> b"
+    assert words.encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() and words.whole is not None
