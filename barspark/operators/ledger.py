@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.operators.series import BARS, SCAN_BLOCK, Series, block_starts, by_group, frames, join_by, last, next_, number_rows, numbered, running_sum, scan, stage
+from barspark.operators.series import BARS, SCAN_BLOCK, Series, block_starts, by_groups, frames, join_by, last, next_, number_rows, numbered, running_sum, scan, stage
 
 # ---- fixed values
 DEFAULT_COMMISSION_PERCENT = 0.1
@@ -148,83 +148,108 @@ def transactions(t: DataFrame, s: Series = BARS) -> DataFrame:
 UNITS = 100_000_000  # quantities are counted in units of 1e-8, so that sums of them are exact
 
 
-class FillBlock:
-    """What a block of fills does to the position it starts with.
+class FillBlocks:
+    """What blocks of fills do to the position they start with, many blocks at once.
 
     A position stays as it is plus the sum of the fills, up to the fill that brings it to nothing or beyond: there it is closed, and what follows
-    doesn't depend on it any more. So the block is a step function of the size of a long and of a short position, with an end for each step and, above the
+    doesn't depend on it any more. So a block is a step function of the size of a long and of a short position, with an end for each step and, above the
     last step, the position plus the block's sum. The closing fill of a position opened at a row is the next one whose sum is at or
     below (above) that before it; these jumps, doubled, lead from every row to the end of the block.
+
+    Block g has the rows from ``edges[g]`` to ``edges[g + 1]``. A node is the state before a block's first row or after a row: one more than rows in each block.
     """
 
-    def __init__(self, side: np.ndarray, units: np.ndarray) -> None:
-        self.n, self.side, self.units = len(side), side, units
-        self.sums = np.concatenate(([0], np.cumsum(side * units)))
-        self.opens = np.append(side * (units > 0), 0)  # direction of a position opened after row k, 0 if none is
-        down, up = self._next(self.sums), self._next(-self.sums)
-        to = np.where(self.opens > 0, down, np.where(self.opens < 0, up, np.minimum(np.arange(self.n + 1) + 1, self.n)))
-        self.closes = np.where(to > self.n, np.arange(self.n + 1), to)  # after row k flat: row after which it is flat again; k itself if it stays open
+    def __init__(self, side: np.ndarray, units: np.ndarray, edges: np.ndarray) -> None:
+        blocks, sizes = np.arange(len(edges) - 1), np.diff(edges)
+        self.side, self.units, self.edges, self.longest = side, units, edges, int(sizes.max(initial=0))
+        self.block = np.repeat(blocks, sizes + 1)
+        self.head, self.tail = edges[:-1] + blocks, edges[1:] + blocks
+        self.first, self.last = self.head[self.block], self.tail[self.block]  # of a node's block
+        self.node = np.arange(len(self.block))
+        self.before = np.arange(len(side)) + np.repeat(blocks, sizes)  # node before each row; the next one is after it
+        step, self.opens = np.zeros((2, len(self.node)), np.int64)  # opens: direction of a position opened after a node, 0 if none is
+        step[self.before + 1], self.opens[self.before] = side * units, side * (units > 0)
+        total = np.cumsum(step)
+        self.sums = total - total[self.first]
+        to = np.where(self.opens > 0, self._next(self.sums), np.where(self.opens < 0, self._next(-self.sums), np.minimum(self.node + 1, self.last)))
+        self.closes = np.where(to > self.last, self.node, to)  # flat at a node: node at which it is flat again; the same if it stays open
 
     def _next(self, v: np.ndarray) -> np.ndarray:
-        """Per place the next place with a value at or below its own, n + 1 if there is none, by halving over tables of minima."""
-        size, least = len(v), [v]
-        while len(least[-1]) > 1 << (len(least) - 1):
+        """Per node the next one with a value at or below its own, beyond the block if it has none, by halving over tables of minima."""
+        least = [v]
+        while self.longest >> len(least) and len(least[-1]) > 1 << (len(least) - 1):
             k = 1 << (len(least) - 1)
             least.append(np.minimum(least[-1][:-k], least[-1][k:]))
-        at = np.arange(size) + 1
+        at = self.node + 1
         for level in reversed(range(len(least))):
             table = least[level]
             inside = at < len(table)
-            skip = np.zeros(size, bool)
+            skip = np.zeros(len(v), bool)
             skip[inside] = table[at[inside]] > v[inside]
             at = at + np.where(skip, 1 << level, 0)
         return at
 
-    def table(self) -> list:
-        """[sum, end of a flat start, steps for long, ends for long, steps for short, ends for short]."""
+    def tables(self) -> list[pa.Array]:
+        """Per block: sum, end of a flat start, steps for long, ends for long, steps for short, ends for short."""
         end = self.closes
         while not np.array_equal(end[end], end):
             end = end[end]
-        open_ = self.closes == np.arange(self.n + 1)
-        held = np.where(open_ & (np.arange(self.n + 1) < self.n), self.sums[-1] - self.sums, 0)[end]
-        out = [int(self.sums[-1]), int(held[0])]
+        stays = (self.closes == self.node) & (self.node < self.last)
+        held = np.where(stays, self.sums[self.last] - self.sums, 0)[end]
+        out = [pa.array(self.sums[self.tail]), pa.array(held[self.head])]
         for sums in (self.sums, -self.sums):
-            low = np.minimum.accumulate(sums)
-            new = np.flatnonzero(low[1:] < low[:-1]) + 1
-            steps, ends = -sums[new], held[new]
-            last = np.append(ends[1:] != ends[:-1], True) if len(ends) else np.zeros(0, bool)
-            out += [steps[last].tolist(), ends[last].tolist()]
+            low, shift = sums.copy(), 1
+            while shift <= self.longest:  # smallest so far in the block
+                low[shift:] = np.where((self.node - self.first)[shift:] >= shift, np.minimum(low[shift:], low[:-shift]), low[shift:])
+                shift *= 2
+            new = np.flatnonzero((low[1:] < low[:-1]) & (self.block[1:] == self.block[:-1])) + 1
+            of, ends = self.block[new], held[new]
+            last = np.append((ends[1:] != ends[:-1]) | (of[1:] != of[:-1]), True) if len(new) else np.zeros(0, bool)
+            offsets = pa.array(np.searchsorted(of[last], np.arange(len(self.edges))).astype(np.int32))
+            out += [pa.ListArray.from_arrays(offsets, pa.array(v[last])) for v in (-sums[new], ends)]
         return out
 
-    def walk(self, price: np.ndarray, start: int) -> dict[str, np.ndarray]:
-        """Type, position, and the entry price as ``_a`` times that of the start plus ``_b`` (``_a0``, ``_b0``: before the fill), from a start position."""
-        flat = 0
-        if start:
-            gone = np.flatnonzero((start + self.sums[1:]) * np.sign(start) <= 0)
-            flat = int(gone[0]) + 1 if len(gone) else self.n + 1
-        way, jump = np.array([min(flat, self.n)]), self.closes
-        while flat <= self.n and jump[way[-1]] != way[-1]:  # twice as many closes each time
-            way, jump = np.unique(np.concatenate((way, jump[way]))), jump[jump]
-        is_flat = np.zeros(self.n + 1, bool)
-        if flat <= self.n:
-            is_flat[way] = True
-        rows = np.arange(self.n + 1)
-        since = np.maximum.accumulate(np.where(is_flat, rows, -1))
-        held = np.where(is_flat, 0, np.where(since < 0, start + self.sums, self.sums - self.sums[np.maximum(since, 0)]))
-        before, after = held[:-1], held[1:]
+    def walk(self, price: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+        """Type, position, and the entry price as ``_a`` times that of the start plus ``_b`` (``_a0``, ``_b0``: before the fill), from each block's start position."""
+        flat, held = np.where(start == 0, self.head, -1), start[self.block] + self.sums
+        gone = np.flatnonzero((self.node > self.first) & (start != 0)[self.block] & (held * np.sign(start)[self.block] <= 0))
+        flat[self.block[gone[::-1]]] = gone[::-1]  # the first one stays
+        way, jump = flat[flat >= 0], self.closes
+        while len(more := np.union1d(way, jump[way])) > len(way):  # twice as many closes each time
+            way, jump = more, jump[jump]
+        is_flat = np.zeros(len(self.node), bool)
+        is_flat[way] = True
+        since = np.maximum.accumulate(np.where(is_flat, self.node, -1))
+        held = np.where(is_flat, 0, np.where(since < self.first, held, self.sums - self.sums[np.maximum(since, 0)]))
+        before, after = held[self.before], held[self.before + 1]
         opening, closing = before == 0, (before != 0) & (after == 0)
         adding = ~opening & (np.sign(before) == self.side)
         kind = np.select([opening, closing, adding], ["OPEN", "CLOSE", "INCREASE"], "DECREASE")
         size = np.maximum(np.abs(after), 1).astype(float)
         a = np.where(opening, 0.0, np.where(adding, np.abs(before) / size, 1.0))
         b = np.where(opening, price, np.where(adding, price * self.units / size, 0.0))
-        shift = 1
-        while shift < self.n:  # all prefixes of the chain of a x + b by doubling
-            b[shift:] = a[shift:] * b[:-shift] + b[shift:]
-            a[shift:] = a[shift:] * a[:-shift]
+        inner, shift = (self.node - self.first)[self.before], 1
+        while shift < self.longest:  # all prefixes of the chains of a x + b by doubling
+            far = inner[shift:] >= shift
+            b[shift:] = np.where(far, a[shift:] * b[:-shift] + b[shift:], b[shift:])
+            a[shift:] = np.where(far, a[shift:] * a[:-shift], a[shift:])
             shift *= 2
         closed = np.where(adding | opening, 0, np.minimum(self.units, np.abs(before))) * np.sign(before) / UNITS
-        return {"type": kind, "position": after / UNITS, "_a": a, "_b": b, "_a0": np.append(1.0, a[:-1]), "_b0": np.append(0.0, b[:-1]), "_closed": closed}
+        a0, b0 = (np.where(inner == 0, none, np.append(none, v[:-1])) for v, none in ((a, 1.0), (b, 0.0)))
+        return {"type": kind, "position": after / UNITS, "_a": a, "_b": b, "_a0": a0, "_b0": b0, "_closed": closed}
+
+
+class FillBlock(FillBlocks):
+    """One block of fills."""
+
+    def __init__(self, side: np.ndarray, units: np.ndarray) -> None:
+        super().__init__(side, units, np.array([0, len(side)]))
+
+    def table(self) -> list:
+        return [c[0].as_py() for c in self.tables()]
+
+    def walk(self, price: np.ndarray, start: int) -> dict[str, np.ndarray]:
+        return super().walk(price, np.array([start]))
 
 
 def _at(f: list, position: int) -> int:
@@ -252,7 +277,7 @@ def pair_fills(fills: DataFrame, s: Series = Series(tie=("fill_id",)), block: in
     """General pairing: OPEN, INCREASE (weighted entry), DECREASE, CLOSE for any quantities.
 
     Expects ``side`` (+1/-1), ``quantity`` (counted in units of 1e-8), ``price``. A closing fill larger than the position only closes it.
-    Every block of fills becomes a function of the position it starts with (``FillBlock``); the functions are composed along a key, which gives every
+    Every block of fills becomes a function of the position it starts with (``FillBlocks``, many keys' blocks in one call); the functions are composed along a key, which gives every
     block its start. Then the entry price within a block is linear in that of its start, and these lines are chained in the same way. One
     pass whatever the fills: nothing is counted or repeated first.
     """
@@ -262,24 +287,22 @@ def pair_fills(fills: DataFrame, s: Series = Series(tie=("fill_id",)), block: in
     key_fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     steps = {"_sum": "bigint", "_flat": "bigint", "_long": "array<bigint>", "_long_end": "array<bigint>", "_short": "array<bigint>", "_short_end": "array<bigint>"}
 
-    def read(t: pa.Table) -> tuple[pa.Table, FillBlock]:
+    def read(t: pa.Table, edges: np.ndarray) -> FillBlocks:
         units = np.rint(t.column("quantity").to_numpy().astype(float) * UNITS).astype(np.int64)
-        return t, FillBlock(np.sign(t.column("side").to_numpy()).astype(np.int64), units)
+        return FillBlocks(np.sign(t.column("side").to_numpy()).astype(np.int64), units, edges)
 
-    def to_function(t: pa.Table) -> pa.Table:
-        t, made = read(t)
-        types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
-        return pa.table({**{c: t.column(c).slice(0, 1) for c in group}, **{n: pa.array([v], k) for n, v, k in zip(steps, made.table(), types)}})
+    def to_functions(t: pa.Table, edges: np.ndarray) -> pa.Table:
+        return pa.table({**{c: t.column(c).take(pa.array(edges[:-1])) for c in group}, **dict(zip(steps, read(t, edges).tables()))})
 
     slim = rows.select(*group, s.pos, "side", "quantity")
-    functions = stage(by_group(slim, group, [s.pos], to_function, f"{key_fields}, _blk bigint, " + ", ".join(f"{n} {k}" for n, k in steps.items())))
+    functions = stage(by_groups(slim, group, [s.pos], to_functions, f"{key_fields}, _blk bigint, " + ", ".join(f"{n} {k}" for n, k in steps.items())))
     start = block_starts(functions, s, steps, _then, _at, 0, "bigint")
 
-    def walk(t: pa.Table) -> pa.Table:
-        t, made = read(t)
-        return pa.table({**{c: t.column(c) for c in (*group, s.pos)}, **made.walk(t.column("price").to_numpy().astype(float), t.column("_start")[0].as_py())})
+    def walk(t: pa.Table, edges: np.ndarray) -> pa.Table:
+        start = t.column("_start").to_numpy()[edges[:-1]]
+        return pa.table({**{c: t.column(c) for c in (*group, s.pos)}, **read(t, edges).walk(t.column("price").to_numpy().astype(float), start)})
 
-    walked = by_group(join_by(rows.select(*group, s.pos, "side", "quantity", "price"), start, group, "inner"), group, [s.pos],
+    walked = by_groups(join_by(rows.select(*group, s.pos, "side", "quantity", "price"), start, group, "inner"), group, [s.pos],
         walk, f"{key_fields}, _blk bigint, `{s.pos}` bigint, type string, position double, _a double, _b double, _a0 double, _b0 double, _closed double")
     walked = stage(walked)
     lines = walked.groupBy(*group).agg(F.max_by(F.struct("_a", "_b"), s.pos).alias("_line")).select(*group, F.col("_line._a").alias("_a"), F.col("_line._b").alias("_b"))

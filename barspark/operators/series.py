@@ -364,10 +364,10 @@ def rolling_means(x: DataFrame, w: WindowSpec, means: Mapping[str, tuple[str | C
 # ---------------------------------------------------------------- state through blocks
 
 
-def by_group(df: DataFrame, by: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` of every group's rows in order, null a key like any other.
+def by_groups(df: DataFrame, by: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of the rows of many whole groups in order and their edges: group g has the rows from ``edges[g]`` to ``edges[g + 1]``. Null is a key like any other.
 
-    Groups of one partition pass through one call each, but come and go in batches of many, so small groups cost little; one group is held at a time.
+    A call gets the groups of a batch, or one longer group, so small groups cost little if ``fn`` takes them at once.
     """
     def cuts(t: pa.Table) -> list[int]:
         new = np.zeros(max(0, t.num_rows - 1), bool)
@@ -384,14 +384,19 @@ def by_group(df: DataFrame, by: list[str], order: list[str], fn: Callable[[pa.Ta
                 t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
                 edges = [0, *cuts(t)]
                 if len(edges) > 1:
-                    yield from pa.concat_tables([fn(t.slice(a, b - a)) for a, b in zip(edges, edges[1:])]).combine_chunks().to_batches()
+                    yield from fn(t.slice(0, edges[-1]), np.array(edges)).combine_chunks().to_batches()
                 rest = t.slice(edges[-1])
         if rest is not None:
-            yield from fn(rest).combine_chunks().to_batches()
+            yield from fn(rest, np.array([0, rest.num_rows])).combine_chunks().to_batches()
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, by: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of every group's rows in order, one call per group (see ``by_groups``); one group is held at a time."""
+    return by_groups(df, by, order, lambda t, edges: pa.concat_tables([fn(t.slice(a, b - a)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]), schema)
+
+
 def block_starts(tables: DataFrame, s: Series, fields: Mapping[str, str], compose: Callable[[list, list], list], apply: Callable[[list, Any], Any],
                  first: Any, state: str, fan: int = 256) -> DataFrame:
     """(keys, _blk, _start): the state in which every block of a key begins.
@@ -406,25 +411,27 @@ def block_starts(tables: DataFrame, s: Series, fields: Mapping[str, str], compos
     kept = ", ".join(f"{n} {t}" for n, t in fields.items())
 
     def rows(t: pa.Table) -> list[list]:
-        return [[t.column(n)[i].as_py() for n in names] for i in range(t.num_rows)]
+        return [list(f) for f in zip(*[t.column(n).to_pylist() for n in names])]
 
-    def chain(t: pa.Table) -> pa.Table:
-        whole = reduce(compose, rows(t))
-        return pa.table({**{c: t.column(c).slice(0, 1) for c in (*keys, "_chain")}, **{n: pa.array([v], t.schema.field(n).type) for n, v in zip(names, whole)}})
+    def chain(t: pa.Table, edges: np.ndarray) -> pa.Table:
+        f = rows(t)
+        whole = [reduce(compose, f[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return pa.table({**{c: t.column(c).take(pa.array(edges[:-1])) for c in (*keys, "_chain")}, **{n: pa.array([w[i] for w in whole], t.schema.field(n).type) for i, n in enumerate(names)}})
 
     def starts(of: str):
-        def run(t: pa.Table) -> pa.Table:
-            out = []
-            at = t.column("_start")[0].as_py() if "_start" in t.column_names else first
-            for f in rows(t):
-                out.append(at)
-                at = apply(f, at)
+        def run(t: pa.Table, edges: np.ndarray) -> pa.Table:
+            f, out = rows(t), []
+            begun = t.column("_start").to_pylist() if "_start" in t.column_names else None
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                out.append(begun[a] if begun else first)
+                for one in f[a:b - 1]:
+                    out.append(apply(one, out[-1]))
             return pa.table({**{c: t.column(c) for c in (*keys, of)}, "_start": out})
         return run
 
-    chains = by_group(tables, [*keys, "_chain"], ["_blk"], chain, f"{schema}, _chain bigint, {kept}")
-    begun = by_group(chains, keys, ["_chain"], starts("_chain"), f"{schema}, _chain bigint, _start {state}")
-    return by_group(join_by(tables, begun, [*keys, "_chain"], "inner"), [*keys, "_chain"], ["_blk"], starts("_blk"), f"{schema}, _blk bigint, _start {state}")
+    chains = by_groups(tables, [*keys, "_chain"], ["_blk"], chain, f"{schema}, _chain bigint, {kept}")
+    begun = by_groups(chains, keys, ["_chain"], starts("_chain"), f"{schema}, _chain bigint, _start {state}")
+    return by_groups(join_by(tables, begun, [*keys, "_chain"], "inner"), [*keys, "_chain"], ["_blk"], starts("_blk"), f"{schema}, _blk bigint, _start {state}")
 
 
 # ---------------------------------------------------------------- exponential averages

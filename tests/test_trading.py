@@ -167,6 +167,25 @@ def test_block_functions_of_fills_compose():
             assert ledger._at(whole, int(start * ledger.UNITS)) == at
 
 
+def test_many_blocks_of_fills_at_once():
+    """Blocks of many keys in one call: each as on its own, whatever its neighbours are and how long."""
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate((rng.integers(1, 30, 3_000), [700, 1, 1, 2]))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    n = int(edges[-1])
+    side, units = rng.choice([-1, 1], n), rng.integers(0, 9, n) * ledger.UNITS // 2
+    price, start = rng.uniform(1, 9, n), rng.integers(-6, 7, len(sizes)) * ledger.UNITS
+    price[edges[50]:edges[60]] = np.inf
+    many = ledger.FillBlocks(side, units, edges)
+    tables, walk = many.tables(), many.walk(price, start)
+    for g in [*range(45, 70), *range(0, len(sizes), 7), *range(len(sizes) - 4, len(sizes))]:
+        a, b = edges[g], edges[g + 1]
+        one = ledger.FillBlock(side[a:b], units[a:b])
+        assert [c[g].as_py() for c in tables] == one.table()
+        for name, values in one.walk(price[a:b], start[g]).items():
+            np.testing.assert_array_equal(walk[name][a:b], values)
+
+
 def test_only_increasing_fills_in_many_blocks(spark):
     n = 400
     pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="1min"), "fill_id": np.arange(n), "side": 1.0, "quantity": 1.0 + np.arange(n) % 3, "price": 100.0 + np.arange(n)})
